@@ -35,7 +35,7 @@ def append(df: DataFrame, path: str, name: str) -> None:
     write_table(df, path, TABLES[name], "append")
 
 
-def publish(tables: Tables, root: str, version: int) -> None:
+def publish(tables: dict[str, DataFrame], root: str, version: int) -> None:
     """Write the tables under a new version folder, then announce the version.
 
     Readers only see announced versions, so a job that dies half way leaves the
@@ -53,5 +53,5 @@ def latest_version(spark: SparkSession, root: str) -> int:
     return published.agg(F.max("version")).first()[0]
 
 
-def load_snapshot(spark: SparkSession, root: str, only: list[str] | None = None) -> Tables:
-    return load_tables(spark, f"{root}/version={latest_version(spark, root)}", only=only)
+def load_snapshot(spark: SparkSession, root: str) -> Tables:
+    return load_tables(spark, f"{root}/version={latest_version(spark, root)}")

@@ -2,14 +2,32 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
 from dialweave.sources import star
 from dialweave.sources.schema import TABLES, Table, conform, redact
 
-Tables = dict[str, DataFrame]
+
+class Tables(dict[str, DataFrame]):
+    """Tables by name, each opened when first used."""
+
+    def __init__(self, open_table: Callable[[str], DataFrame] | None = None, **tables: DataFrame):
+        super().__init__(tables)
+        self._open = open_table
+
+    def __missing__(self, name: str) -> DataFrame:
+        if self._open is None or name not in TABLES:
+            raise KeyError(name)
+        self[name] = self._open(name)
+        return self[name]
+
+    def replaced(self, **tables: DataFrame) -> Tables:
+        """The same tables with some of them exchanged."""
+        result = Tables(self._open, **self)
+        result.update(tables)
+        return result
 
 
 def read_parquet(spark: SparkSession, path: str, table: Table) -> DataFrame:
@@ -57,20 +75,17 @@ def load_tables(
     bounds: Mapping[str, tuple[int, int]] | None = None,
     partitions: int = 64,
     properties: Mapping[str, str] | None = None,
-    only: list[str] | None = None,
 ) -> Tables:
     """All tables by name. ``path`` is a folder, or the database URL for ``jdbc``.
 
-    ``jdbc`` needs the key range of each table in ``bounds``.
+    ``jdbc`` needs the key range of each table it reads in ``bounds``.
     """
-    names = only or list(TABLES)
     if source == "parquet":
-        return {n: read_parquet(spark, path, TABLES[n]) for n in names}
+        return Tables(lambda name: read_parquet(spark, path, TABLES[name]))
     if source == "jdbc":
-        return {
-            n: read_jdbc(spark, path, TABLES[n], (bounds or {})[n], partitions, properties) for n in names
-        }
+        return Tables(
+            lambda name: read_jdbc(spark, path, TABLES[name], (bounds or {})[name], partitions, properties)
+        )
     if source == "star":
-        views = star.views(spark, path)
-        return {n: conform(views[n], TABLES[n]) for n in names}
+        return Tables(lambda name: conform(star.view(spark, path, name), TABLES[name]))
     raise ValueError(f"unknown source {source!r}")

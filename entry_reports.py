@@ -588,9 +588,9 @@ def available_employees(t):
     return plans.available_employees(t, 0)
 
 
-@report(_FREE_SQL.format(team=4, nulls="", search=""))
+@report(f"SELECT count(*) AS available FROM ({_FREE_SQL.format(team=4, nulls='', search='')})")
 def available_employees_null_trap(t):
-    return plans.available_employees(t, 4)
+    return plans.available_employees(t, 4).agg(F.count("*").alias("available"))
 
 
 @report(
