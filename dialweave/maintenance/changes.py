@@ -34,17 +34,21 @@ def positioned(df: DataFrame, order_by: list[str]) -> DataFrame:
     return freeze(df.orderBy(*order_by, tie).withColumn(POSITION, F.monotonically_increasing_id()))
 
 
-def number_rows(rows: DataFrame, name: str, start: Column | int) -> DataFrame:
+def number_rows(rows: DataFrame, name: str, start: Column | int, complete: bool = False) -> DataFrame:
     """Consecutive keys after ``start`` in position order.
 
-    Rows are counted and ranked inside each partition of the sort; one small frame
-    (a row per partition) turns the counts into offsets.
+    One small frame (a row per partition of the sort) turns row counts into offsets.
+    ``complete`` says that no row was filtered out since ``positioned``: then the
+    position itself holds the rank, and the rows are not shuffled again.
     """
     rows = rows.withColumn("__part", F.shiftright(POSITION, 33))
     sizes = rows.groupBy("__part").agg(F.count("*").alias("__n"))
     earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__offset"))
-    rank = F.row_number().over(Window.partitionBy("__part").orderBy(POSITION))
+    if complete:
+        rank = F.col(POSITION).bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    else:
+        rank = F.row_number().over(Window.partitionBy("__part").orderBy(POSITION))
     numbered = rows.withColumn("__rank", rank).join(offsets, "__part")
     start = start if isinstance(start, Column) else F.lit(start)
     key = start + F.col("__offset") + F.col("__rank")

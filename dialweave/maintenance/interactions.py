@@ -89,7 +89,7 @@ def history_rows(accepted: DataFrame, start, run_ts) -> DataFrame:
         "followupdate",
         "call_duration",
     )
-    numbered = number_rows(positioned(logged, ["event_id"]), "history_pk", start)
+    numbered = number_rows(positioned(logged, ["event_id"]), "history_pk", start, complete=True)
     return conform(stamp_entry(numbered, _HISTORY, run_ts, F.col("empno_fk")), _HISTORY)
 
 
@@ -134,9 +134,8 @@ def bulk_assign(tables: Tables, batch: DataFrame, run_ts=None) -> Change:
             F.when(F.col("__employee").isNull(), F.lit("employee not found")),
         )
     )
-    rows = positioned(rows.withColumn("reasons", reasons), ["custno", "empno"])
+    rows = rows.withColumn("reasons", reasons)
     good = rows.where(F.size("reasons") == 0).select(
-        "__pos",
         F.col("custno").alias("custno_fk"),
         F.col("empno").alias("empno_fk"),
         falsy_null("custmobilenumber").alias("custmobilenumber"),
@@ -148,7 +147,8 @@ def bulk_assign(tables: Tables, batch: DataFrame, run_ts=None) -> Change:
         F.lit(0).alias("count_message"),
         "assigned_by",
     )
-    numbered = number_rows(good, "assignno_pk", last_key(base, "assignno_pk"))
+    good = positioned(good, ["custno_fk", "empno_fk"])
+    numbered = number_rows(good, "assignno_pk", last_key(base, "assignno_pk"), complete=True)
     delta = conform(stamp_entry(numbered, _ASSIGNMENTS, run_ts, F.col("assigned_by")), _ASSIGNMENTS)
     rejects = rows.where(F.size("reasons") > 0).select(*batch.columns, "reasons")
     return Change(base.unionByName(delta), rejects, delta)

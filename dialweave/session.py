@@ -13,6 +13,14 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # a page deep in a listing sorts on disk instead of keeping all rows before it in memory
+    "spark.sql.execution.topKSortFallbackThreshold": "1000000",
+    # event ids the feed remembers live on disk, not on the heap
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+    # recording the Python call site of every expression costs a millisecond each
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ class Table:
     hidden: tuple[str, ...] = ()
     day_partition: tuple[str, str] | None = None
 
-    @property
+    @cached_property
     def struct(self) -> T.StructType:
         return T.StructType([T.StructField(n, _TYPES[t]) for n, t in self.columns.items()])
 
@@ -260,7 +261,7 @@ SET_NULL_RULES = {
 
 def redact(df: DataFrame, table: Table) -> DataFrame:
     """Credential columns never enter the engine."""
-    return df.drop(*table.hidden)
+    return df.drop(*table.hidden) if table.hidden else df
 
 
 def evolve(df: DataFrame, schema: T.StructType, defaults: dict[str, object] | None = None) -> DataFrame:
@@ -275,5 +276,4 @@ def evolve(df: DataFrame, schema: T.StructType, defaults: dict[str, object] | No
 
 def conform(df: DataFrame, table: Table) -> DataFrame:
     """Exactly the registry's columns, in order and with the declared types."""
-    full = evolve(redact(df, table), table.struct)
-    return full.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in table.struct.fields])
+    return redact(df, table).to(table.struct)
