@@ -49,7 +49,8 @@ def number_rows(rows: DataFrame, name: str, start: Column | int, complete: bool
         rank = F.col(POSITION).bitwiseAND(F.lit((1 << 33) - 1)) + 1
     else:
         rank = F.row_number().over(Window.partitionBy("__part").orderBy(POSITION))
-    numbered = rows.withColumn("__rank", rank).join(offsets, "__part")
+    # at most one offset per partition of the sort, so the broadcast is bounded
+    numbered = rows.withColumn("__rank", rank).join(F.broadcast(offsets), "__part")
     start = start if isinstance(start, Column) else F.lit(start)
     key = start + F.col("__offset") + F.col("__rank")
     return numbered.withColumn(name, key.cast("long")).drop("__part", "__rank", "__offset")

@@ -45,7 +45,7 @@ def split_by_owner(events: DataFrame, assignments: DataFrame) -> tuple[DataFrame
 
 
 def fold_events(events: DataFrame, order_by: list[str]) -> DataFrame:
-    """Per assignment and column, the last value reported.
+    """Per assignment, agent and column, the last value reported.
 
     A maximum over (order, value) that skips NULLs: partial aggregation folds the
     events of a hot assignment before anything is shuffled.
@@ -55,18 +55,18 @@ def fold_events(events: DataFrame, order_by: list[str]) -> DataFrame:
         c: F.max(F.when(F.col(c).isNotNull(), F.struct(*place, F.col(c).alias("value")))) for c in REPORTED
     }
     applied = [F.max("applied_at").alias("applied_at")] if "applied_at" in events.columns else []
-    return events.groupBy("assignno_pk").agg(
-        *[v["value"].alias(c) for c, v in last.items()], F.max("empno").alias("empno"), *applied
-    )
+    return events.groupBy("assignno_pk", "empno").agg(*[v["value"].alias(c) for c, v in last.items()], *applied)
 
 
 def merge_folded(base: DataFrame, folded: DataFrame, run_ts=None) -> DataFrame:
-    """Assignments with the folded values; those without events stay as they are.
+    """Assignments with the folded values of their own agent; the others stay as they are.
 
-    Changes are stamped with their own ``applied_at`` where they have one.
+    Joining on assignment and agent is the ownership check. Changes are stamped with
+    their own ``applied_at`` where they have one.
     """
     side = folded.select(*[F.col(c).alias(f"__{c}") for c in folded.columns])
-    joined = base.join(side, F.col("assignno_pk") == F.col("__assignno_pk"), "left")
+    own = (F.col("assignno_pk") == F.col("__assignno_pk")) & (F.col("empno_fk") == F.col("__empno"))
+    joined = base.join(side, own, "left")
     touched = F.col("__assignno_pk").isNotNull()
     values = {c: F.coalesce(F.col(f"__{c}"), F.col(c)) for c in REPORTED}
     when = F.col("__applied_at") if "applied_at" in folded.columns else run_ts
@@ -108,9 +108,9 @@ def apply_interactions(
     history = conform(tables["call_history"], _HISTORY)
     accepted, refused = split_by_owner(events, base)
 
-    timed = accepted
+    timed = events
     if "calleddatetime" in order_by:
-        timed = accepted.withColumn("__called", F.coalesce("calleddatetime", run_time(run_ts)))
+        timed = events.withColumn("__called", F.coalesce("calleddatetime", run_time(run_ts)))
         order_by = ["__called" if c == "calleddatetime" else c for c in order_by]
     assignments = merge_folded(base, fold_events(timed, order_by), run_ts)
     delta = history_rows(accepted, last_key(history, "history_pk"), run_ts)

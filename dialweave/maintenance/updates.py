@@ -112,12 +112,13 @@ def partial_update(tables: Tables, name: str, changes: DataFrame, run_ts=None) -
     allowed = F.map_filter("changes", lambda key, _: key.isin(list(table.updatable)))
     rows = changes.select("pk", "seq", "updated_by", F.col("changes").alias("requested"), allowed.alias("changes"))
     unknown = with_reason(lacking(rows, "pk", base, table.key, unique=True), "not found")
-    rows = having(rows, "pk", base, table.key, unique=True).withColumn("reasons", _reasons(table))
+    rows = rows.withColumn("reasons", _reasons(table))
     rows = _missing_references(rows, table, tables)
 
     contested = []
     if table.unique:
-        rows = freeze(rows.withColumn(POSITION, F.col("seq")))
+        # only a change that finds its row may claim a value
+        rows = freeze(having(rows, "pk", base, table.key, unique=True).withColumn(POSITION, F.col("seq")))
         rows = _taken(rows, base, table)
         good = rows.where(F.size("reasons") == 0)
         claims = {f"__u{i}": _claim(c) for i, c in enumerate(table.unique)}
@@ -133,7 +134,8 @@ def partial_update(tables: Tables, name: str, changes: DataFrame, run_ts=None) -
     merged = base.join(folded, F.col(table.key) == F.col("pk"), "left").withColumns(values)
 
     shown = ["pk", "seq", "updated_by", F.col("requested").alias("changes"), "reasons"]
-    rejects = unknown.select(*shown).unionByName(rows.where(F.size("reasons") > 0).select(*shown))
+    broken = having(rows.where(F.size("reasons") > 0), "pk", base, table.key, unique=True)
+    rejects = unknown.select(*shown).unionByName(broken.select(*shown))
     for frame in contested:
         rejects = rejects.unionByName(frame.select(*shown))
     delta = merged.where(F.col("pk").isNotNull()).select(*base.columns)

@@ -113,15 +113,16 @@ def paginate(
     return rows.limit(limit)
 
 
-def fetch_page(df: DataFrame, keys: DataFrame, pk: str, limit: int) -> DataFrame:
-    """Full rows for a page found on narrow rows.
+def fetch_page(df: DataFrame, page: DataFrame, pk: str, limit: int) -> DataFrame:
+    """Full rows for a page found on narrow rows, with the other columns the page brings.
 
     Joins that decide which rows belong to a page then shuffle only keys and sort
     columns; the wide table is read once more and filtered in place.
     """
-    keys = keys.select(F.col(pk).alias("__page"))
-    keys = F.broadcast(keys) if limit <= HINTED_PAGE else keys
-    return df.join(keys, F.col(pk) == F.col("__page"), "left_semi")
+    extra = [c for c in page.columns if c not in df.columns]
+    side = page.select(F.col(pk).alias("__page"), *extra)
+    side = F.broadcast(side) if limit <= HINTED_PAGE else side
+    return df.join(side, F.col(pk) == F.col("__page"), "inner").drop("__page")
 
 
 def page_info(df: DataFrame, page: int = 1, limit: int = 10) -> DataFrame:

@@ -31,6 +31,21 @@ _LISTING_ORDER = [newest("assigndate")]
 _PROJECT = {"projectname": "projectname", "projectcode": "projectcode"}
 
 
+_CUSTOMER = {"custname": "custname", "custcode": "custcode", "custemail": "custemailid", "__project": "projectno_fk"}
+
+
+def _listed(tables: Tables, empno, status, priority, total_mode: str, customer: dict[str, str]) -> DataFrame:
+    """Narrow rows of a listing; the customer's columns come with the join that admits a row."""
+    equal = {"empno_fk": empno, "callstatus": status, "callpriority": priority}
+    rows = where_equal(tables["custassignment"], equal).select(_KEY, "assigndate", "custno_fk", "empno_fk")
+    if total_mode == "base":
+        return rows
+    if total_mode != "joined":
+        raise ValueError(f"unknown total_mode {total_mode!r}")
+    rows = having(rows, "empno_fk", tables["employees"], "empno_pk", unique=True)
+    return attach(rows, tables["customer"], "custno_fk", "custno_pk", customer, how="inner")
+
+
 def assignments_matching(
     tables: Tables, empno=None, status=None, priority=None, total_mode: str = "joined"
 ) -> DataFrame:
@@ -39,28 +54,17 @@ def assignments_matching(
     ``joined`` counts what is listed: rows whose customer and employee exist.
     ``base`` counts every assignment that meets the filters.
     """
-    equal = {"empno_fk": empno, "callstatus": status, "callpriority": priority}
-    rows = where_equal(tables["custassignment"], equal)
-    rows = rows.select(_KEY, "assigndate", "custno_fk", "empno_fk")
-    if total_mode == "base":
-        return rows
-    if total_mode != "joined":
-        raise ValueError(f"unknown total_mode {total_mode!r}")
-    rows = having(rows, "empno_fk", tables["employees"], "empno_pk", unique=True)
-    return having(rows, "custno_fk", tables["customer"], "custno_pk", unique=True)
+    return _listed(tables, empno, status, priority, total_mode, {})
 
 
 def assignments_listing(
     tables: Tables, empno=None, status=None, priority=None, page: int = 1, limit: int = 10, after=None
 ) -> DataFrame:
-    keys = paginate(
-        assignments_matching(tables, empno, status, priority), _LISTING_ORDER, _KEY, page, limit, after
-    )
-    rows = fetch_page(tables["custassignment"], keys, _KEY, limit)
-    who = {"custname": "custname", "custcode": "custcode", "custemail": "custemailid", "__project": "projectno_fk"}
-    rows = attach(rows, tables["customer"], "custno_fk", "custno_pk", who, how="inner")
+    found = _listed(tables, empno, status, priority, "joined", _CUSTOMER)
+    found = paginate(found, _LISTING_ORDER, _KEY, page, limit, after)
+    rows = fetch_page(tables["custassignment"], found, _KEY, limit)
     agent = {"employee_name": "name", "employee_code": "empcode"}
-    rows = attach(rows, tables["employees"], "empno_fk", "empno_pk", agent, how="inner")
+    rows = attach(rows, tables["employees"], "empno_fk", "empno_pk", agent)
     rows = attach(rows, tables["projects"], "__project", "projectno_pk", _PROJECT).drop("__project")
     return sort_rows(rows, _LISTING_ORDER, _KEY)
 
@@ -73,17 +77,21 @@ def _worklist_order(nulls_last: bool) -> list[Order]:
     ]
 
 
-def worklist_matching(
-    tables: Tables, agent, search=None, status=None, priority=None, project=None, start=None, end=None
-) -> DataFrame:
-    """An agent's assignments that meet the filters, as narrow rows."""
+def _worklist(tables: Tables, agent, search, status, priority, project, start, end, customer) -> DataFrame:
     mine = owned_by(tables["custassignment"], "empno_fk", agent)
     mine = where_equal(mine, {"callstatus": status, "callpriority": priority})
     mine = time_range(mine, "calltargetdate", start, end)
     mine = mine.select(_KEY, "custno_fk", "callpriority", "calltargetdate", "assigndate")
     customers = text_search(tables["customer"], ["custname", "custmobilenumber"], search)
     customers = where_equal(customers, {"projectno_fk": project})
-    return having(mine, "custno_fk", customers, "custno_pk", unique=True)
+    return attach(mine, customers, "custno_fk", "custno_pk", customer, how="inner")
+
+
+def worklist_matching(
+    tables: Tables, agent, search=None, status=None, priority=None, project=None, start=None, end=None
+) -> DataFrame:
+    """An agent's assignments that meet the filters, as narrow rows for ``page_info``."""
+    return _worklist(tables, agent, search, status, priority, project, start, end, {})
 
 
 def agent_worklist(
@@ -106,18 +114,10 @@ def agent_worklist(
     sort; ``nulls_last`` moves missing target dates to the end.
     """
     order = _worklist_order(nulls_last)
-    found = worklist_matching(tables, agent, search, status, priority, project, start, end)
-    keys = paginate(found, order, _KEY, page, limit, after)
-    rows = fetch_page(owned_by(tables["custassignment"], "empno_fk", agent), keys, _KEY, limit)
-    who = {
-        "custname": "custname",
-        "custcode": "custcode",
-        "custemail": "custemailid",
-        "custaddress": "custaddress",
-        "custremarks": "custremarks",
-        "__project": "projectno_fk",
-    }
-    rows = attach(rows, tables["customer"], "custno_fk", "custno_pk", who, how="inner")
+    customer = {**_CUSTOMER, "custaddress": "custaddress", "custremarks": "custremarks"}
+    found = _worklist(tables, agent, search, status, priority, project, start, end, customer)
+    found = paginate(found, order, _KEY, page, limit, after)
+    rows = fetch_page(owned_by(tables["custassignment"], "empno_fk", agent), found, _KEY, limit)
     rows = attach(rows, tables["projects"], "__project", "projectno_pk", _PROJECT).drop("__project")
     return sort_rows(rows, order, _KEY)
 
