@@ -98,7 +98,7 @@ def ingest(
     table = TABLES[KINDS.get(kind, kind)]
     base = conform(tables[table.name], table)
     given = list(batch.columns)
-    order_by = order_by or given
+    order_by = order_by or [c for c in given if c not in (*table.hidden, "password")]
     extra = [c for c in order_by if c not in table.columns]
     inputs = T.StructType([f for f in table.struct.fields if f.name != table.key])
     rows = _with_defaults(evolve(batch, inputs), kind, table, run_ts)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import DateType, StructField, StructType
 
 from dialweave.sources import star
 from dialweave.sources.schema import TABLES, Table, conform, redact
@@ -38,7 +39,7 @@ def read_parquet(spark: SparkSession, path: str, table: Table) -> DataFrame:
     """
     schema = table.struct
     if table.day_partition:
-        schema = schema.add(table.day_partition[0], "date")
+        schema = StructType([*schema.fields, StructField(table.day_partition[0], DateType())])
     return redact(spark.read.schema(schema).parquet(f"{path}/{table.name}"), table)
 
 

@@ -314,8 +314,7 @@ def customers_listing_filtered(t):
 @report(
     _CUSTOMER_SQL
     + """
-WHERE (SELECT max(au_entryat) FROM v_customer) = TIMESTAMP '2023-12-31'
-  AND (c.au_entryat < TIMESTAMP '2023-12-01' OR (c.au_entryat = TIMESTAMP '2023-12-01' AND c.custno_pk > 334))
+WHERE c.au_entryat < TIMESTAMP '2023-12-01' OR (c.au_entryat = TIMESTAMP '2023-12-01' AND c.custno_pk > 334)
 ORDER BY c.au_entryat DESC NULLS LAST, c.custno_pk LIMIT 10
 """,
     _CUSTOMER_COLUMNS,
