@@ -13,5 +13,6 @@ from dialweave.functions.scalars import (  # noqa: F401
     falsy_null,
     page_count,
     parse_long,
+    pinned,
     run_time,
 )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import UTC, datetime
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -57,13 +57,19 @@ def day_of(column: Column | str) -> Column:
     return F.to_date(column)
 
 
+def pinned(run_ts: datetime | str | None = None) -> str:
+    """The job's clock as a fixed instant (UTC now by default).
+
+    A job pins it once, so its new table and its written rows carry one time even
+    though they are computed by separate actions.
+    """
+    return str(run_ts if run_ts is not None else datetime.now(UTC).replace(tzinfo=None))
+
+
 def run_time(run_ts: datetime | str | Column | None = None) -> Column:
-    """The job's clock: a given instant (repeatable runs) or the current time."""
-    if run_ts is None:
-        return F.current_timestamp().cast("timestamp_ntz")
     if isinstance(run_ts, Column):
         return run_ts.cast("timestamp_ntz")
-    return F.lit(str(run_ts)).cast("timestamp_ntz")
+    return F.lit(pinned(run_ts)).cast("timestamp_ntz")
 
 
 def parse_long(column: Column | str) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dialweave.functions import falsy_default, falsy_null, run_time
+from dialweave.functions import falsy_default, falsy_null, pinned, run_time
 from dialweave.maintenance.changes import (
     Change,
     accept_first,
@@ -96,6 +96,7 @@ def ingest(
     Rejected rows keep their values and list the ``reasons``.
     """
     table = TABLES[KINDS.get(kind, kind)]
+    run_ts = pinned(run_ts)
     base = conform(tables[table.name], table)
     given = list(batch.columns)
     order_by = order_by or [c for c in given if c not in (*table.hidden, "password")]

@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialweave.functions import falsy_default, falsy_null, run_time
+from dialweave.functions import falsy_default, falsy_null, pinned, run_time
 from dialweave.maintenance.changes import (
     Change,
     last_key,
@@ -104,6 +104,7 @@ def apply_interactions(
     the run's time for events that have none.
     """
     order_by = order_by or ["event_id"]
+    run_ts = pinned(run_ts)
     base = conform(tables["custassignment"], _ASSIGNMENTS)
     history = conform(tables["call_history"], _HISTORY)
     accepted, refused = split_by_owner(events, base)
@@ -124,6 +125,7 @@ def bulk_assign(tables: Tables, batch: DataFrame, run_ts=None) -> Change:
     The customer's mobile number is copied into the assignment. Rows naming an
     unknown customer or employee are rejected.
     """
+    run_ts = pinned(run_ts)
     base = conform(tables["custassignment"], _ASSIGNMENTS)
     phone = {"__customer": "custno_pk", "custmobilenumber": "custmobilenumber"}
     rows = attach(batch, tables["customer"], "custno", "custno_pk", phone)

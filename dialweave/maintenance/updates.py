@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dialweave.functions import ci_key, falsy_null
+from dialweave.functions import ci_key, falsy_null, pinned
 from dialweave.maintenance.changes import (
     POSITION,
     Change,
@@ -108,6 +108,7 @@ def partial_update(tables: Tables, name: str, changes: DataFrame, run_ts=None) -
     row of the table or claimed by an earlier change of another row.
     """
     table = TABLES[name]
+    run_ts = pinned(run_ts)
     base = conform(tables[name], table)
     allowed = F.map_filter("changes", lambda key, _: key.isin(list(table.updatable)))
     rows = changes.select("pk", "seq", "updated_by", F.col("changes").alias("requested"), allowed.alias("changes"))
@@ -151,6 +152,7 @@ def set_status(
 ) -> Change:
     """Flip the status of the given rows (soft delete); rejects are the unknown ids."""
     table = TABLES[name]
+    run_ts = pinned(run_ts)
     base = conform(tables[name], table)
     found, missing = lookup(base.select(table.key), table.key, ids)
     hits = found.select(F.col(table.key).alias("__hit"))

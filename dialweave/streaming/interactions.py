@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from dialweave.maintenance.changes import last_key
+from dialweave.functions import pinned, run_time
 from dialweave.maintenance.interactions import (
     REPORTED,
     fold_events,
@@ -31,6 +31,9 @@ FEED_SCHEMA = (
     "count_message int, call_duration int"
 )
 
+# A micro-batch up to this many events names few enough assignments to broadcast.
+BROADCAST_EVENTS = 100_000
+
 _HISTORY = TABLES["call_history"]
 _ASSIGNMENTS = TABLES["custassignment"]
 
@@ -61,15 +64,43 @@ def _changes_schema() -> str:
     return f"assignno_pk long, empno long, {kinds}, applied_at timestamp_ntz, batch long"
 
 
+_PROGRESS_SCHEMA = "last_key long, batch long"
+
+
 def _stored(spark: SparkSession, root: str, part: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{root}/{part}")
 
 
-def _prepare(spark: SparkSession, root: str) -> None:
-    """A first, empty file lets readers start before the first batch."""
-    for part, schema in (("history", _history_schema()), ("changes", _changes_schema())):
-        empty = spark.createDataFrame([], schema).drop("batch")
-        empty.write.mode("overwrite").parquet(f"{root}/{part}/batch=-1")
+def _write(df: DataFrame, root: str, part: str, batch: int) -> None:
+    df.write.mode("overwrite").parquet(f"{root}/{part}/batch={batch}")
+
+
+def _prepare(spark: SparkSession, root: str, tables: Tables) -> None:
+    """A first file per part lets readers start before the first batch.
+
+    The progress part starts with the highest history key in use, so no micro-batch
+    has to look for it again.
+    """
+    _write(spark.createDataFrame([], _history_schema()).drop("batch"), root, "history", -1)
+    _write(spark.createDataFrame([], _changes_schema()).drop("batch"), root, "changes", -1)
+    known = tables["call_history"].agg(F.coalesce(F.max("history_pk"), F.lit(0)).alias("last_key"))
+    _write(known, root, "progress", -1)
+
+
+def _last_key(spark: SparkSession, root: str, batch: int) -> int:
+    earlier = _stored(spark, root, "progress", _PROGRESS_SCHEMA).where(F.col("batch") < batch)
+    return earlier.agg(F.max("last_key")).first()[0]
+
+
+def _named(assignments: DataFrame, events: DataFrame, count: int) -> DataFrame:
+    """The assignments a micro-batch names.
+
+    A batch of checked size is broadcast, which spares shuffling the whole table; a
+    larger one is left to an ordinary join.
+    """
+    names = events.select(F.col("assignno_pk").alias("__named")).distinct()
+    names = F.broadcast(names) if count <= BROADCAST_EVENTS else names
+    return assignments.join(names, F.col("assignno_pk") == F.col("__named"), "left_semi")
 
 
 def start_interactions(
@@ -78,27 +109,28 @@ def start_interactions(
     """Apply a feed; by default process what is there and stop.
 
     ``tables`` opens the base tables, once per micro-batch. A repeated batch
-    overwrites its own folder and numbers its rows from the same start, so a restart
-    neither loses nor repeats an event.
+    overwrites its own folders and numbers its rows from the same start, so a restart
+    neither loses nor repeats an event. The work of a batch grows with the batch: the
+    base history is never read, and assignments are only filtered.
     """
     spark = feed.sparkSession
 
     def apply(events: DataFrame, batch: int) -> None:
-        base = tables()
-        accepted, _ = split_by_owner(events, conform(base["custassignment"], _ASSIGNMENTS))
-        accepted = freeze(accepted)  # both writes below use the batch
-        if accepted.isEmpty():
+        events = freeze(events)  # read by several jobs below, computed once
+        count = events.count()
+        if count == 0:
             return
-        earlier = stored_history(spark, root).where(F.col("batch") < batch).select("history_pk")
-        known = conform(base["call_history"], _HISTORY).select("history_pk").unionByName(earlier)
-        rows = history_rows(accepted, last_key(known, "history_pk"), run_ts)
-        rows.write.mode("overwrite").parquet(f"{root}/history/batch={batch}")
-        moment = F.current_timestamp() if run_ts is None else F.lit(str(run_ts))
-        folded = fold_events(accepted, ["event_id"])
-        folded = folded.withColumn("applied_at", moment.cast("timestamp_ntz"))
-        folded.write.mode("overwrite").parquet(f"{root}/changes/batch={batch}")
-
-    _prepare(spark, root)
+        moment = pinned(run_ts)
+        assignments = _named(conform(tables()["custassignment"], _ASSIGNMENTS), events, count)
+        accepted = freeze(split_by_owner(events, assignments)[0])
+        start = _last_key(spark, root, batch)
+        _write(history_rows(accepted, start, moment), root, "history", batch)
+        folded = fold_events(accepted, ["event_id"]).withColumn("applied_at", run_time(moment))
+        _write(folded, root, "changes", batch)
+        reached = spark.range(1, numPartitions=1).select(F.lit(start + accepted.count()).alias("last_key"))
+        _write(reached, root, "progress", batch)
+
+    _prepare(spark, root, tables())
     return (
         _without_repeats(feed, remember)
         .writeStream.foreachBatch(apply)

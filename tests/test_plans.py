@@ -41,18 +41,27 @@ def at_scale(spark):
 BATCH = [n for n in contract.queries() if not n.startswith("stream") and n != "snapshot_daily_activity"]
 
 
-def test_no_pairwise_joins_and_no_expand(spark, at_scale):
-    for name in BATCH:
-        plan = plan_of(contract.queries()[name](spark, SF))
+_PLANS: dict[str, str] = {}
+
+
+@pytest.fixture
+def plans_at_scale(spark, at_scale):
+    if not _PLANS:
+        _PLANS.update({name: plan_of(contract.queries()[name](spark, SF)) for name in BATCH})
+    return _PLANS
+
+
+def test_no_pairwise_joins_and_no_expand(plans_at_scale):
+    for name, plan in plans_at_scale.items():
         for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "Expand", "Python"):
             assert bad not in plan, (name, bad)
 
 
-def test_only_bounded_sides_are_broadcast(spark, at_scale):
+def test_only_bounded_sides_are_broadcast(plans_at_scale):
     """With the size threshold off, what is still broadcast was hinted: pages, and key offsets."""
     allowed = {"assignments_listing", "assignments_listing_agent", "agent_worklist", "agent_worklist_filtered",
                "ingest_employees", "ingest_team_members", "interaction_history", "bulk_assign"}
-    seen = {n for n in BATCH if "BroadcastHashJoin" in plan_of(contract.queries()[n](spark, SF))}
+    seen = {name for name, plan in plans_at_scale.items() if "BroadcastHashJoin" in plan}
     assert seen <= allowed
 
 
