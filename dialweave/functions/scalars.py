@@ -8,17 +8,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def ci(column: Column | str) -> Column:
+def ci(column: Column | str, collation: str | None = None) -> Column:
     """Case-folded form of a text column.
 
     The source database compares text case-insensitively, so equality, IN and
-    grouping on role, status and priority columns all go through this.
+    grouping on role, status and priority columns all go through this. It also ignores
+    accents and trailing blanks; name a collation such as ``UNICODE_CI_AI_RTRIM`` to
+    have that too.
     """
-    return F.upper(F.col(column) if isinstance(column, str) else column)
+    column = F.col(column) if isinstance(column, str) else column
+    return F.upper(column) if collation is None else F.collate(column, collation)
 
 
-def ci_equal(column: Column | str, value: str) -> Column:
-    return ci(column) == F.upper(F.lit(value))
+def ci_equal(column: Column | str, value: str, collation: str | None = None) -> Column:
+    return ci(column, collation) == (F.upper(F.lit(value)) if collation is None else F.lit(value))
 
 
 def ci_in(column: Column | str, values: list[str]) -> Column:

@@ -17,6 +17,7 @@ class Deleted(NamedTuple):
     tables: Tables
     missing: DataFrame
     removed: dict[str, DataFrame]
+    deleted: DataFrame
 
 
 def _rules(table: Table, overrides: dict[tuple[str, str], str]) -> list[tuple[str, str, str]]:
@@ -48,8 +49,8 @@ def delete(
 
     ``keys`` has the table's key, or several of its columns that must all match.
     ``fk_rules`` overrides a rule: ``{(table, column): "CASCADE" | "SET NULL"}``.
-    Returns the affected tables exchanged, the keys that matched nothing, and the
-    keys removed per table.
+    Returns the affected tables exchanged, the keys that matched nothing, the keys
+    removed per table, and the deleted rows of the table itself.
 
     Tables are visited parents first, so a table's removed keys are known before its
     children are looked at. Removed keys are unique; the children, which may repeat
@@ -60,7 +61,8 @@ def delete(
     base = conform(tables[name], target)
     on = keys.columns
     wanted = keys.dropDuplicates()
-    removed = {name: base.join(wanted, on, "left_semi").select(target.key)}
+    deleted = base.join(wanted, on, "left_semi")
+    removed = {name: deleted.select(target.key)}
     missing = wanted.join(base.select(*on).distinct(), on, "left_anti")
     result = {name: lacking(base, target.key, removed[name], target.key, unique=True)}
 
@@ -83,4 +85,4 @@ def delete(
             narrow = rows.select(table.key, *[c for c, _ in cascades])
             parts = [p.select(table.key) for p in _disjoint(narrow, cascades)]
             removed[table.name] = reduce(DataFrame.unionByName, parts)
-    return Deleted(tables.replaced(**result), missing, removed)
+    return Deleted(tables.replaced(**result), missing, removed, deleted)

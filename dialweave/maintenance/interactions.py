@@ -47,15 +47,13 @@ def split_by_owner(events: DataFrame, assignments: DataFrame) -> tuple[DataFrame
 def fold_events(events: DataFrame, order_by: list[str]) -> DataFrame:
     """Per assignment, agent and column, the last value reported.
 
-    A maximum over (order, value) that skips NULLs: partial aggregation folds the
-    events of a hot assignment before anything is shuffled.
+    NULLs are skipped, since only rows with a value take part in the maximum. Partial
+    aggregation folds the events of a hot assignment before anything is shuffled.
     """
-    place = [F.col(c).alias(f"o{i}") for i, c in enumerate(order_by)]
-    last = {
-        c: F.max(F.when(F.col(c).isNotNull(), F.struct(*place, F.col(c).alias("value")))) for c in REPORTED
-    }
+    place = F.col(order_by[0]) if len(order_by) == 1 else F.struct(*order_by)
+    last = [F.max_by(c, F.when(F.col(c).isNotNull(), place)).alias(c) for c in REPORTED]
     applied = [F.max("applied_at").alias("applied_at")] if "applied_at" in events.columns else []
-    return events.groupBy("assignno_pk", "empno").agg(*[v["value"].alias(c) for c, v in last.items()], *applied)
+    return events.groupBy("assignno_pk", "empno").agg(*last, *applied)
 
 
 def merge_folded(base: DataFrame, folded: DataFrame, run_ts=None) -> DataFrame:

@@ -17,9 +17,10 @@ def filled(column: str) -> Column:
     return falsy_null(column).isNotNull()
 
 
-def email_ok(column: str) -> Column:
+def email_ok(column: Column | str) -> Column:
     """Something@domain.tld without blanks; simpler than a full address grammar."""
-    return F.coalesce(F.col(column).rlike(r"^[^@\s]+@[^@\s.]+(\.[^@\s.]+)+$"), F.lit(False))
+    column = F.col(column) if isinstance(column, str) else column
+    return F.coalesce(column.rlike(r"^[^@\s]+@[^@\s.]+(\.[^@\s.]+)+$"), F.lit(False))
 
 
 def long_enough(column: str, n: int) -> Column:

@@ -14,12 +14,16 @@ from dialweave.maintenance.changes import (
     update_stamps,
     with_reason,
 )
+from dialweave.maintenance.quality import ROLES, email_ok
 from dialweave.operators.filters import lookup
 from dialweave.operators.joins import attach, having, lacking
 from dialweave.session import freeze
 from dialweave.sources.schema import TABLES, Table, conform
 from dialweave.sources.tables import Tables
 
+# Rules on new values, beyond their type.
+UPDATE_RULES = {"users": {"email": email_ok, "role": lambda value: F.coalesce(value.isin(ROLES), F.lit(False))}}
+
 # Tables whose update request may be empty: it then only stamps the row.
 MAY_BE_EMPTY = {"custassignment"}
 
@@ -40,6 +44,8 @@ def _reasons(table: Table) -> Column:
             target = table.struct[column].dataType
             broken = _value(column).isNotNull() & _value(column).try_cast(target).isNull()
             checks.append(F.when(broken, F.lit(f"invalid {column}")))
+    for column, rule in UPDATE_RULES.get(table.name, {}).items():
+        checks.append(F.when(_set(column) & ~rule(_value(column)), F.lit(f"invalid {column}")))
     return F.array_compact(F.array(*checks)) if checks else F.array().cast("array<string>")
 
 
@@ -78,18 +84,17 @@ def _taken(rows: DataFrame, base: DataFrame, table: Table) -> DataFrame:
 
 
 def _fold(changes: DataFrame, table: Table) -> DataFrame:
-    """All changes of a row as one: per column, the value set last.
+    """All changes of a row as one: per column, the value set last, wrapped so that
+    "set to NULL" differs from "not set".
 
-    A maximum over (sequence, value) per column needs no window, and partial
-    aggregation folds the changes of a hot row before they are shuffled.
+    A maximum per column needs no window, and partial aggregation folds the changes of
+    a hot row before they are shuffled.
     """
-    latest = {
-        c: F.max(F.when(_set(c), F.struct("seq", _value(c).alias("value")))) for c in table.updatable
-    }
-    return changes.groupBy("pk").agg(
-        *[v.alias(f"__{c}") for c, v in latest.items()],
-        F.max(F.struct("seq", "updated_by"))["updated_by"].alias("__by"),
-    )
+    latest = [
+        F.max_by(F.struct(_value(c).alias("value")), F.when(_set(c), F.col("seq"))).alias(f"__{c}")
+        for c in table.updatable
+    ]
+    return changes.groupBy("pk").agg(*latest, F.max_by("updated_by", "seq").alias("__by"))
 
 
 def _new_value(column: str, table: Table) -> Column:

@@ -29,4 +29,4 @@ from dialweave.operators.ordering import (  # noqa: F401
     priority_sort,
     sort_rows,
 )
-from dialweave.operators.shaping import display_defaults, nest, rename, unnest  # noqa: F401
+from dialweave.operators.shaping import display_defaults, nest, preview, rename, unnest  # noqa: F401

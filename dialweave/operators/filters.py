@@ -20,20 +20,22 @@ def _absent(value) -> bool:
     return value is None or value == ""
 
 
-def _equal(df: DataFrame, column: str, value, fold: bool) -> Column:
+def _equal(df: DataFrame, column: str, value, fold: bool, collation: str | None = None) -> Column:
     kind = df.schema[column].dataType
     if isinstance(kind, T.StringType):
-        return ci_equal(column, str(value)) if fold else F.col(column) == F.lit(str(value))
+        return ci_equal(column, str(value), collation) if fold else F.col(column) == F.lit(str(value))
     if isinstance(value, str):  # a request parameter: text that should be a number or a time
         return F.col(column) == F.lit(value).try_cast(kind)
     return F.col(column) == F.lit(value)
 
 
-def where_equal(df: DataFrame, values: dict[str, object], ci: bool = True) -> DataFrame:
+def where_equal(
+    df: DataFrame, values: dict[str, object], ci: bool = True, collation: str | None = None
+) -> DataFrame:
     """AND of ``column = value`` over the values supplied; text ignores case."""
     for column, value in values.items():
         if not _absent(value):
-            df = df.where(_equal(df, column, value, ci))
+            df = df.where(_equal(df, column, value, ci, collation))
     return df
 
 

@@ -18,6 +18,11 @@ def display_defaults(df: DataFrame, defaults: dict[str, object]) -> DataFrame:
     return df.withColumns({c: falsy_default(c, d) for c, d in defaults.items()})
 
 
+def preview(df: DataFrame, columns: list[str], pk: str, n: int = 5) -> DataFrame:
+    """The first rows of a table by key."""
+    return df.select(*columns).orderBy(pk).limit(n)
+
+
 def rename(df: DataFrame, names: dict[str, str]) -> DataFrame:
     return df.withColumnsRenamed(names)
 

@@ -57,6 +57,16 @@ def jdbc_options(url: str, table: Table, bounds: tuple[int, int], partitions: in
     }
 
 
+def key_bounds(
+    spark: SparkSession, url: str, table: Table, properties: Mapping[str, str] | None = None
+) -> tuple[int, int]:
+    """Lowest and highest key, asked of the database itself."""
+    query = f"select min({table.key}) as low, max({table.key}) as high from {table.name}"
+    options = {"url": url, "query": query, **(properties or {})}
+    low, high = spark.read.format("jdbc").options(**options).load().first()
+    return low or 0, high or 0
+
+
 def read_jdbc(
     spark: SparkSession,
     url: str,
@@ -79,14 +89,18 @@ def load_tables(
 ) -> Tables:
     """All tables by name. ``path`` is a folder, or the database URL for ``jdbc``.
 
-    ``jdbc`` needs the key range of each table it reads in ``bounds``.
+    ``jdbc`` reads each table in key ranges; give the key range in ``bounds`` to
+    spare asking for it.
     """
     if source == "parquet":
         return Tables(lambda name: read_parquet(spark, path, TABLES[name]))
     if source == "jdbc":
-        return Tables(
-            lambda name: read_jdbc(spark, path, TABLES[name], (bounds or {})[name], partitions, properties)
-        )
+
+        def open_table(name: str) -> DataFrame:
+            known = (bounds or {}).get(name) or key_bounds(spark, path, TABLES[name], properties)
+            return read_jdbc(spark, path, TABLES[name], known, partitions, properties)
+
+        return Tables(open_table)
     if source == "star":
         return Tables(lambda name: conform(star.view(spark, path, name), TABLES[name]))
     raise ValueError(f"unknown source {source!r}")

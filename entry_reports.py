@@ -528,6 +528,19 @@ def employee_assignments(t):
     return plans.employee_assignments(t, 1)
 
 
+@report("SELECT empno_pk, empcode, name, role, empstatus FROM v_employees ORDER BY empno_pk LIMIT 5")
+def employees_preview(t):
+    return ops.preview(t["employees"], ["empno_pk", "empcode", "name", "role", "empstatus"], "empno_pk")
+
+
+@report(
+    "SELECT custno_pk, custcode, custname, custmobilenumber, projectno_fk FROM v_customer ORDER BY custno_pk LIMIT 5"
+)
+def customers_preview(t):
+    columns = ["custno_pk", "custcode", "custname", "custmobilenumber", "projectno_fk"]
+    return ops.preview(t["customer"], columns, "custno_pk")
+
+
 # --- staffing ------------------------------------------------------------------
 
 _MEMBERS_SQL = """

@@ -230,6 +230,23 @@ def test_partial_update_reasons(make_tables, spark):
     assert rows == [(1, "a", "a@x", None), (2, "newer", None, 1)]
 
 
+def test_user_update_rules(make_tables, spark):
+    t = make_tables(users=[{"id": 1, "email": "a@b.org", "role": "AGENT", "social_ids": "{}"}])
+    feed = spark.createDataFrame(
+        [
+            (1, {"email": "nope"}, 9, 1),
+            (1, {"role": "agent"}, 9, 2),
+            (1, {"email": None}, 9, 3),
+            (1, {"role": "MANAGER", "social_ids": ""}, 9, 4),
+        ],
+        FEED,
+    )
+    change = jobs.partial_update(t, "users", feed, NOW)
+    assert {r["seq"]: r["reasons"] for r in change.rejects.collect()} == {
+        1: ["invalid email"], 2: ["invalid role"], 3: ["invalid email"]}
+    assert values(change.new, "email", "role", "social_ids", "updated_at") == [("a@b.org", "MANAGER", None, at(NOW))]
+
+
 def test_set_status(make_tables):
     t = make_tables(users=[{"id": i, "status": "active"} for i in (1, 2)])
     change = jobs.set_status(t, "users", [2, 8], run_ts=NOW)
@@ -353,6 +370,7 @@ def test_delete_cascades_through_assignments(linked, spark):
     assert keys(gone.tables, "custassignment") == [2, 3, 4]
     assert keys(gone.tables, "call_history") == [3, 4, 5]
     assert values(gone.missing) == [(9,)]
+    assert values(gone.deleted, "custno_pk", "projectno_fk") == [(1, 1)]
     assert sorted(values(gone.removed["call_history"])) == [(1,), (2,)]
     assert jobs.orphans(gone.tables).count() == 0
 

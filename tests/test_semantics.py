@@ -32,6 +32,14 @@ def test_grouping_ignores_case_and_keeps_null(make_tables):
     )
 
 
+def test_accents_and_trailing_blanks_on_request(frame):
+    names = ["Jose", "JOSÉ  ", "josef"]
+    rows = frame("customer", [{"custno_pk": i, "custtype": n} for i, n in enumerate(names)])
+    assert values(ops.where_equal(rows, {"custtype": "jose"}), "custno_pk") == [(0,)]
+    loose = ops.where_equal(rows, {"custtype": "jose"}, collation="UNICODE_CI_AI_RTRIM")
+    assert values(loose, "custno_pk") == [(0,), (1,)]
+
+
 def test_null_order_and_nulls_last(frame):
     rows = frame("custassignment", [{"assignno_pk": i, "calltargetdate": d} for i, d in
                                     enumerate([at("2024-01-02"), None, at("2024-01-01")])])
