@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from typing import NamedTuple
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +15,7 @@ from dialweave.maintenance.changes import (
     positioned,
     stamp_entry,
     update_stamps,
+    with_reason,
 )
 from dialweave.operators.joins import attach
 from dialweave.sources.schema import TABLES, conform
@@ -27,11 +28,27 @@ _HISTORY = TABLES["call_history"]
 REPORTED = ["calleddatetime", "callstatus", "callstatus_text", "followupdate", "count_call", "count_message"]
 
 
-class Applied(NamedTuple):
-    assignments: DataFrame
-    history: DataFrame
-    rejects: DataFrame
-    delta: DataFrame
+class Applied:
+    """Outcome of a feed: ``assignments``, ``rejects``, and the log.
+
+    ``delta`` (the new history rows) and ``history`` (the whole log) number the rows on
+    first use, which runs a job.
+    """
+
+    def __init__(self, assignments: DataFrame, rejects: DataFrame, accepted: DataFrame, logged: DataFrame, run_ts):
+        self.assignments = assignments
+        self.rejects = rejects
+        self._accepted = accepted
+        self._logged = logged
+        self._run_ts = run_ts
+
+    @cached_property
+    def delta(self) -> DataFrame:
+        return history_rows(self._accepted, last_key(self._logged, "history_pk"), self._run_ts)
+
+    @cached_property
+    def history(self) -> DataFrame:
+        return self._logged.unionByName(self.delta)
 
 
 def split_by_owner(events: DataFrame, assignments: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -112,9 +129,8 @@ def apply_interactions(
         timed = events.withColumn("__called", F.coalesce("calleddatetime", run_time(run_ts)))
         order_by = ["__called" if c == "calleddatetime" else c for c in order_by]
     assignments = merge_folded(base, fold_events(timed, order_by), run_ts)
-    delta = history_rows(accepted, last_key(history, "history_pk"), run_ts)
-    rejects = refused.withColumn("reasons", F.array(F.lit("assignment not owned by this agent")))
-    return Applied(assignments, history.unionByName(delta), rejects, delta)
+    rejects = with_reason(refused, "assignment not owned by this agent")
+    return Applied(assignments, rejects, accepted, history, run_ts)
 
 
 def bulk_assign(tables: Tables, batch: DataFrame, run_ts=None) -> Change:

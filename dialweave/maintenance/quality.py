@@ -39,7 +39,10 @@ REGISTRATION_ROLES = ["admin", "agent", "manager", "ADMIN", "AGENT", "MANAGER",
 RULES = {
     "projects": {"projectname": lambda: filled("projectname")},
     "empteam": {"teamname": lambda: filled("teamname")},
-    "empteamdtl": {"teamno_fk": lambda: F.col("teamno_fk").isNotNull(), "empno_fk": lambda: F.col("empno_fk").isNotNull()},
+    "empteamdtl": {
+        "teamno_fk": lambda: F.col("teamno_fk").isNotNull(),
+        "empno_fk": lambda: F.col("empno_fk").isNotNull(),
+    },
     "employees": {
         "name": lambda: filled("name"),
         "emailidoffical": lambda: email_ok("emailidoffical"),

@@ -16,7 +16,7 @@ from dialweave.operators.filters import (  # noqa: F401
     time_range,
     where_equal,
 )
-from dialweave.operators.joins import attach, fan_out, having, lacking, with_names  # noqa: F401
+from dialweave.operators.joins import attach, fan_out, having, lacking  # noqa: F401
 from dialweave.operators.ordering import (  # noqa: F401
     Order,
     by_name,

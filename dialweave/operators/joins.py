@@ -56,10 +56,3 @@ def fan_out(parent: DataFrame, pk: str, child: DataFrame, fk: str, columns: dict
     matched = facts.join(parent, F.col(_KEY) == F.col(pk), "inner").drop(_KEY)
     alone = lacking(parent, pk, child, fk)
     return matched.unionByName(alone, allowMissingColumns=True).select(*parent.columns, *columns)
-
-
-def with_names(rows: DataFrame, tables: dict[str, DataFrame], fks: dict[str, tuple]) -> DataFrame:
-    """Attach columns of several dimensions: ``{fk: (table, pk, {new name: column})}``."""
-    for fk, (table, pk, columns) in fks.items():
-        rows = attach(rows, tables[table], fk, pk, columns)
-    return rows

@@ -24,6 +24,7 @@ from dialweave.operators import (
     time_range,
     where_equal,
 )
+from dialweave.sources.schema import TABLES
 from dialweave.sources.tables import Tables
 
 _KEY = "assignno_pk"
@@ -125,6 +126,7 @@ def agent_worklist(
 def assignment_history(tables: Tables, ids=None) -> DataFrame:
     """Interactions of the given assignments (default: of all), newest first."""
     history = tables["call_history"].where(F.col("assignno_fk").isNotNull())
+    history = history.select(*TABLES["call_history"].columns)
     if ids is None:
         history = having(history, "assignno_fk", tables["custassignment"], _KEY, unique=True)
     else:

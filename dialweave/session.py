@@ -15,6 +15,10 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # a page deep in a listing sorts on disk instead of keeping all rows before it in memory
     "spark.sql.execution.topKSortFallbackThreshold": "1000000",
+    # a page found by a long scan is broadcast when the scan is done, however long it took
+    "spark.sql.broadcastTimeout": "36000",
+    # frozen frames are removed from the shared folder once nothing refers to them
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # event ids the feed remembers live on disk, not on the heap
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"

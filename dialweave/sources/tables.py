@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import DateType, StructField, StructType
 
 from dialweave.sources import star
 from dialweave.sources.schema import TABLES, Table, conform, redact
@@ -34,13 +33,10 @@ class Tables(dict[str, DataFrame]):
 def read_parquet(spark: SparkSession, path: str, table: Table) -> DataFrame:
     """One table with its declared schema: no inference, no footer scan.
 
-    A day-partitioned table keeps its partition column, so ``time_range`` can
-    prune folders.
+    A table stored in day folders also shows the day, so ``time_range`` can prune
+    folders.
     """
-    schema = table.struct
-    if table.day_partition:
-        schema = StructType([*schema.fields, StructField(table.day_partition[0], DateType())])
-    return redact(spark.read.schema(schema).parquet(f"{path}/{table.name}"), table)
+    return redact(spark.read.schema(table.struct).parquet(f"{path}/{table.name}"), table)
 
 
 def jdbc_options(url: str, table: Table, bounds: tuple[int, int], partitions: int = 64) -> dict[str, str]:

@@ -87,6 +87,18 @@ def test_history_is_stored_by_day_and_pruned(spark, history, tmp_path):
     assert "GreaterThanOrEqual(interaction_datetime" in plan.split("PushedFilters: [")[1]
 
 
+def test_history_without_day_folders_reads_the_same(spark, history, tmp_path):
+    history.write.parquet(f"{tmp_path}/flat/call_history")
+    append(history, f"{tmp_path}/days", "call_history")
+    for folder in ("flat", "days"):
+        t = load_tables(spark, f"{tmp_path}/{folder}")
+        assert t["call_history"].count() == 90
+        assert plans.daily_activity(t, "2024-01-03", "2024-01-05").count() == 2
+        full = t.replaced(custassignment=conform(spark.range(0).select(F.col("id").alias("assignno_pk")), TABLES["custassignment"]),
+                          employees=conform(spark.range(0).select(F.col("id").alias("empno_pk")), TABLES["employees"]))
+        assert "interaction_day" not in plans.assignment_history(full).columns
+
+
 def test_published_versions(spark, history, tmp_path):
     root = str(tmp_path)
     publish({"call_history": history}, root, 1)
