@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # partitions of the advised size, rather than one per core however small
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
     # a page deep in a listing sorts on disk instead of keeping all rows before it in memory
     "spark.sql.execution.topKSortFallbackThreshold": "1000000",
     # a page found by a long scan is broadcast when the scan is done, however long it took

@@ -186,16 +186,15 @@ def insert_ignore(spark, sf):
 
 def _changes(spark, sf):
     feed = star.interaction_feed(star.read_source(spark, sf, "events"))
-    source = star.read_source(spark, sf, "events").select("event_id", "event_type")
     status = F.create_map(F.lit("callstatus"), F.col("callstatus"))
     due = F.create_map(F.lit("followupdate"), F.date_format("calleddatetime", "yyyy-MM-dd HH:mm:ss"))
     junk = F.create_map(F.lit("assignno_pk"), F.lit("1"))
-    kind = F.col("event_type")
-    return feed.join(source, "event_id").select(
+    kind = F.col("callstatus")  # errors are "No Answer", views are "Pending"
+    return feed.select(
         F.col("assignno_pk").alias("pk"),
         F.col("event_id").alias("seq"),
         F.col("empno").alias("updated_by"),
-        F.when(kind == "error", due).when(kind == "view", junk).otherwise(status).alias("changes"),
+        F.when(kind == "No Answer", due).when(kind == "Pending", junk).otherwise(status).alias("changes"),
     )
 
 
@@ -203,7 +202,8 @@ def _changes(spark, sf):
   SELECT f.*, e.event_type FROM v_feed f JOIN events e USING (event_id)),
 folded AS (
   SELECT assignno_pk,
-         first(callstatus ORDER BY event_id DESC) FILTER (WHERE event_type IN ('purchase', 'signup', 'click')) AS status,
+         first(callstatus ORDER BY event_id DESC)
+           FILTER (WHERE event_type IN ('purchase', 'signup', 'click')) AS status,
          count(*) FILTER (WHERE event_type IN ('purchase', 'signup', 'click')) AS n_status,
          max(event_id) FILTER (WHERE event_type = 'error') AS last_error,
          first(empno ORDER BY event_id DESC) AS by
