@@ -3,18 +3,38 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from dialweave.llm.mixing import mixture
 from dialweave.llm.near_dedup import near_duplicates
+from dialweave.llm.packing import packed_sequences
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_circulant_minhash(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(_table(spark, sf, "documents"), words=3, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op1_circulant_minhash,)}
+def op3_exponential_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    return mixture(_table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op6_hilbert_packing(spark: SparkSession, sf: str) -> DataFrame:
+    pieces = packed_sequences(_table(spark, sf, "documents"), tokenizer_path())
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_circulant_minhash, op3_exponential_mixing, op6_hilbert_packing)}
 
 SQL: dict[str, str] = {}
