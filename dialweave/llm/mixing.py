@@ -88,16 +88,52 @@ def mixture(
     names; an empty table gives an empty result.
     """
     weight = prose_weight() if weight is None else weight
-    rows = freeze(
-        docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"),
-            F.col("source").cast("string").alias("source"),
-            # sorts by code point, null last
-            F.coalesce(F.concat(F.lit("0"), F.col("source").cast("string")), F.lit("1")).alias("source_key"),
-            n_words().alias("size"),
-            exponential_key(weight).alias("order_key"),
-        )
+    rows = freeze(docs.select(*_ordered(weight)))
+    return rows.join(_taken(rows, cycle, epochs), _alike()).select(
+        "doc_id", "source", "size", "order_key", "source_size", "target", "taken"
     )
+
+
+def mixed_documents(
+    docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), epochs: int = 3, weight: Column | None = None
+) -> DataFrame:
+    """`docs`, each row as often as the mixture takes it, and as it is.
+
+    Documents stay whole: the part of a document that closes a source's target
+    counts as one copy from one half on. A document without words is not taken.
+    Columns are those of `docs`.
+    """
+    weight = prose_weight() if weight is None else weight
+    whole = docs.select(F.struct("*").alias("row"), *_ordered(weight))
+    # the sums need no texts: they run over a narrow frame of their own
+    taken = _taken(docs.select(*_ordered(weight)), cycle, epochs)
+    copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
+    repeated = whole.join(taken, _alike()).withColumn("copies", copies).where("copies > 0")
+    return repeated.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
+
+
+def _ordered(weight: Column) -> list[Column]:
+    return [
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("source").cast("string").alias("source"),
+        # sorts by code point, null last
+        F.coalesce(F.concat(F.lit("0"), F.col("source").cast("string")), F.lit("1")).alias("source_key"),
+        n_words().alias("size"),
+        exponential_key(weight).alias("order_key"),
+    ]
+
+
+def _alike() -> Column:
+    return (
+        (F.col("source_key") == F.col("k_source"))
+        & (F.col("order_key") == F.col("k_order"))
+        & F.col("doc_id").eqNullSafe(F.col("k_doc"))
+        & (F.col("size") == F.col("k_size"))
+    )
+
+
+def _taken(rows: DataFrame, cycle: tuple[int, ...], epochs: int) -> DataFrame:
+    """Words taken of each row with these keys; rows with the same keys are treated alike."""
     alike = rows.groupBy("source_key", "order_key", "doc_id", "size").agg(F.count("*").alias("rows"))
     alike = alike.withColumn("words", F.col("rows") * F.col("size"))
     sources = alike.groupBy("source_key").agg(F.sum("words").alias("source_size"))
@@ -106,7 +142,7 @@ def mixture(
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     part = F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long")
     last = F.greatest(F.lit(0), F.least(F.col("words"), part - F.col("before")))
-    taken = placed.withColumn("whole", whole).select(
+    return placed.withColumn("whole", whole).select(
         F.col("source_key").alias("k_source"),
         F.col("order_key").alias("k_order"),
         F.col("doc_id").alias("k_doc"),
@@ -115,12 +151,3 @@ def mixture(
         "target",
         (F.col("whole") * F.col("size") + F.floor(last / F.col("rows"))).cast("long").alias("taken"),
     )
-    met = (
-        (F.col("source_key") == F.col("k_source"))
-        & (F.col("order_key") == F.col("k_order"))
-        & F.col("doc_id").eqNullSafe(F.col("k_doc"))
-        & (F.col("size") == F.col("k_size"))
-    )
-    return rows.join(taken, met).select(
-        "doc_id", "source", "size", "order_key", F.col("source_size"), "target", "taken"
-    )

@@ -200,6 +200,18 @@ def near_duplicates(
     )
 
 
+def distinct_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """`docs` without near copies: of each linked group the document with the smallest doc_id stays.
+
+    Rows that repeat both doc_id and text are one document; rows without a doc_id
+    stay as they are. Columns are those of `docs`.
+    """
+    kept = near_duplicates(docs, words, percent).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept")).distinct()
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_text"))
+    once = rows.join(kept, F.col("_id") == F.col("_kept"), "left_semi").dropDuplicates(["_id", "_text"])
+    return once.union(rows.where("_id IS NULL")).select("_row.*")
+
+
 def _can_reach(n, alone, m, alone_there, percent: int, known_size: bool = True):
     """Whether two sets can still reach the threshold, given the shingles that each has alone.
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from dialweave.llm.mixing import mixture
 from dialweave.llm.near_dedup import near_duplicates
 from dialweave.llm.packing import packed_sequences
+from dialweave.llm.private_data import pseudonymised
+from dialweave.llm.toxicity import toxicity_scores
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -24,10 +26,23 @@ def op1_circulant_minhash(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(_table(spark, sf, "documents"), words=3, percent=85)
 
 
+def op2_counterfactual_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity_scores(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
+
+
 def op3_exponential_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixture(_table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+#: Key of the registered query and pipeline; a real run passes its own secret.
+PSEUDONYM_KEY = "registered query"
+
+
+def op5_feistel_pseudonyms(spark: SparkSession, sf: str) -> DataFrame:
+    done = pseudonymised(_table(spark, sf, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
+    return done.withColumn("private_kinds", F.array_join("private_kinds", ","))
+
+
 def op6_hilbert_packing(spark: SparkSession, sf: str) -> DataFrame:
     pieces = packed_sequences(_table(spark, sf, "documents"), tokenizer_path())
     return pieces.select(
@@ -35,6 +50,12 @@ def op6_hilbert_packing(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_circulant_minhash, op3_exponential_mixing, op6_hilbert_packing)}
+QUERIES = {f.__name__: f for f in (
+        op1_circulant_minhash,
+        op2_counterfactual_toxicity,
+        op3_exponential_mixing,
+        op5_feistel_pseudonyms,
+        op6_hilbert_packing,
+    )}
 
 SQL: dict[str, str] = {}
