@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dialweave.llm.archives import new_archive_folder, read_archives, write_archives
+from dialweave.llm.fingerprints import fingerprints
+from dialweave.llm.licenses import license_labels
 from dialweave.llm.mixing import mixture
 from dialweave.llm.near_dedup import near_duplicates
 from dialweave.llm.packing import packed_sequences
+from dialweave.llm.passages import repeated_passages
 from dialweave.llm.private_data import pseudonymised
 from dialweave.llm.toxicity import toxicity_scores
+from dialweave.llm.vectors import near_vectors
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -34,6 +39,10 @@ def op3_exponential_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixture(_table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_diagonal_licenses(spark: SparkSession, sf: str) -> DataFrame:
+    return license_labels(_table(spark, sf, "documents")).drop("spans")
+
+
 #: Key of the registered query and pipeline; a real run passes its own secret.
 PSEUDONYM_KEY = "registered query"
 
@@ -50,12 +59,37 @@ def op6_hilbert_packing(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op7_warc_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    folder = new_archive_folder(spark)
+    rows = read_archives(write_archives(_table(spark, sf, "pages"), folder), folder)
+    return rows.where("last").select(
+        "page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to"
+    )
+
+
+def op8_compact_windows(spark: SparkSession, sf: str) -> DataFrame:
+    return repeated_passages(_table(spark, sf, "documents"))
+
+
+def op9_pivot_permutations(spark: SparkSession, sf: str) -> DataFrame:
+    return near_vectors(_table(spark, sf, "embeddings"))
+
+
+def op10_winnowing(spark: SparkSession, sf: str) -> DataFrame:
+    return fingerprints(_table(spark, sf, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
         op1_circulant_minhash,
         op2_counterfactual_toxicity,
         op3_exponential_mixing,
+        op4_diagonal_licenses,
         op5_feistel_pseudonyms,
         op6_hilbert_packing,
+        op7_warc_chunks,
+        op8_compact_windows,
+        op9_pivot_permutations,
+        op10_winnowing,
     )}
 
 SQL: dict[str, str] = {}
