@@ -8,8 +8,8 @@ that share a band are compared on their full shingle sets, and linked when
 
 Rows with the same set are one class from the start, so copies cost one row.
 Within a band's bucket every class is compared with the most central one, and
-after that only with classes of other components that the count of shingles
-which nobody else has does not rule out; no bucket is expanded into all pairs.
+after that only with classes of other components that neither the count of shingles
+which nobody else has nor their distances to that centre rule out; no bucket is expanded into all pairs.
 """
 
 from __future__ import annotations
@@ -147,7 +147,7 @@ def near_duplicates(
         .select("band", "cid", F.col("n_shingles").alias("n"), F.coalesce("alone", F.lit(0)).alias("alone"))
     )
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
+    def compared(pairs: DataFrame) -> DataFrame:
         one = sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y"))
         other = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x"))
         met = F.size(F.array_intersect("x", "y"))
@@ -155,19 +155,26 @@ def near_duplicates(
             pairs.join(one, "b")
             .join(other, "a")
             .select("a", "b", met.alias("met"), (F.size("x") + F.size("y") - met).alias("either"))
-            .where(F.col("met") * 100 >= F.col("either") * percent)
-            .select("a", "b")
         )
 
+    linked = F.col("met") * 100 >= F.col("either") * percent
+
     # 1. each class against the most central of its bucket: the one with the least share of own shingles
     centre = mates.groupBy("band").agg(F.min(F.struct((F.col("alone") / F.col("n")).alias("share"), "cid")).alias("c"))
-    star = mates.join(centre, "band").select(F.col("cid").alias("a"), F.col("c.cid").alias("b")).where("a <> b")
-    star_links = freeze(confirmed(star.distinct()))
+    centred = mates.join(centre.select("band", F.col("c.cid").alias("centre")), "band")
+    star = centred.select(F.col("cid").alias("a"), F.col("centre").alias("b")).where("a <> b")
+    measured = freeze(compared(star.distinct()))
+    star_links = measured.where(linked).select("a", "b")
     first = freeze(components(star_links))
 
-    # 2. what is still apart, unless own shingles prove that it must stay so
-    placed = mates.join(first.withColumnRenamed("node", "cid"), "cid", "left").select(
-        "band", "cid", "n", "alone", F.coalesce("root", "cid").alias("root")
+    # 2. what is still apart, unless own shingles, or the distances to the centre, prove that it must stay so
+    far = measured.select(
+        F.col("a").alias("cid"), F.col("b").alias("centre"), (1 - F.col("met") / F.col("either")).alias("far")
+    )
+    placed = (
+        centred.join(far, ["cid", "centre"], "left")
+        .join(first.withColumnRenamed("node", "cid"), "cid", "left")
+        .select("band", "cid", "n", "alone", F.coalesce("far", F.lit(0.0)).alias("far"), F.coalesce("root", "cid").alias("root"))
     )
     apart = placed.groupBy("band").agg(
         F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("alone").alias("least")
@@ -183,9 +190,11 @@ def near_duplicates(
         right,
         (F.col("l_band") == F.col("r_band"))
         & (F.col("l_root") < F.col("r_root"))
+        # one less the similarity of sets is a distance: two that link are about as far from a third
+        & (F.abs(F.col("l_far") - F.col("r_far")) <= 1 - percent / 100 + 1e-9)
         & _can_reach(F.col("l_n"), F.col("l_alone"), F.col("r_n"), F.col("r_alone"), percent),
     ).select(F.col("l_cid").alias("a"), F.col("r_cid").alias("b"))
-    links = star_links.union(confirmed(cross.distinct()))
+    links = star_links.union(compared(cross.distinct()).where(linked).select("a", "b"))
 
     # components by class, then the smallest doc_id of each
     rooted = components(links).withColumnRenamed("node", "cid")
