@@ -92,4 +92,16 @@ QUERIES = {f.__name__: f for f in (
         op10_winnowing,
     )}
 
-SQL: dict[str, str] = {}
+#: Where SQL can express the whole result; the other queries are tested against brute force.
+SQL: dict[str, str] = {
+    "op7_warc_chunks": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+r AS (
+  SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS payload_digest,
+         CASE WHEN octet_length(encode(html)) >= 1000 THEN max(page_id) OVER (PARTITION BY html) ELSE page_id END AS keeper
+  FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN keeper = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN keeper <> page_id THEN keeper END AS refers_to
+FROM r
+"""
+}

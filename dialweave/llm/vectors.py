@@ -81,8 +81,8 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-@F.arrow_udf("double")
-def _cosine(a: pa.Array, b: pa.Array) -> pa.Array:
+def _products(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Scalar products of unit vectors: their cosines."""
     x = np.frombuffer(b"".join(a.to_pylist())).reshape(len(a), -1) if len(a) else np.zeros((0, 1))
     y = np.frombuffer(b"".join(b.to_pylist())).reshape(len(b), -1) if len(b) else np.zeros((0, 1))
     return pa.array((x * y).sum(axis=1), pa.float64())
@@ -134,8 +134,9 @@ def near_vectors(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     pairs = left.join(right, (F.col("k") == F.col("l")) & (F.col("a") < F.col("b")) & (F.col("k") == number))
     by_a = one.select(F.col("cid").alias("a"), F.col("vector").alias("x"))
     by_b = one.select(F.col("cid").alias("b"), F.col("vector").alias("y"))
+    cosine = F.arrow_udf(_products, "double")
     links = freeze(
-        pairs.select("a", "b").join(by_a, "a").join(by_b, "b").where(_cosine("x", "y") >= least).select("a", "b")
+        pairs.select("a", "b").join(by_a, "a").join(by_b, "b").where(cosine("x", "y") >= least).select("a", "b")
     )
     both = links.union(links.select("b", "a"))
     count = (
