@@ -129,24 +129,40 @@ def _no_reason() -> Column:
     return F.array().cast("array<string>")
 
 
-def insert_ignore(base: DataFrame, batch: DataFrame, business_key: list[str], order_by: list[str]) -> Change:
+def insert_ignore(
+    tables: Tables,
+    name: str,
+    batch: DataFrame,
+    business_key: list[str],
+    order_by: list[str],
+    run_ts=None,
+    user: int | None = None,
+) -> Change:
     """Add the rows whose business key is new; leave existing rows as they are.
 
     Of several new rows with one key the first in ``order_by`` order is kept. Text
-    keys ignore case; a key with a NULL part is never a duplicate.
+    keys ignore case; a key with a NULL part is never a duplicate. New rows get the
+    table's defaults, keys in ``order_by`` order and entry stamps; columns that the
+    table lacks order the batch at most.
     """
-    value = unique_value(tuple(business_key), dict(batch.dtypes))
-    rows = batch.withColumn("__key", value)
+    table = TABLES[name]
+    run_ts = pinned(run_ts)
+    base = conform(tables[name], table)
+    inputs = T.StructType([f for f in table.struct.fields if f.name != table.key])
+    filled = _with_defaults(evolve(batch, inputs), name, table, run_ts)
+    rows = redact(filled, table).drop("password")
+    rows = rows.withColumn("__key", unique_value(tuple(business_key), dict(rows.dtypes)))
     held = base.select(unique_value(tuple(business_key), dict(base.dtypes)).alias("__key"))
     fresh = lacking(rows, "__key", held, "__key")
     known = having(rows, "__key", held, "__key")
-    row = F.struct(*batch.columns)
-    order = F.struct(*order_by, F.xxhash64(*batch.columns).alias("tie"))
+    given = [c for c in rows.columns if c != "__key"]
+    order = F.struct(*order_by, F.xxhash64(*given).alias("tie"))
     grouped = fresh.where(F.col("__key").isNotNull()).groupBy("__key")
-    first = grouped.agg(F.min_by(row, order).alias("row"), F.count("*").alias("__n"))
-    delta = first.select("row.*").unionByName(fresh.where(F.col("__key").isNull()).drop("__key"))
+    first = grouped.agg(F.min_by(F.struct(*given), order).alias("row"), F.count("*").alias("__n"))
+    kept = first.select("row.*").unionByName(fresh.where(F.col("__key").isNull()).drop("__key"))
+    numbered = number_rows(positioned(kept, order_by), table.key, last_key(base, table.key), complete=True)
+    delta = conform(stamp_entry(numbered, table, run_ts, user), table)
     ignored = known.groupBy("__key").agg(F.count("*").alias("ignored")).unionByName(
         first.where(F.col("__n") > 1).select("__key", (F.col("__n") - 1).alias("ignored"))
     )
-    return Change(base.unionByName(delta, allowMissingColumns=True), ignored.withColumnRenamed("__key", "key"), delta)
-
+    return Change(base.unionByName(delta), ignored.withColumnRenamed("__key", "key"), delta)

@@ -90,11 +90,23 @@ def _fold(changes: DataFrame, table: Table) -> DataFrame:
     A maximum per column needs no window, and partial aggregation folds the changes of
     a hot row before they are shuffled.
     """
+    # where positions were fixed they also settle changes of one row with the same seq
+    order = F.col(POSITION if POSITION in changes.columns else "seq")
     latest = [
-        F.max_by(F.struct(_value(c).alias("value")), F.when(_set(c), F.col("seq"))).alias(f"__{c}")
+        F.max_by(F.struct(_value(c).alias("value")), F.when(_set(c), order)).alias(f"__{c}")
         for c in table.updatable
     ]
-    return changes.groupBy("pk").agg(*latest, F.max_by("updated_by", "seq").alias("__by"))
+    return changes.groupBy("pk").agg(*latest, F.max_by("updated_by", order).alias("__by"))
+
+
+def _in_order(rows: DataFrame) -> DataFrame:
+    """Changes written out in the order of the feed, each with a position of its own.
+
+    ``seq`` orders the changes of one row; changes of different rows may share it, so
+    the key and the content of the change break ties.
+    """
+    content = F.xxhash64(F.array_sort(F.map_entries("requested")), "updated_by")
+    return freeze(rows.orderBy("seq", "pk", content).withColumn(POSITION, F.monotonically_increasing_id()))
 
 
 def _new_value(column: str, table: Table) -> Column:
@@ -107,7 +119,8 @@ def partial_update(tables: Tables, name: str, changes: DataFrame, run_ts=None) -
     """Apply a feed of (pk, changes map<string,string>, updated_by, seq).
 
     Only updatable columns count. A column missing from the map keeps its value; one
-    mapped to NULL is emptied. Changes of one row are applied in ``seq`` order. A
+    mapped to NULL is emptied. Changes of one row are applied in ``seq`` order; ``seq``
+    need not be unique across rows, and between rows the smaller key comes first. A
     change is rejected as a whole if its row does not exist, it sets nothing, a value
     does not convert, a reference has no target, or a unique value is held by another
     row of the table or claimed by an earlier change of another row.
@@ -124,7 +137,7 @@ def partial_update(tables: Tables, name: str, changes: DataFrame, run_ts=None) -
     contested = []
     if table.unique:
         # only a change that finds its row may claim a value
-        rows = freeze(having(rows, "pk", base, table.key, unique=True).withColumn(POSITION, F.col("seq")))
+        rows = _in_order(having(rows, "pk", base, table.key, unique=True))
         rows = _taken(rows, base, table)
         good = rows.where(F.size("reasons") == 0)
         claims = {f"__u{i}": _claim(c) for i, c in enumerate(table.unique)}

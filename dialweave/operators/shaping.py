@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dialweave.functions import falsy_default
-from dialweave.operators.joins import having, lacking
 from dialweave.operators.ordering import Order, order_columns
+from dialweave.session import freeze
 
-# Longest child array in one nested row; longer lists continue in further rows.
+# Children in one nested row; longer lists continue in the next part.
 PIECE = 10_000
 
 
@@ -27,12 +27,24 @@ def rename(df: DataFrame, names: dict[str, str]) -> DataFrame:
     return df.withColumnsRenamed(names)
 
 
-def _collect(rows: DataFrame, fk: str, keys: list[str], name: str, fields: list[str]) -> DataFrame:
-    """Arrays of bounded groups, in the order of ``__at``."""
-    items = F.sort_array(F.collect_list(F.struct("__at", *fields)))
-    return rows.groupBy(fk, *keys).agg(
-        F.transform(items, lambda item: F.struct(*[item[f].alias(f) for f in fields])).alias(name)
+def _ranked(child: DataFrame, fk: str, child_pk: str, order: list[Order]) -> DataFrame:
+    """Children with their place among the children of one parent, from 0.
+
+    A range sort over (parent, order) spreads a large group over tasks, and is written
+    out so that places stay the same. A row for each parent and task of the sort holds
+    how many children came before; no window runs over a group of children.
+    """
+    spread = child.where(F.col(fk).isNotNull()).orderBy(F.col(fk), *order_columns(order, child_pk))
+    placed = freeze(spread.withColumn("__at", F.monotonically_increasing_id()))
+    placed = placed.withColumn("__task", F.shiftright("__at", 33))
+    runs = placed.groupBy(F.col(fk).alias("__fk"), F.col("__task").alias("__run")).agg(
+        F.min("__at").alias("__first"), F.count("*").alias("__n")
     )
+    earlier = Window.partitionBy("__fk").orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0))).drop("__n")
+    met = placed.join(runs, (F.col(fk) == F.col("__fk")) & (F.col("__task") == F.col("__run")))
+    rank = F.col("__at") - F.col("__first") + F.col("__before")
+    return met.withColumn("__rank", rank).drop("__at", "__task", "__fk", "__run", "__first", "__before")
 
 
 def nest(
@@ -45,29 +57,21 @@ def nest(
     order: list[Order],
     piece: int = PIECE,
 ) -> DataFrame:
-    """Parent rows with their children as an ordered array; no children, empty array.
+    """Parent rows with their children as ordered arrays; no children, one empty array.
 
-    ``part`` is 0 for a parent whose children fit one array. A larger group is cut
-    into runs of at most ``piece`` children, one row each, whose ``part`` values
-    ascend in child order: nothing is lost and no task holds a whole hot group.
+    The row contract is (parent, ``part``): part 0 holds the first ``piece`` children,
+    part 1 the next ones, and so on without gaps. No array grows beyond ``piece`` and no
+    task holds a whole hot group; the parts of a parent in order are its children.
     """
     fields = [c for c in child.columns if c != fk]
-    sizes = child.where(F.col(fk).isNotNull()).groupBy(fk).agg(F.count("*").alias("__size"))
-    large = sizes.where(F.col("__size") > piece)
-
-    rank = F.row_number().over(Window.partitionBy(fk).orderBy(*order_columns(order, child_pk)))
-    fitting = lacking(child.where(F.col(fk).isNotNull()), fk, large, fk, unique=True)
-    whole = _collect(fitting.withColumn("__at", rank), fk, [], name, fields)
-
-    # a range sort over (parent, order) spreads a large group; the running id is the position
-    spread = having(child, fk, large, fk, unique=True).orderBy(F.col(fk), *order_columns(order, child_pk))
-    place = spread.withColumn("__at", F.monotonically_increasing_id())
-    runs = _collect(
-        place.withColumn("part", F.col("__at") - F.col("__at") % piece), fk, ["part"], name, fields
+    part = F.floor(F.col("__rank") / piece).cast("long")
+    items = F.sort_array(F.collect_list(F.struct("__rank", *fields)))
+    bare = F.transform(items, lambda item: F.struct(*[item[f].alias(f) for f in fields]))
+    arrays = (
+        _ranked(child, fk, child_pk, order)
+        .groupBy(F.col(fk).alias("__parent"), part.alias("part"))
+        .agg(bare.alias(name))
     )
-    whole = whole.withColumn("part", F.lit(0).cast("long"))
-
-    arrays = whole.unionByName(runs).withColumnRenamed(fk, "__parent")
     joined = parent.join(arrays, F.col(pk) == F.col("__parent"), "left").drop("__parent")
     empty = F.array().cast(arrays.schema[name].dataType)
     return joined.withColumns({name: F.coalesce(name, empty), "part": F.coalesce("part", F.lit(0).cast("long"))})

@@ -161,9 +161,13 @@ def ingest_team_members(spark, sf):
          CASE WHEN custtype = 'FURNITURE' THEN replace(custemailid, 'customer', 'SUPPLIER')
               ELSE concat('pair', custno_pk // 2, '@example.com') END AS emailidoffical
   FROM v_customer)
-SELECT name, emailidoffical FROM batch
+, fresh AS (
+SELECT custno_pk, name, emailidoffical FROM batch
 WHERE upper(emailidoffical) NOT IN (SELECT upper(emailidoffical) FROM v_employees)
-QUALIFY row_number() OVER (PARTITION BY upper(emailidoffical) ORDER BY custno_pk) = 1
+QUALIFY row_number() OVER (PARTITION BY upper(emailidoffical) ORDER BY custno_pk) = 1)
+SELECT (SELECT max(empno_pk) FROM v_employees) + row_number() OVER (ORDER BY custno_pk) AS empno_pk,
+       name, emailidoffical, 'AGENT' AS role, 'Active' AS empstatus
+FROM fresh
 """)
 def insert_ignore(spark, sf):
     t = tables(spark, sf)
@@ -174,9 +178,8 @@ def insert_ignore(spark, sf):
         F.col("custname").alias("name"),
         F.when(F.col("custtype") == "FURNITURE", taken).otherwise(pair).alias("emailidoffical"),
     )
-    return jobs.insert_ignore(t["employees"], batch, ["emailidoffical"], ["custno_pk"]).delta.select(
-        "name", "emailidoffical"
-    )
+    change = jobs.insert_ignore(t, "employees", batch, ["emailidoffical"], ["custno_pk"], RUN_TS)
+    return change.delta.select("empno_pk", "name", "emailidoffical", "role", "empstatus")
 
 
 # --- updates ---------------------------------------------------------------------

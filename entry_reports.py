@@ -576,13 +576,19 @@ GROUP BY ALL
 """
 )
 def team_with_members(t):
-    teams = plans.team_with_members(t)
-    return teams.select(
+    # a team is its parts, in order: the first begins with the newest member, the last ends with the oldest
+    parts = plans.team_with_members(t).select(
         "teamno_pk",
         "teamname",
-        F.size("members").cast("long").alias("members"),
-        F.try_element_at("members", F.lit(1))["teamdtlno_pk"].alias("newest_member"),
-        F.try_element_at("members", F.lit(-1))["teamdtlno_pk"].alias("oldest_member"),
+        "part",
+        F.size("members").cast("long").alias("size"),
+        F.try_element_at("members", F.lit(1))["teamdtlno_pk"].alias("newest"),
+        F.try_element_at("members", F.lit(-1))["teamdtlno_pk"].alias("oldest"),
+    )
+    return parts.groupBy("teamno_pk", "teamname").agg(
+        F.sum("size").alias("members"),
+        F.min_by("newest", "part").alias("newest_member"),
+        F.max_by("oldest", "part").alias("oldest_member"),
     )
 
 

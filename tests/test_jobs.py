@@ -141,17 +141,21 @@ def test_ingest_defaults_and_first_key(make_tables, spark, kind, row, default):
     assert change.rejects.count() == 0
 
 
-def test_insert_ignore_twice_is_once(frame, spark):
-    base = frame("employees", [{"empno_pk": 1, "emailidoffical": "a@x"}])
+def test_insert_ignore_twice_is_once(make_tables, spark):
+    t = make_tables(employees=[{"empno_pk": 1, "emailidoffical": "a@x"}])
     batch = spark.createDataFrame(
         [(1, "A@x"), (2, "b@x"), (3, "B@X"), (4, None), (5, None)], "seq int, emailidoffical string"
     )
-    once = jobs.insert_ignore(base, batch, ["emailidoffical"], ["seq"])
-    assert sorted(values(once.delta, "seq")) == [(2,), (4,), (5,)]
+    once = jobs.insert_ignore(t, "employees", batch, ["emailidoffical"], ["seq"], NOW, user=3)
+    assert once.new.columns == t["employees"].columns
+    added = values(once.delta.orderBy("empno_pk"), "empno_pk", "emailidoffical", "au_entryempnoby")
+    assert added == [(2, "b@x", 3), (3, None, 3), (4, None, 3)]
+    defaults = TABLES["employees"].defaults
+    assert all(r[c] == v for r in once.delta.collect() for c, v in defaults.items())
     assert sorted(values(once.rejects)) == [("A@X", 1), ("B@X", 1)]
     named = batch.where("emailidoffical is not null")
-    first = jobs.insert_ignore(base, named, ["emailidoffical"], ["seq"]).new
-    again = jobs.insert_ignore(first, named, ["emailidoffical"], ["seq"])
+    first = jobs.insert_ignore(t, "employees", named, ["emailidoffical"], ["seq"], NOW).new
+    again = jobs.insert_ignore(t.replaced(employees=first), "employees", named, ["emailidoffical"], ["seq"], NOW)
     assert again.delta.count() == 0 and again.new.count() == first.count()
 
 
@@ -230,6 +234,24 @@ def test_partial_update_reasons(make_tables, spark):
     assert rows == [(1, "a", "a@x", None), (2, "newer", None, 1)]
 
 
+def test_update_claims_with_colliding_seq_equal_one_by_one(make_tables, spark):
+    import random
+
+    draw = random.Random(7)
+    for _ in range(4):
+        held = {pk: f"u{pk}" for pk in range(1, 9)}
+        t = make_tables(employees=[{"empno_pk": pk, "username": name} for pk, name in held.items()])
+        feed = [(pk, {"username": f"n{draw.randrange(4)}"}, 1, draw.randrange(2)) for pk in draw.sample(range(1, 9), 8)]
+        change = jobs.partial_update(t, "employees", spark.createDataFrame(feed, FEED), NOW)
+        taken, refused = {}, set()
+        for pk, wanted, _, seq in sorted(feed, key=lambda r: (r[3], r[0])):
+            if taken.setdefault(wanted["username"], pk) != pk:
+                refused.add((pk, seq))
+        assert {(r["pk"], r["seq"]) for r in change.rejects.collect()} == refused
+        names = [r["username"] for r in change.new.collect()]
+        assert len(names) == len(set(names))
+
+
 def test_user_update_rules(make_tables, spark):
     t = make_tables(users=[{"id": 1, "email": "a@b.org", "role": "AGENT", "social_ids": "{}"}])
     feed = spark.createDataFrame(
