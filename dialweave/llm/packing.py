@@ -1,7 +1,7 @@
 """Packing documents into training sequences along a space-filling curve.
 
-A document's vector counts its distinct tokens through a fixed random projection
-of the vocabulary to a few dimensions; the projected points are ordered by their
+A document's vector counts its tokens through a fixed random projection of the
+vocabulary to a few dimensions; the projected points are ordered by their
 place on the Hilbert curve, so that documents of like vocabulary follow one
 another. Sequences are cut from the stream of documents in that order.
 """
@@ -84,12 +84,14 @@ class WordIds(dict):
     def __missing__(self, word: str) -> bytes:
         run = word.rstrip(CLOSING)
         if run.isalpha() and max(run) < "ɐ" and "İ" not in run:
-            ids = self.by_model(run.lower())
-            if len(run) < len(word):
-                ids = ids + self.by_full(word[len(run) :])
+            bare = run.lower()
+            if bare != word:
+                # the same run with other capitals or marks is known already
+                value = self[bare] + (self[word[len(run) :]] if len(run) < len(word) else b"")
+            else:
+                value = np.array(self.by_model(word), self.kind).tobytes()
         else:
-            ids = self.by_full(word)
-        value = np.array(ids, self.kind).tobytes()
+            value = np.array(self.by_full(word), self.kind).tobytes()
         if len(word) <= LONG_WORD:
             if len(self) >= REMEMBERED:
                 self.clear()
@@ -117,11 +119,13 @@ def _tokenized(definition: str, end_id: int):
         size = max(words.full.get_vocab_size(with_added_tokens=True), end_id + 1)
         draw = np.random.Generator(np.random.PCG64(SEED))
         project = draw.standard_normal((size, DIMENSIONS), dtype=np.float32)
+        # merged early are the common tokens: they weigh less
+        project *= (np.log1p(np.arange(size)) / np.log1p(size)).astype(np.float32)[:, None]
         for batch in batches:
             packed, counts, points = [], [], []
             for text in batch.column("text").to_pylist():
                 ids = words.of(text or "") + end
-                numbers = np.unique(np.frombuffer(ids, words.kind))
+                numbers = np.frombuffer(ids, words.kind)
                 points.append(project[numbers].sum(axis=0) / np.sqrt(len(numbers)))
                 counts.append(len(ids) // np.dtype(words.kind).itemsize)
                 packed.append(pa.compress(ids, "zstd", asbytes=True))
