@@ -9,7 +9,9 @@ that share a band are compared on their full shingle sets, and linked when
 Rows with the same set are one class from the start, so copies cost one row.
 Within a band's bucket every class is compared with the most central one, and
 after that only with classes of other components that neither the count of shingles
-which nobody else has nor their distances to that centre rule out; no bucket is expanded into all pairs.
+which nobody else has, nor their distances to that centre, nor the parities of their
+shingles rule out; a pair meets in the first band that it shares, and no bucket is
+expanded into all pairs.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from dialweave.session import freeze
 
 UNIVERSE_BITS = 20
 SEED = 20_240_501
+#: 64-bit words of a set's parities.
+PARITY_WORDS = 16
 
 
 class Circulant:
@@ -85,17 +89,28 @@ def _sign(words: int, bands: int, rows: int):
     return run
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Whether each of 64 * PARITY_WORDS places holds an odd number of the shingles, as bits.
+
+    Two sets differ in at least as many shingles as their parities in bits.
+    """
+    places = 64 * PARITY_WORDS
+    odd = np.bincount((mixed(shingles) % np.uint64(places)).astype(np.int64), minlength=places) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _full_sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            sets = [shingle_set(t, words, known).view(np.int64) for t in batch.column("text").to_pylist()]
+            sets = [shingle_set(t, words, known) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([_class_of(s) if len(s) else None for s in sets], pa.int64()),
-                    pa.array(sets, pa.list_(pa.int64())),
+                    pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
+                    pa.array([parities(s) for s in sets], pa.list_(pa.int64())),
                 ],
-                ["cid", "shingles"],
+                ["cid", "shingles", "odd"],
             )
 
     return run
@@ -126,12 +141,12 @@ def near_duplicates(
     # one row a class: that of its smallest doc_id
     reps = real.join(classes, "cid").where("doc_id = rep")
 
-    entries = reps.select("cid", "rep", "n_shingles", F.explode("bands").alias("band"))
+    entries = reps.select("cid", "rep", "n_shingles", F.posexplode("bands").alias("place", "band"))
     shared = entries.groupBy("band").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo <> hi")
-    mates = freeze(entries.join(shared.select("band"), "band").select("band", "cid", "rep", "n_shingles"))
+    mates = freeze(entries.join(shared.select("band"), "band").select("band", "place", "cid", "rep", "n_shingles"))
 
     wanted = mates.select(F.col("rep").alias("doc_id")).distinct()
-    sets = freeze(texts.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(_full_sets(words), "cid long, shingles array<long>"))
+    sets = freeze(texts.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(_full_sets(words), "cid long, shingles array<long>, odd array<long>"))
     # shingles of one class alone: they bound what the class can share with any other
     only = (
         sets.select("cid", F.explode("shingles").alias("s"))
@@ -142,9 +157,9 @@ def near_duplicates(
         .agg(F.count("*").alias("alone"))
     )
     mates = freeze(
-        mates.select("band", "cid", "n_shingles")
+        mates.select("band", "place", "cid", "n_shingles")
         .join(only, "cid", "left")
-        .select("band", "cid", F.col("n_shingles").alias("n"), F.coalesce("alone", F.lit(0)).alias("alone"))
+        .select("band", "place", "cid", F.col("n_shingles").alias("n"), F.coalesce("alone", F.lit(0)).alias("alone"))
     )
 
     def compared(pairs: DataFrame) -> DataFrame:
@@ -167,22 +182,25 @@ def near_duplicates(
     star_links = measured.where(linked).select("a", "b")
     first = freeze(components(star_links))
 
-    # 2. what is still apart, unless own shingles, or the distances to the centre, prove that it must stay so
+    # 2. what is still apart, unless own shingles, distances to the centre or parities prove that it must stay so
     far = measured.select(
         F.col("a").alias("cid"), F.col("b").alias("centre"), (1 - F.col("met") / F.col("either")).alias("far")
     )
     placed = (
         centred.join(far, ["cid", "centre"], "left")
         .join(first.withColumnRenamed("node", "cid"), "cid", "left")
-        .select("band", "cid", "n", "alone", F.coalesce("far", F.lit(0.0)).alias("far"), F.coalesce("root", "cid").alias("root"))
+        .select("band", "place", "cid", "n", "alone", F.coalesce("far", F.lit(0.0)).alias("far"), F.coalesce("root", "cid").alias("root"))
     )
     apart = placed.groupBy("band").agg(
         F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("alone").alias("least")
     ).where("lo <> hi")
+    open_ = placed.join(apart.select("band", "least"), "band").where(
+        _can_reach(F.col("n"), F.col("alone"), F.col("n"), F.col("least"), percent, known_size=False)
+    )
     open_ = freeze(
-        placed.join(apart.select("band", "least"), "band")
-        .where(_can_reach(F.col("n"), F.col("alone"), F.col("n"), F.col("least"), percent, known_size=False))
-        .drop("least")
+        open_.join(sets.select("cid", "odd"), "cid")
+        .join(reps.select("cid", "bands"), "cid")
+        .select("band", F.slice("bands", 1, F.col("place")).alias("before"), "cid", "n", "alone", "far", "root", "odd")
     )
     left = open_.select([F.col(c).alias(f"l_{c}") for c in open_.columns])
     right = open_.select([F.col(c).alias(f"r_{c}") for c in open_.columns])
@@ -192,7 +210,10 @@ def near_duplicates(
         & (F.col("l_root") < F.col("r_root"))
         # one less the similarity of sets is a distance: two that link are about as far from a third
         & (F.abs(F.col("l_far") - F.col("r_far")) <= 1 - percent / 100 + 1e-9)
-        & _can_reach(F.col("l_n"), F.col("l_alone"), F.col("r_n"), F.col("r_alone"), percent),
+        & _can_reach(F.col("l_n"), F.col("l_alone"), F.col("r_n"), F.col("r_alone"), percent)
+        & _parities_allow(percent)
+        # only in the first band that the two share
+        & ~F.arrays_overlap("l_before", "r_before"),
     ).select(F.col("l_cid").alias("a"), F.col("r_cid").alias("b"))
     links = star_links.union(compared(cross.distinct()).where(linked).select("a", "b"))
 
@@ -221,6 +242,13 @@ def distinct_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     return once.union(rows.where("_id IS NULL")).select("_row.*")
 
 
+def _parities_allow(percent: int):
+    """Whether two sets l and r can reach the threshold although they differ wherever their parities do."""
+    differ = sum(F.bit_count(F.col("l_odd")[i].bitwiseXOR(F.col("r_odd")[i])) for i in range(PARITY_WORDS))
+    both = F.col("l_n") + F.col("r_n")
+    return (both - differ) * 100 >= (both + differ) * percent
+
+
 def _can_reach(n, alone, m, alone_there, percent: int, known_size: bool = True):
     """Whether two sets can still reach the threshold, given the shingles that each has alone.
 
