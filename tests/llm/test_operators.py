@@ -327,6 +327,13 @@ def test_archives_round_trip(spark, tmp_path):
     assert archives.read_archives(empty, folder).count() == 0
 
 
+@settings(max_examples=50, deadline=None)
+@given(st.sets(st.integers(0, 5000), max_size=900), st.sets(st.integers(0, 5000), max_size=900))
+def test_parities_never_differ_in_more_places_than_the_sets(x, y):
+    a, b = (near_dedup.parities(np.array(sorted(s), np.uint64)).view(np.uint64) for s in (x, y))
+    assert int(np.bitwise_count(a ^ b).sum()) <= len(x ^ y)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 12), max_size=60), st.integers(2, 8))
 def test_compact_windows_are_the_wide_nodes_of_the_tree(values, width):
