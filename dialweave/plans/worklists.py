@@ -124,7 +124,7 @@ def agent_worklist(
 
 
 def assignment_history(tables: Tables, ids=None) -> DataFrame:
-    """Interactions of the given assignments (default: of all), newest first."""
+    """Interactions of the given assignments, newest first; those of all come unsorted."""
     history = tables["call_history"].where(F.col("assignno_fk").isNotNull())
     history = history.select(*TABLES["call_history"].columns)
     if ids is None:
@@ -135,7 +135,7 @@ def assignment_history(tables: Tables, ids=None) -> DataFrame:
         history = having(history, "assignno_fk", known, _KEY, unique=True)
     agent = {"employee_name": "name", "employee_code": "empcode"}
     rows = attach(history, tables["employees"], "empno_fk", "empno_pk", agent)
-    return sort_rows(rows, [newest("interaction_datetime")], "history_pk")
+    return rows if ids is None else sort_rows(rows, [newest("interaction_datetime")], "history_pk")
 
 
 def assignment_check(tables: Tables, n: int | None = 10) -> DataFrame:
