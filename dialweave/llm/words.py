@@ -6,6 +6,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 #: Distinct words whose hashes one task remembers; it only saves hashing them again.
@@ -37,6 +39,63 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+#: A number for each byte, the same for both cases of A-Z, and the bytes between words.
+_BYTES = mixed(np.arange(1, 257, dtype=np.uint64))
+_BYTES[65:91] = _BYTES[97:123]
+_BETWEEN = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_BREAK = re.compile(rb"[\x09-\x0d\x20]")
+#: Bytes hashed at a time; a longer word is taken whole.
+BLOCK = 1 << 18
+
+
+class Words:
+    """64-bit hashes of the words of a text, by a polynomial over their bytes for many words at once."""
+
+    base = 0x9E3779B97F4A7C15
+
+    def __init__(self) -> None:
+        self._reach(BLOCK + (1 << 12))
+
+    def _reach(self, n: int) -> None:
+        factors = np.full(n, self.base, np.uint64)
+        factors[0] = 1
+        self.powers = np.multiply.accumulate(factors)
+        factors[1:] = pow(self.base, -1, 1 << 64)
+        self.back = np.multiply.accumulate(factors)
+
+    def _block(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        raw = np.frombuffer(data, np.uint8)
+        if len(raw) > len(self.powers):
+            self._reach(len(raw))
+        between = np.ones(len(raw) + 2, bool)
+        between[1:-1] = _BETWEEN[raw]
+        edges = np.flatnonzero(between[1:] != between[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[raw] * self.powers[: len(raw)])])
+        return mixed((total[ends] - total[starts]) * self.back[starts]), starts
+
+    def placed(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Hash of each word, and the byte it starts at."""
+        hashes, starts, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+        while at < len(text):
+            cut = _BREAK.search(text, at + BLOCK)
+            end = cut.start() if cut else len(text)
+            found, where = self._block(text[at:end])
+            hashes.append(found)
+            starts.append(where + at)
+            at = end
+        return np.concatenate(hashes), np.concatenate(starts)
+
+    def of(self, text: bytes) -> np.ndarray:
+        return self.placed(text)[0]
+
+    def of_all(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words of texts, one after the other, and where each text's begin, with the end of all."""
+        hashes, starts = self.placed(b" ".join(texts))
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        return hashes, np.concatenate([[0], np.searchsorted(starts, ends)])
+
+
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all runs of k words; of the whole sequence where it is shorter; none of nothing."""
     k = min(k, len(hashes))

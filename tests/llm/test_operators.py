@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from dialweave.llm import archives, fingerprints, graph, licenses, mixing, near_dedup, packing, passages, private_data
 from dialweave.llm import queries, toxicity, vectors, words
+from dialweave.llm.words import Words, grams, mixed
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, source string, `_row` string, component_id int, n_private int"
@@ -349,6 +350,55 @@ def test_compact_windows_are_the_wide_nodes_of_the_tree(values, width):
     assert set(zip(*(x.tolist() for x in passages.compact_windows(np.array(values, np.uint64), width)))) == want
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("aAbé \t\x0b\n\x1c", max_size=30).map(str.encode), max_size=8), st.integers(1, 40))
+def test_words_of_many_texts_equal_those_of_each(texts, block):
+    known: dict = {}
+    make = Words()
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr("dialweave.llm.words.BLOCK", block)
+        hashes, cuts = make.of_all(texts)
+    for i, text in enumerate(texts):
+        words = text.lower().split()
+        mine = hashes[cuts[i] : cuts[i + 1]].tolist()
+        assert len(mine) == len(words) and mine == make.of(text).tolist()
+        for word, value in zip(words, mine):
+            assert known.setdefault(word, value) == value
+    assert len(set(known.values())) == len(known)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("abcdefgh"), max_size=40), max_size=6), st.integers(2, 9))
+def test_windows_of_many_texts_equal_those_of_each(texts, width):
+    raw = [" ".join(t).encode() for t in texts]
+    make = Words()
+    sizes, found = passages.text_windows(make, raw, width)
+    assert sizes.tolist() == [len(t) for t in texts]
+    for f, salt in enumerate(mixed(np.arange(101, 101 + passages.FUNCTIONS, dtype=np.uint64))):
+        want, got = set(), set()
+        for i, text in enumerate(raw):
+            if sizes[i] < width + passages.SHINGLE - 1:
+                continue
+            tokens = grams(make.of(text), passages.SHINGLE)
+            for l, c, r in zip(*(x.tolist() for x in passages.compact_windows(mixed(tokens ^ salt), width))):
+                want.add((i, int(mixed(tokens ^ salt)[c]), c, min(c - l, width - 1), min(r - c, width - 1)))
+        if found:
+            got = set(zip(*(x.tolist() for x in found[f][:5])))
+        assert got == want
+        if found and not f:
+            step = width // passages.PLACES
+            length = (passages.PLACES - 1) * step + 1
+            seen: dict = {}
+            for text, _, at, _, _, *around in zip(*(x.tolist() for x in found[0])):
+                tokens = grams(make.of(raw[text]), passages.SHINGLE)
+                for k, run in enumerate(around):
+                    start = at - k * step
+                    held = start >= 0 and start + length <= len(tokens)
+                    assert (run != 0) == held and run < 1 << 32
+                    if held:
+                        assert seen.setdefault(tuple(tokens[start : start + length].tolist()), run) == run
+
+
 def test_repeated_passages(spark, awkward, nothing):
     draw = random.Random(2)
     passage = prose(draw, 60, 5000)
