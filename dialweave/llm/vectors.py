@@ -20,9 +20,11 @@ from pyspark.sql import functions as F
 from dialweave.llm.graph import components
 from dialweave.session import freeze
 
-#: Reference points, a bounded sample of the vectors; every vector is indexed.
-PIVOTS = 256
+#: Reference points, chosen from a bounded sample of the vectors; every vector is indexed.
+PIVOTS, SAMPLE = 256, 4096
 NEAREST, SHARED = 8, 3
+#: Cosine below which two reference points lie apart.
+APART = 0.8
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -36,6 +38,22 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return rows
 
 
+def spread(sample: np.ndarray) -> np.ndarray:
+    """The reference points, as unit vectors: the first of `sample` that lie apart.
+
+    A dense group gets one or a few however many of the vectors it holds. With a share
+    of them as large as its own, its members would be told apart by noise.
+    """
+    rows = sample / np.abs(sample).max(axis=1, keepdims=True)
+    rows /= np.sqrt((rows**2).sum(axis=1, keepdims=True))
+    chosen, n = np.zeros((min(PIVOTS, len(rows)), rows.shape[1])), 0
+    for row in rows:
+        if n < len(chosen) and (chosen[:n] @ row < APART).all():
+            chosen[n] = row
+            n += 1
+    return chosen[:n]
+
+
 def _indexed(pivots: np.ndarray, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -111,9 +129,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     )
     # distinct vectors make better reference points than copies
     drawn = real.groupBy(F.xxhash64("embedding").alias("h")).agg(F.first("embedding").alias("embedding"))
-    sample = drawn.orderBy(F.hash("h"), "h").limit(PIVOTS).toArrow().column("embedding").combine_chunks()
-    pivots = _matrix(sample, width)
-    pivots = pivots / np.sqrt((pivots**2).sum(axis=1, keepdims=True)) if len(pivots) else np.zeros((1, width))
+    sample = drawn.orderBy(F.hash("h"), "h").limit(SAMPLE).toArrow().column("embedding").combine_chunks()
+    pivots = spread(_matrix(sample, width)) if len(sample) else np.zeros((1, width))
 
     indexed = freeze(
         rows.mapInArrow(_indexed(pivots, width), "vec_id long, cid long, nearest array<int>, vector binary")

@@ -435,6 +435,19 @@ def test_near_vectors_recall_and_awkward_rows(spark):
     assert vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_near_vectors_of_a_dense_group_that_holds_a_third(spark):
+    draw = np.random.default_rng(6)
+    middle = draw.standard_normal(64)
+    middle /= np.linalg.norm(middle)
+    group = middle + np.sqrt(1 / 0.96 - 1) / 8 * draw.standard_normal((600, 64))
+    x = np.concatenate([group, draw.standard_normal((1200, 64))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = (x @ x.T >= 0.95).sum(axis=1) - 1
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    links = {r["vec_id"]: r["n_links"] for r in vectors.near_vectors(df).collect()}
+    assert all(links[i] <= n for i, n in enumerate(want)) and sum(links.values()) >= 0.95 * want.sum()
+
+
 def kept_by_force(text, gram, window):
     make = fingerprints.Winnower(gram, 1)
     hashes = [int(e) >> 24 for e in make.entries(text)]
