@@ -23,7 +23,25 @@ DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKL
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
 ACCESS_KEY = r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"
 SECRET = r"(?i:\b(?:password|passwd|token|secret|api_?key))[\"']?\s{0,2}[=:]\s{0,2}[\"']?[0-9A-Za-z_-]{12,128}"
-IBAN = r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"
+#: Countries by the length of their account numbers.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU XK MN",
+    21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _account(countries: str, length: int) -> str:
+    groups, rest = divmod(length - 4, 4)
+    return f"(?:{countries.replace(' ', '|')})\\d{{2}}(?: ?[A-Z0-9]{{4}}){{{groups}}}" + (f" ?[A-Z0-9]{{{rest}}}" if rest else "")
+
+
+#: A number ends with its country's length; of countries not listed, with the last group.
+IBAN = (
+    r"\b(?:" + "|".join(_account(c, n) for n, c in IBAN_LENGTHS.items())
+    + rf"|(?!{'|'.join(' '.join(IBAN_LENGTHS.values()).split())})[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?)\b"
+)
 ADDRESS = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)"
 DATE = r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?!\d|[./-]\d)"
 SOCIAL = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]\d)"
@@ -45,6 +63,10 @@ PATTERNS = {
     "card": CARD,
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Kinds whose values have to pass a test.
+TESTED = ("iban", "address", "date", "social", "card")
+#: What their patterns say of the text behind.
+ENDS = {"iban": r"\b", "address": r"(?!\d|\.\d)", "date": r"(?!\d|[./-]\d)", "social": r"(?![\d-]\d)", "card": r"(?!\d)"}
 
 
 def _characters(value: Column) -> Column:
@@ -85,24 +107,61 @@ def _days(value: Column) -> Column:
     return F.datediff(day.cast("date"), F.lit(FIRST_DAY).cast("date"))
 
 
+def _valid(value: Column, name: str) -> Column:
+    """Whether a value of a tested kind passes; null counts as no."""
+    if name == "iban":
+        return _mod97(value) == 1
+    if name == "address":
+        return F.forall(F.split(value, r"\."), lambda x: F.try_to_number(x, F.lit("999")) < 256)
+    if name == "date":
+        return _days(value).between(0, YEARS * DAYS - 1)
+    if name == "social":
+        return ~value.rlike("^(?:000|666|9)|-00-|-0000$")
+    return _luhn(_digits(value)) % 10 == 0
+
+
 def _kind(value: Column) -> Column:
-    """Kind of a found value; null where it does not pass its test."""
-    whole = {k: value.rlike(f"^(?:{p})$") for k, p in PATTERNS.items()}
-    numbers = F.transform(F.split(value, r"\."), lambda x: F.try_to_number(x, F.lit("999")))
-    valid = {
-        "iban": _mod97(value) == 1,
-        "address": F.forall(numbers, lambda x: x < 256),
-        "date": _days(value).between(0, YEARS * DAYS - 1),
-        "social": ~value.rlike("^(?:000|666|9)|-00-|-0000$"),
-        "card": _luhn(_digits(value)) % 10 == 0,
-    }
+    """Kind of a found value: the first whose pattern and test it passes."""
     kind = None
-    for name, is_it in whole.items():
-        found = F.when(valid[name], F.lit(name)) if name in valid else F.lit(name)
-        kind = F.when(is_it, found) if kind is None else kind.when(is_it, found)
+    for name, p in PATTERNS.items():
+        is_it = value.rlike(f"^(?:{p})$")
+        is_it = is_it & _valid(value, name) if name in TESTED else is_it
+        kind = F.when(is_it, F.lit(name)) if kind is None else kind.when(is_it, F.lit(name))
     return kind
 
 
+def _candidates(source: Column) -> Column:
+    """Whatever looks like a value of a tested kind, at every place, with its kind and whether it passes."""
+
+    def of(name: str) -> Column:
+        there = F.array_distinct(F.regexp_extract_all(source, F.lit(f"(?=({PATTERNS[name]}))"), F.lit(1)))
+        return F.transform(
+            there, lambda m: F.struct(m.alias("m"), F.lit(name).alias("k"), F.coalesce(_valid(m, name), F.lit(False)).alias("ok"))
+        )
+
+    return F.concat(*[of(name) for name in TESTED])
+
+
+def _any_valid(candidates: Column) -> Column:
+    """The pattern for a text: where a candidate fails, the values that pass stand in place of their kind's pattern.
+
+    So what looks like a value and is none takes nothing from other values in or behind it.
+    """
+
+    def alternative(name: str) -> Column:
+        if name not in TESTED:
+            return F.lit(f"(?:{PATTERNS[name]})")
+        passed = F.transform(F.filter(candidates, lambda c: (c["k"] == name) & c["ok"]), lambda c: F.concat(F.lit("\\Q"), c["m"], F.lit("\\E")))
+        # the pattern itself still says what may stand around a value
+        return F.when(
+            F.size(passed) > 0, F.concat(F.lit(f"(?:(?={PATTERNS[name]})(?:"), F.array_join(F.reverse(F.array_sort(passed)), "|"), F.lit(f"){ENDS[name]})"))
+        ).otherwise("(?!)")
+
+    return F.when(F.forall(candidates, lambda c: c["ok"]), F.lit(ANY)).otherwise(
+        F.concat_ws("|", *[alternative(name) for name in PATTERNS])
+    )
+
+
 def _item(text: Column, value: Column, radix: Column, alphabet: Column) -> Column:
     return F.struct(
         text.alias("c"), value.cast("int").alias("v"), radix.cast("int").alias("r"), alphabet.alias("a")
@@ -230,8 +289,12 @@ def pseudonymised(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     Repeated rows are treated alike; an empty table gives an empty result.
     """
     source = F.col(text).cast("string")
+    hit = source.rlike(ANY)
+    # a column of its own: it is read many times and found once
+    docs_in = docs.withColumn("_candidates", F.when(hit, _candidates(source)))
+    docs_in = docs_in.withColumn("_any", F.when(F.col("_candidates").isNotNull(), _any_valid(F.col("_candidates"))))
     found = F.transform(
-        F.regexp_extract_all(source, F.lit(ANY), F.lit(0)), lambda m: F.struct(m.alias("m"), _kind(m).alias("k"))
+        F.regexp_extract_all(source, F.col("_any"), F.lit(0)), lambda m: F.struct(m.alias("m"), _kind(m).alias("k"))
     )
     split = F.transform(found, lambda x: F.struct(x["m"], x["k"], F.when(x["k"].isNotNull(), _symbols(x["m"], x["k"])).alias("s")))
     turned = F.transform(
@@ -241,16 +304,15 @@ def pseudonymised(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
         turned,
         lambda x: F.struct(x["k"].alias("k"), F.when(x["k"].isNull(), x["m"]).otherwise(_written(x["m"], x["k"], x["s"])).alias("w")),
     )
-    hit = source.rlike(ANY)
-    values = F.when(hit, new)
-    between = F.split(source, ANY, -1)
+    values = F.when(F.col("_any").isNotNull(), new)
+    between = F.split(source, F.col("_any"), -1)
     joined = F.concat(
         F.array_join(F.zip_with(F.slice(between, F.lit(1), F.size("_values")), F.col("_values"), lambda b, x: F.concat(b, x["w"])), ""),
         F.element_at(between, -1),
     )
     kinds = F.filter(F.transform("_values", lambda x: x["k"]), lambda k: k.isNotNull())
     rest = [c for c in docs.columns if c not in (text, "n_private", "private_kinds")]
-    done = docs.withColumn("_values", values).select(
+    done = docs_in.withColumn("_values", values).select(
         *[F.col(f"`{c}`") for c in rest],
         F.when(F.col("_values").isNotNull(), joined).otherwise(source).alias(text),
         F.coalesce(F.size(F.when(F.col("_values").isNotNull(), kinds)), F.lit(0)).alias("_n"),

@@ -252,6 +252,26 @@ def test_pseudonyms_keep_formats_and_links(spark):
     assert all(other[i] != got[i]["text"] for i in range(len(PRIVATE)))
 
 
+IBANS = {
+    "AT611904300234573201 EUR": "AT611904300234573201",
+    "to ES91 2100 0418 4502 0005 1332 BIC": "ES91 2100 0418 4502 0005 1332",
+    "BE68 5390 0754 7034 2024": "BE68 5390 0754 7034",
+    "SE45 5000 0000 0583 9825 7466 SEK and PL61 1090 1014 0000 0712 1981 2874 PLN": "PL61 1090 1014 0000 0712 1981 2874",
+    # no number, but it holds or touches another value
+    "XX12 4111 1111 1111 1111": "4111 1111 1111 1111",
+    "ZZ99 ABCD EFGH 2024-03-01": "2024-03-01",
+}
+
+
+def test_pseudonyms_of_account_numbers_before_words_and_of_values_in_failed_ones(spark):
+    got = private_data.pseudonymised(spark.createDataFrame(list(enumerate(IBANS)), "doc_id long, text string"), "k").collect()
+    after = {r["doc_id"]: r for r in got}
+    for i, (text, value) in enumerate(IBANS.items()):
+        assert value not in after[i]["text"] and after[i]["n_private"] == (2 if i == 3 else 1)
+        assert after[i]["text"].split(" ")[-1] == text.split(" ")[-1] or i > 3
+    assert [after[i]["private_kinds"] for i in (0, 4, 5)] == [["iban"], ["card"], ["date"]]
+
+
 def test_pseudonyms_are_a_permutation(spark):
     df = spark.range(10_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("1.2."), F.floor(F.col("id") / 256).cast("string"), F.lit("."), (F.col("id") % 256).cast("string")).alias("text"))
     assert private_data.pseudonymised(df, "k").where("n_private = 1").select("text").distinct().count() == 10_000
