@@ -16,13 +16,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 10
+#: Symbols of the longest value whose halves are hashed as they are.
+LONG = 1024
 FIRST_DAY, YEARS, DAYS = "1900-01-01", 200, 365
 
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
 ACCESS_KEY = r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"
-SECRET = r"(?i:\b(?:password|passwd|token|secret|api_?key))[\"']?\s{0,2}[=:]\s{0,2}[\"']?[0-9A-Za-z_-]{12,128}"
+#: The whole value, however long, keys in base64 and signed tokens included; a closing full stop is the sentence's.
+SECRET = r"(?i:(?<![A-Za-z0-9])(?:password|passwd|token|secret|api[_-]?key))[\"']?\s{0,2}[=:]\s{0,2}[\"']?[0-9A-Za-z_./+=~-]{11,}[0-9A-Za-z_/+=~-]"
 #: Countries by the length of their account numbers.
 IBAN_LENGTHS = {
     15: "NO", 16: "BE", 18: "DK FI FO GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU XK MN",
@@ -200,7 +203,7 @@ def _symbols(value: Column, kind: Column) -> Column:
     return (
         F.when(kind == "email", lettered(zero, F.instr(value, "@") - 1))
         .when(kind == "access_key", lettered(F.lit(4), n))
-        .when((kind == "secret") & value.rlike("[=:][\\s\"']*[0-9a-f]+$"), lettered(head, n, hexed))
+        .when((kind == "secret") & value.rlike("^[^=:]*[=:][\\s\"']*[0-9a-f]+$"), lettered(head, n, hexed))
         .when(kind == "secret", lettered(head, n))
         .when(kind == "iban", lettered(F.lit(4), n))
         .when(kind == "address", F.transform(F.regexp_extract_all(value, F.lit(r"(\d+|\.)"), F.lit(1)), numbered))
@@ -222,14 +225,18 @@ def _permuted(symbols: Column, kind: Column, key: str) -> Column:
     def one_round(state: Column, r: Column) -> Column:
         rest = F.concat_ws(",", F.transform(F.filter(state, lambda x, i: i % 2 != r % 2), lambda x: x["v"].cast("string")))
 
-        def moved(x: Column, i: Column) -> Column:
+        # of a long half a digest, so that work grows with the length and not its square
+        rest = F.when(F.size(state) > LONG, F.sha2(rest, 256)).otherwise(rest)
+
+        def moved(x: Column, i: Column, rest: Column) -> Column:
             said = F.concat_ws("|", F.lit(key), kind, F.size(state).cast("string"), r.cast("string"), i.cast("string"), rest)
             drawn = F.conv(F.substring(F.sha2(said, 256), 1, 12), 16, 10).cast("long")
             turns = (x["r"] > 0) & (i % 2 == r % 2)
             value = F.when(turns, (x["v"] + drawn % F.greatest(x["r"], F.lit(1))) % F.greatest(x["r"], F.lit(1))).otherwise(x["v"])
             return _item(x["c"], value, x["r"], x["a"])
 
-        return F.transform(state, moved)
+        # through an array of one, or the half would be read again for each symbol
+        return F.element_at(F.transform(F.array(rest), lambda half: F.transform(state, lambda x, i: moved(x, i, half))), 1)
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), symbols, one_round)
 

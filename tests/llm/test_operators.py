@@ -272,6 +272,23 @@ def test_pseudonyms_of_account_numbers_before_words_and_of_values_in_failed_ones
     assert [after[i]["private_kinds"] for i in (0, 4, 5)] == [["iban"], ["card"], ["date"]]
 
 
+def test_secrets_are_replaced_whole(spark):
+    draw = random.Random(9)
+    drawn = lambda n: "".join(draw.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJK23456789") for _ in range(n))
+    jwt = f"eyJhbGciOiJIUzI1NiJ9.{drawn(90)}.{drawn(43)}"
+    base64 = f"{drawn(5)}/{drawn(30)}+{drawn(20)}=="
+    values = [drawn(12), drawn(129), drawn(500), jwt, base64, drawn(3000)]
+    names = ["password", "access_token", "client_secret", "auth_token", "x-api-key", "secret"]
+    rows = [(i, f'a {n}="{v}" b') for i, (n, v) in enumerate(zip(names, values))]
+    rows += [(10 + i, f"{n}: {v}. Next") for i, (n, v) in enumerate(zip(names, values))]
+    got = {r["doc_id"]: r for r in private_data.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    for i, (n, v) in enumerate(zip(names, values)):
+        after = got[i]["text"].split('"')[1]
+        assert got[i]["private_kinds"] == ["secret"] and len(after) == len(v) and got[i]["text"] == f'a {n}="{after}" b'
+        assert all(after[j : j + 8] != v[j : j + 8] for j in range(len(v) - 7))
+        assert got[10 + i]["text"] == f"{n}: {after}. Next"
+
+
 def test_pseudonyms_are_a_permutation(spark):
     df = spark.range(10_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("1.2."), F.floor(F.col("id") / 256).cast("string"), F.lit("."), (F.col("id") % 256).cast("string")).alias("text"))
     assert private_data.pseudonymised(df, "k").where("n_private = 1").select("text").distinct().count() == 10_000
