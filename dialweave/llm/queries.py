@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dialweave.llm.alignment import alignments
 from dialweave.llm.archives import new_archive_folder, read_archives, write_archives
 from dialweave.llm.fingerprints import fingerprints
 from dialweave.llm.licenses import license_labels
@@ -13,6 +14,8 @@ from dialweave.llm.near_dedup import near_duplicates
 from dialweave.llm.packing import packed_sequences
 from dialweave.llm.passages import repeated_passages
 from dialweave.llm.private_data import pseudonymised
+from dialweave.llm.spelling import spelling_variants
+from dialweave.llm.topk import top_k
 from dialweave.llm.toxicity import toxicity_scores
 from dialweave.llm.vectors import near_vectors
 
@@ -79,6 +82,18 @@ def op10_winnowing(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprints(_table(spark, sf, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    return alignments(_table(spark, sf, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op12_block_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    return top_k(_table(spark, sf, "embeddings"), divisor=50, k=5)
+
+
+def op13_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling_variants(_table(spark, sf, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
         op1_circulant_minhash,
         op2_counterfactual_toxicity,
@@ -90,6 +105,9 @@ QUERIES = {f.__name__: f for f in (
         op8_compact_windows,
         op9_pivot_permutations,
         op10_winnowing,
+        op11_token_alignment,
+        op12_block_top_k,
+        op13_spelling_variants,
     )}
 
 #: Where SQL can express the whole result; the other queries are tested against brute force.
@@ -103,5 +121,16 @@ r AS (
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN keeper = page_id THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN keeper <> page_id THEN keeper END AS refers_to
 FROM r
-"""
+""",
+    "op12_block_top_k": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM s)
+SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM r WHERE place <= 5
+""",
 }

@@ -47,5 +47,5 @@ def test_stages_hold_their_promises(spark, tmp_path):
 
 def test_registered():
     names = [n for n in contract.queries() if n.startswith("op")]
-    assert [int(n[2:].split("_")[0]) for n in names if n[2].isdigit()] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in names if n[2].isdigit()] == list(range(1, 14))
     assert "pipeline" in contract.queries()
