@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dialweave.operators.joins import having, lacking
+from dialweave.operators.sketches import is_small, narrowed, parted, together
 from dialweave.sources.schema import TABLES, Table, conform
 from dialweave.sources.tables import Tables
 
@@ -43,7 +44,11 @@ def _disjoint(rows: DataFrame, cascades: list[tuple[str, DataFrame]]) -> list[Da
 
 
 def delete(
-    tables: Tables, name: str, keys: DataFrame, fk_rules: dict[tuple[str, str], str] | None = None
+    tables: Tables,
+    name: str,
+    keys: DataFrame,
+    fk_rules: dict[tuple[str, str], str] | None = None,
+    small: bool | None = None,
 ) -> Deleted:
     """Remove rows by key; references follow their rule, transitively.
 
@@ -54,17 +59,21 @@ def delete(
 
     Tables are visited parents first, so a table's removed keys are known before its
     children are looked at. Removed keys are unique; the children, which may repeat
-    one key any number of times, stay on the splittable side of every join.
+    one key any number of times, stay on the splittable side of every join. With few keys
+    (``small``, by default a count decides) rows that none can name are not shuffled.
     """
+    small = is_small(keys, small)
     overrides = fk_rules or {}
     target = TABLES[name]
     base = conform(tables[name], target)
     on = keys.columns
     wanted = keys.dropDuplicates()
-    deleted = base.join(wanted, on, "left_semi")
+    deleted = narrowed(base, on[0], wanted, on[0], small).join(wanted, on, "left_semi")
     removed = {name: deleted.select(target.key)}
-    missing = wanted.join(base.select(*on).distinct(), on, "left_anti")
-    result = {name: lacking(base, target.key, removed[name], target.key, unique=True)}
+    known = narrowed(base.select(*on), on[0], wanted, on[0], small).distinct()
+    missing = wanted.join(known, on, "left_anti")
+    met, rest = parted(base, [(target.key, removed[name], target.key)], small)
+    result = {name: together(lacking(met, target.key, removed[name], target.key, unique=True), rest)}
 
     for table in TABLES.values():  # registered parents first
         if table.name == name:
@@ -72,7 +81,8 @@ def delete(
         hit = [(c, p, rule) for c, p, rule in _rules(table, overrides) if p in removed]
         if not hit:
             continue
-        rows = conform(tables[table.name], table)
+        whole = conform(tables[table.name], table)
+        rows, rest = parted(whole, [(c, removed[p], removed[p].columns[0]) for c, p, _ in hit], small)
         cascades = [(c, removed[p]) for c, p, rule in hit if rule == "CASCADE"]
         kept = reduce(
             lambda left, step: lacking(left, step[0], step[1], step[1].columns[0], unique=True), cascades, rows
@@ -80,7 +90,7 @@ def delete(
         for column, parent, rule in hit:
             if rule == "SET NULL":
                 kept = _forget(kept, column, removed[parent])
-        result[table.name] = kept
+        result[table.name] = together(kept, rest)
         if cascades:
             narrow = rows.select(table.key, *[c for c, _ in cascades])
             parts = [p.select(table.key) for p in _disjoint(narrow, cascades)]

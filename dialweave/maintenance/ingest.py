@@ -20,6 +20,7 @@ from dialweave.maintenance.changes import (
 )
 from dialweave.maintenance.quality import failures, rules_for
 from dialweave.operators.joins import attach, having, lacking
+from dialweave.operators.sketches import is_small, narrowed
 from dialweave.sources.schema import TABLES, Table, conform, evolve, redact
 from dialweave.sources.tables import Tables
 
@@ -62,19 +63,20 @@ def _reject_if(rows: DataFrame, broken: Column, reason: str) -> DataFrame:
     )
 
 
-def _check_references(rows: DataFrame, table: Table, tables: Tables) -> DataFrame:
+def _check_references(rows: DataFrame, table: Table, tables: Tables, small: bool) -> DataFrame:
     for ref in table.references:
         parent = TABLES[ref.parent]
-        rows = attach(rows, tables[ref.parent], ref.column, parent.key, {"__parent": parent.key})
+        known = narrowed(tables[ref.parent], parent.key, rows, ref.column, small)
+        rows = attach(rows, known, ref.column, parent.key, {"__parent": parent.key})
         missing = F.col(ref.column).isNotNull() & F.col("__parent").isNull()
         rows = _reject_if(rows, missing, f"{ref.column} not found").drop("__parent")
     return rows
 
 
-def _check_existing(rows: DataFrame, table: Table, base: DataFrame, keys: dict[str, tuple]) -> DataFrame:
+def _check_existing(rows: DataFrame, base: DataFrame, keys: dict[str, tuple], small: bool) -> DataFrame:
     for name, columns in keys.items():
         held = base.select(unique_value(columns, dict(base.dtypes)).alias("__held"))
-        held = held.where(F.col("__held").isNotNull()).distinct()
+        held = narrowed(held.where(F.col("__held").isNotNull()), "__held", rows, name, small).distinct()
         rows = attach(rows, held, name, "__held", {"__taken": "__held"})
         rows = _reject_if(rows, F.col("__taken").isNotNull(), f"{'+'.join(columns)} exists").drop("__taken")
     return rows
@@ -87,16 +89,20 @@ def ingest(
     run_ts=None,
     user: int | None = None,
     order_by: list[str] | None = None,
+    small: bool | None = None,
 ) -> Change:
     """Add a batch to a table.
 
     ``kind`` is a table name or ``registrations`` (employees whose user name defaults
     to their email). Rows are taken in ``order_by`` order (default: the batch's own
     columns), which decides key order and who wins a duplicate inside the batch.
-    Rejected rows keep their values and list the ``reasons``.
+    Rejected rows keep their values and list the ``reasons``. ``small`` tells whether the
+    batch is to be sketched, so that tables it names few rows of are not shuffled; by
+    default a count decides.
     """
     table = TABLES[KINDS.get(kind, kind)]
     run_ts = pinned(run_ts)
+    small = is_small(batch, small)
     base = conform(tables[table.name], table)
     given = list(batch.columns)
     order_by = order_by or [c for c in given if c not in (*table.hidden, "password")]
@@ -108,8 +114,8 @@ def ingest(
 
     keys = {f"__u{i}": columns for i, columns in enumerate(_unique_keys(table))}
     rows = rows.withColumns({n: unique_value(c, dict(rows.dtypes)) for n, c in keys.items()})
-    rows = _check_references(rows, table, tables)
-    rows = _check_existing(rows, table, base, keys)
+    rows = _check_references(rows, table, tables, small)
+    rows = _check_existing(rows, base, keys, small)
     rows = positioned(rows, order_by)
 
     valid = rows.where(F.size("reasons") == 0)
@@ -137,6 +143,7 @@ def insert_ignore(
     order_by: list[str],
     run_ts=None,
     user: int | None = None,
+    small: bool | None = None,
 ) -> Change:
     """Add the rows whose business key is new; leave existing rows as they are.
 
@@ -153,6 +160,7 @@ def insert_ignore(
     rows = redact(filled, table).drop("password")
     rows = rows.withColumn("__key", unique_value(tuple(business_key), dict(rows.dtypes)))
     held = base.select(unique_value(tuple(business_key), dict(base.dtypes)).alias("__key"))
+    held = narrowed(held, "__key", rows, "__key", is_small(batch, small))
     fresh = lacking(rows, "__key", held, "__key")
     known = having(rows, "__key", held, "__key")
     given = [c for c in rows.columns if c != "__key"]

@@ -18,6 +18,7 @@ from dialweave.maintenance.changes import (
     with_reason,
 )
 from dialweave.operators.joins import attach
+from dialweave.operators.sketches import is_small, narrowed, parted, together
 from dialweave.sources.schema import TABLES, conform
 from dialweave.sources.tables import Tables
 
@@ -73,21 +74,23 @@ def fold_events(events: DataFrame, order_by: list[str]) -> DataFrame:
     return events.groupBy("assignno_pk", "empno").agg(*last, *applied)
 
 
-def merge_folded(base: DataFrame, folded: DataFrame, run_ts=None) -> DataFrame:
+def merge_folded(base: DataFrame, folded: DataFrame, run_ts=None, small: bool = False) -> DataFrame:
     """Assignments with the folded values of their own agent; the others stay as they are.
 
     Joining on assignment and agent is the ownership check. Changes are stamped with
-    their own ``applied_at`` where they have one.
+    their own ``applied_at`` where they have one. With few changes (``small``) the
+    assignments that none of them can name are passed on without a shuffle.
     """
     side = folded.select(*[F.col(c).alias(f"__{c}") for c in folded.columns])
     own = (F.col("assignno_pk") == F.col("__assignno_pk")) & (F.col("empno_fk") == F.col("__empno"))
-    joined = base.join(side, own, "left")
+    met, rest = parted(base, [("assignno_pk", folded, "assignno_pk")], small)
+    joined = met.join(side, own, "left")
     touched = F.col("__assignno_pk").isNotNull()
     values = {c: F.coalesce(F.col(f"__{c}"), F.col(c)) for c in REPORTED}
     when = F.col("__applied_at") if "applied_at" in folded.columns else run_ts
     stamps = update_stamps(_ASSIGNMENTS, when, F.col("__empno"))
     values.update({c: F.when(touched, v).otherwise(F.col(c)) for c, v in stamps.items()})
-    return joined.withColumns(values).select(*base.columns)
+    return together(joined.withColumns(values).select(*base.columns), rest)
 
 
 def history_rows(accepted: DataFrame, start, run_ts) -> DataFrame:
@@ -109,41 +112,45 @@ def history_rows(accepted: DataFrame, start, run_ts) -> DataFrame:
 
 
 def apply_interactions(
-    tables: Tables, events: DataFrame, run_ts=None, order_by: list[str] | None = None
+    tables: Tables, events: DataFrame, run_ts=None, order_by: list[str] | None = None, small: bool | None = None
 ) -> Applied:
     """Apply reported interactions to assignments and log each one.
 
     An event counts only if its agent owns the assignment. Several events on one
     assignment are folded in ``order_by`` order; the default is the order of arrival
     (``event_id``). Pass ``["calleddatetime", "event_id"]`` to go by call time, with
-    the run's time for events that have none.
+    the run's time for events that have none. ``small`` as in ``ingest``.
     """
     order_by = order_by or ["event_id"]
     run_ts = pinned(run_ts)
     base = conform(tables["custassignment"], _ASSIGNMENTS)
     history = conform(tables["call_history"], _HISTORY)
-    accepted, refused = split_by_owner(events, base)
+    small = is_small(events, small)
+    accepted, refused = split_by_owner(events, narrowed(base, "assignno_pk", events, "assignno_pk", small))
 
     timed = events
     if "calleddatetime" in order_by:
         timed = events.withColumn("__called", F.coalesce("calleddatetime", run_time(run_ts)))
         order_by = ["__called" if c == "calleddatetime" else c for c in order_by]
-    assignments = merge_folded(base, fold_events(timed, order_by), run_ts)
+    assignments = merge_folded(base, fold_events(timed, order_by), run_ts, small)
     rejects = with_reason(refused, "assignment not owned by this agent")
     return Applied(assignments, rejects, accepted, history, run_ts)
 
 
-def bulk_assign(tables: Tables, batch: DataFrame, run_ts=None) -> Change:
+def bulk_assign(tables: Tables, batch: DataFrame, run_ts=None, small: bool | None = None) -> Change:
     """Assign customers to agents: (custno, empno, calltargetdate, callpriority, assigned_by).
 
     The customer's mobile number is copied into the assignment. Rows naming an
-    unknown customer or employee are rejected.
+    unknown customer or employee are rejected. ``small`` as in ``ingest``.
     """
     run_ts = pinned(run_ts)
+    small = is_small(batch, small)
     base = conform(tables["custassignment"], _ASSIGNMENTS)
     phone = {"__customer": "custno_pk", "custmobilenumber": "custmobilenumber"}
-    rows = attach(batch, tables["customer"], "custno", "custno_pk", phone)
-    rows = attach(rows, tables["employees"], "empno", "empno_pk", {"__employee": "empno_pk"})
+    customers = narrowed(tables["customer"], "custno_pk", batch, "custno", small)
+    employees = narrowed(tables["employees"], "empno_pk", batch, "empno", small)
+    rows = attach(batch, customers, "custno", "custno_pk", phone)
+    rows = attach(rows, employees, "empno", "empno_pk", {"__employee": "empno_pk"})
     reasons = F.array_compact(
         F.array(
             F.when(F.col("__customer").isNull(), F.lit("customer not found")),

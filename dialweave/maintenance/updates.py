@@ -17,6 +17,7 @@ from dialweave.maintenance.changes import (
 from dialweave.maintenance.quality import ROLES, email_ok
 from dialweave.operators.filters import lookup
 from dialweave.operators.joins import attach, having, lacking
+from dialweave.operators.sketches import SMALL, is_small, narrowed, parted, together
 from dialweave.session import freeze
 from dialweave.sources.schema import TABLES, Table, conform
 from dialweave.sources.tables import Tables
@@ -49,13 +50,14 @@ def _reasons(table: Table) -> Column:
     return F.array_compact(F.array(*checks)) if checks else F.array().cast("array<string>")
 
 
-def _missing_references(rows: DataFrame, table: Table, tables: Tables) -> DataFrame:
+def _missing_references(rows: DataFrame, table: Table, tables: Tables, small: bool) -> DataFrame:
     for ref in table.references:
         if ref.column not in table.updatable:
             continue
         parent = TABLES[ref.parent]
         rows = rows.withColumn("__fk", _value(ref.column).try_cast("long"))
-        rows = attach(rows, tables[ref.parent], "__fk", parent.key, {"__found": parent.key})
+        known = narrowed(tables[ref.parent], parent.key, rows, "__fk", small)
+        rows = attach(rows, known, "__fk", parent.key, {"__found": parent.key})
         broken = F.col("__fk").isNotNull() & F.col("__found").isNull()
         reason = F.array_append("reasons", F.lit(f"{ref.column} not found"))
         rows = rows.withColumn("reasons", F.when(broken, reason).otherwise(F.col("reasons")))
@@ -68,11 +70,12 @@ def _claim(column: str) -> Column:
     return ci_key(falsy_null(_value(column)))
 
 
-def _taken(rows: DataFrame, base: DataFrame, table: Table) -> DataFrame:
+def _taken(rows: DataFrame, base: DataFrame, table: Table, small: bool) -> DataFrame:
     """Mark changes asking for a value that another row holds."""
     for column in table.unique:
         held = base.select(ci_key(column).alias("__held"), F.col(table.key).alias("__holder"))
         claims = rows.select(POSITION, "pk", _claim(column).alias("__claim")).where(F.col("__claim").isNotNull())
+        held = narrowed(held, "__held", claims, "__claim", small)
         clash = claims.join(held, (F.col("__claim") == F.col("__held")) & (F.col("pk") != F.col("__holder")))
         clash = clash.select(F.col(POSITION).alias("__clash")).distinct()
         rows = attach(rows, clash, POSITION, "__clash", {"__hit": "__clash"})
@@ -115,7 +118,9 @@ def _new_value(column: str, table: Table) -> Column:
     return F.when(change.isNotNull(), value.cast(table.struct[column].dataType)).otherwise(F.col(column))
 
 
-def partial_update(tables: Tables, name: str, changes: DataFrame, run_ts=None) -> Change:
+def partial_update(
+    tables: Tables, name: str, changes: DataFrame, run_ts=None, small: bool | None = None
+) -> Change:
     """Apply a feed of (pk, changes map<string,string>, updated_by, seq).
 
     Only updatable columns count. A column missing from the map keeps its value; one
@@ -123,22 +128,25 @@ def partial_update(tables: Tables, name: str, changes: DataFrame, run_ts=None) -
     need not be unique across rows, and between rows the smaller key comes first. A
     change is rejected as a whole if its row does not exist, it sets nothing, a value
     does not convert, a reference has no target, or a unique value is held by another
-    row of the table or claimed by an earlier change of another row.
+    row of the table or claimed by an earlier change of another row. ``small`` as in
+    ``ingest``: rows that no change can name are then passed on without a shuffle.
     """
     table = TABLES[name]
     run_ts = pinned(run_ts)
+    small = is_small(changes, small)
     base = conform(tables[name], table)
+    named = narrowed(base.select(table.key), table.key, changes, "pk", small)
     allowed = F.map_filter("changes", lambda key, _: key.isin(list(table.updatable)))
     rows = changes.select("pk", "seq", "updated_by", F.col("changes").alias("requested"), allowed.alias("changes"))
-    unknown = with_reason(lacking(rows, "pk", base, table.key, unique=True), "not found")
+    unknown = with_reason(lacking(rows, "pk", named, table.key, unique=True), "not found")
     rows = rows.withColumn("reasons", _reasons(table))
-    rows = _missing_references(rows, table, tables)
+    rows = _missing_references(rows, table, tables, small)
 
     contested = []
     if table.unique:
         # only a change that finds its row may claim a value
-        rows = _in_order(having(rows, "pk", base, table.key, unique=True))
-        rows = _taken(rows, base, table)
+        rows = _in_order(having(rows, "pk", named, table.key, unique=True))
+        rows = _taken(rows, base, table, small)
         good = rows.where(F.size("reasons") == 0)
         claims = {f"__u{i}": _claim(c) for i, c in enumerate(table.unique)}
         good, late = split_accepted(good, accept_first(good.withColumns(claims), list(claims), owner="pk"))
@@ -150,15 +158,16 @@ def partial_update(tables: Tables, name: str, changes: DataFrame, run_ts=None) -
     stamps = update_stamps(table, run_ts, F.col("__by"))
     values = {c: _new_value(c, table) for c in table.updatable}
     values.update({c: F.when(F.col("pk").isNotNull(), v).otherwise(F.col(c)) for c, v in stamps.items()})
-    merged = base.join(folded, F.col(table.key) == F.col("pk"), "left").withColumns(values)
+    met, rest = parted(base, [(table.key, changes, "pk")], small)
+    merged = met.join(folded, F.col(table.key) == F.col("pk"), "left").withColumns(values)
 
     shown = ["pk", "seq", "updated_by", F.col("requested").alias("changes"), "reasons"]
-    broken = having(rows.where(F.size("reasons") > 0), "pk", base, table.key, unique=True)
+    broken = having(rows.where(F.size("reasons") > 0), "pk", named, table.key, unique=True)
     rejects = unknown.select(*shown).unionByName(broken.select(*shown))
     for frame in contested:
         rejects = rejects.unionByName(frame.select(*shown))
     delta = merged.where(F.col("pk").isNotNull()).select(*base.columns)
-    return Change(merged.select(*base.columns), rejects, delta)
+    return Change(together(merged.select(*base.columns), rest), rejects, delta)
 
 
 # The status column of each table that has one.
@@ -177,8 +186,10 @@ def set_status(
     values = {STATUS_COLUMNS[name]: F.lit(status)}
     values.update(update_stamps(table, run_ts, None if user is None else F.lit(user).cast("long")))
     hit = F.col("__hit").isNotNull()
-    marked = base.join(hits, F.col(table.key) == F.col("__hit"), "left")
+    small = is_small(hits) if isinstance(ids, DataFrame) else len(ids) <= SMALL
+    met, rest = parted(base, [(table.key, hits, "__hit")], small)
+    marked = met.join(hits, F.col(table.key) == F.col("__hit"), "left")
     marked = marked.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in values.items()})
     delta = marked.where(hit).select(*base.columns)
-    return Change(marked.select(*base.columns), with_reason(missing, "not found"), delta)
+    return Change(together(marked.select(*base.columns), rest), with_reason(missing, "not found"), delta)
 
