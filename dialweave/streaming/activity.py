@@ -1,48 +1,47 @@
-"""Live daily activity: the daily report over a stream of history rows."""
+"""Live daily activity: the daily report over a stream of history rows.
+
+Counts of a day add up, so each micro-batch writes the counts of its own rows and
+readers sum them. There is no state and no watermark: every day is there as soon as
+its rows are, and a row that comes late, by however much, amends its day.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from dialweave.functions import ci_equal
-from dialweave.plans.performance import SALE
+from dialweave.plans.performance import daily_counts
+from dialweave.streaming.spans import Span, Spans
 
 RESULT = "date date, total_interactions long, sales_generated long"
 
 
-def _instant(column: str) -> Column:
-    """Zone-less time read as UTC. Watermarks need an instant, whatever the session zone."""
-    local = F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col(column).cast("timestamp_ntz"))
-    return local.cast("timestamp")
+def _spans(spark: SparkSession, root: str) -> Spans:
+    return Spans(spark, root, {"days": RESULT})
 
 
-def _utc_day(instant: Column) -> Column:
-    utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant.cast("timestamp_ntz"))
-    return F.to_date(utc)
+def _summed(days: DataFrame) -> DataFrame:
+    return days.groupBy("date").agg(
+        F.sum("total_interactions").alias("total_interactions"), F.sum("sales_generated").alias("sales_generated")
+    )
 
 
-def activity_stream(history: DataFrame, lateness: str = "1 day") -> DataFrame:
-    """Counts per day, final once the watermark has passed the day's end.
+def start_activity(history: DataFrame, root: str, **trigger) -> StreamingQuery:
+    """Write counts per day to ``root``; by default process what is there and stop.
 
-    State is one row per open day, and rows are pre-counted before the shuffle.
+    A repeated batch overwrites its own counts, so each row counts once.
     """
-    timed = history.withColumn("__at", _instant("interaction_datetime")).withWatermark("__at", lateness)
-    days = timed.groupBy(F.window("__at", "1 day").alias("day")).agg(
-        F.count("*").alias("total_interactions"),
-        F.count(F.when(ci_equal("callstatus", SALE), 1)).alias("sales_generated"),
-    )
-    return days.select(_utc_day(F.col("day.start")).alias("date"), "total_interactions", "sales_generated")
+    spans = _spans(history.sparkSession, root)
 
+    def add(rows: DataFrame, batch: int) -> None:
+        if not spans.holds(batch):
+            span = Span(batch, batch, ("days",))
+            spans.write("days", daily_counts(rows), span)
+            spans.announce(span)
 
-def start_activity(history: DataFrame, root: str, lateness: str = "1 day", **trigger) -> StreamingQuery:
-    """Write closed days to ``root``; by default process what is there and stop."""
     return (
-        activity_stream(history, lateness)
-        .writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", f"{root}/days")
+        history.writeStream.foreachBatch(add)
         .option("checkpointLocation", f"{root}/checkpoint")
         .trigger(**(trigger or {"availableNow": True}))
         .start()
@@ -50,4 +49,15 @@ def start_activity(history: DataFrame, root: str, lateness: str = "1 day", **tri
 
 
 def stored_activity(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema(RESULT).parquet(f"{root}/days")
+    """The counts of all announced batches, by day."""
+    return _summed(_spans(spark, root).read("days"))
+
+
+def fold_activity(spark: SparkSession, root: str, keep: int = 0) -> str | None:
+    """Sum the counts of earlier batches into one span: a row for each day."""
+    span = _spans(spark, root).fold({"days": _summed}, keep)
+    return span and span.folder
+
+
+def prune_activity(spark: SparkSession, root: str) -> list[str]:
+    return _spans(spark, root).prune()

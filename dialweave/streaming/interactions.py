@@ -2,7 +2,7 @@
 
 Each micro-batch writes only what it adds: its history rows, and one folded change
 per assignment it touched. The assignment table itself is not rewritten; readers
-merge the changes, and a batch job may publish the merged table as a new base.
+merge the changes, and a fold turns those of many batches into those of one.
 """
 
 from __future__ import annotations
@@ -21,9 +21,12 @@ from dialweave.maintenance.interactions import (
     merge_folded,
     split_by_owner,
 )
+from dialweave.operators.joins import lacking
+from dialweave.operators.sketches import narrowed
 from dialweave.session import freeze
 from dialweave.sources.schema import TABLES, conform
 from dialweave.sources.tables import Tables
+from dialweave.streaming.spans import Span, Spans, numbered
 
 FEED_SCHEMA = (
     "event_id long, assignno_pk long, empno long, interaction_type string, calleddatetime timestamp_ntz, "
@@ -64,32 +67,36 @@ def _changes_schema() -> str:
     return f"assignno_pk long, empno long, {kinds}, applied_at timestamp_ntz, batch long"
 
 
-_PROGRESS_SCHEMA = "last_key long, batch long"
+#: What every batch writes: log rows, folded changes, the ids of its events, and the last log key in use.
+PARTS = ("history", "changes", "seen", "progress")
 
 
-def _stored(spark: SparkSession, root: str, part: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).parquet(f"{root}/{part}")
+def _spans(spark: SparkSession, root: str) -> Spans:
+    kinds = {"history": _history_schema(), "changes": _changes_schema(), "seen": "event_id long", "progress": "last_key long"}
+    return Spans(spark, root, kinds)
 
 
-def _write(df: DataFrame, root: str, part: str, batch: int) -> None:
-    df.write.mode("overwrite").parquet(f"{root}/{part}/batch={batch}")
+def _by_id(ids: DataFrame) -> DataFrame:
+    """Ids in files of narrow ranges, so that their statistics rule most of them out."""
+    return ids.repartitionByRange("event_id").sortWithinPartitions("event_id")
 
 
-def _prepare(spark: SparkSession, root: str, tables: Tables) -> None:
-    """A first file per part lets readers start before the first batch.
+def _unseen(events: DataFrame, seen: DataFrame, count: int) -> DataFrame:
+    """Events that no earlier batch has applied, however long ago.
 
-    The progress part starts with the highest history key in use, so no micro-batch
-    has to look for it again.
+    The ids of all earlier batches are held to the range of this batch's, which most of
+    their files lie outside of, and to its sketch, before they meet.
     """
-    _write(spark.createDataFrame([], _history_schema()).drop("batch"), root, "history", -1)
-    _write(spark.createDataFrame([], _changes_schema()).drop("batch"), root, "changes", -1)
-    known = tables["call_history"].agg(F.coalesce(F.max("history_pk"), F.lit(0)).alias("last_key"))
-    _write(known, root, "progress", -1)
+    earlier = narrowed(seen, "event_id", events, "event_id", count <= BROADCAST_EVENTS)
+    return lacking(events, "event_id", earlier, "event_id")
 
 
-def _last_key(spark: SparkSession, root: str, batch: int) -> int:
-    earlier = _stored(spark, root, "progress", _PROGRESS_SCHEMA).where(F.col("batch") < batch)
-    return earlier.agg(F.max("last_key")).first()[0]
+def _last_key(spans: Spans, tables: Tables) -> int:
+    """The highest history key in use: the base's for the first batch, then the latest span's."""
+    live = spans.live()
+    if live:
+        return spans.read("progress", live[-1:]).agg(F.max("last_key")).first()[0]
+    return tables["call_history"].agg(F.coalesce(F.max("history_pk"), F.lit(0))).first()[0]
 
 
 def _named(assignments: DataFrame, events: DataFrame, count: int) -> DataFrame:
@@ -108,29 +115,36 @@ def start_interactions(
 ) -> StreamingQuery:
     """Apply a feed; by default process what is there and stop.
 
-    ``tables`` opens the base tables, once per micro-batch. A repeated batch
-    overwrites its own folders and numbers its rows from the same start, so a restart
-    neither loses nor repeats an event. The work of a batch grows with the batch: the
-    base history is never read, and assignments are only filtered.
+    ``tables`` opens the base tables, once per micro-batch. A repeated batch overwrites
+    its own folders and numbers its rows from the same start, and an announced one is
+    left alone, so a restart neither loses nor repeats an event. An event delivered again
+    is applied once: within ``remember`` the stream's state knows it, later the ids that
+    every batch leaves. The work of a batch grows with the batch: the base history is
+    read once for its highest key, and assignments are only filtered.
     """
     spark = feed.sparkSession
+    spans = _spans(spark, root)
 
     def apply(events: DataFrame, batch: int) -> None:
+        if spans.holds(batch):
+            return
         events = freeze(events)  # read by several jobs below, computed once
         count = events.count()
         if count == 0:
             return
-        moment = pinned(run_ts)
-        assignments = _named(conform(tables()["custassignment"], _ASSIGNMENTS), events, count)
+        events = freeze(_unseen(events, spans.read("seen"), count))
+        moment, opened, span = pinned(run_ts), tables(), Span(batch, batch, PARTS)
+        assignments = _named(conform(opened["custassignment"], _ASSIGNMENTS), events, count)
         accepted = freeze(split_by_owner(events, assignments)[0])
-        start = _last_key(spark, root, batch)
-        _write(history_rows(accepted, start, moment), root, "history", batch)
+        start = _last_key(spans, opened)
+        spans.write("history", numbered(history_rows(accepted, start, moment), batch), span)
         folded = fold_events(accepted, ["event_id"]).withColumn("applied_at", run_time(moment))
-        _write(folded, root, "changes", batch)
+        spans.write("changes", numbered(folded, batch), span)
+        spans.write("seen", _by_id(events.select("event_id").where("event_id IS NOT NULL")), span)
         reached = spark.range(1, numPartitions=1).select(F.lit(start + accepted.count()).alias("last_key"))
-        _write(reached, root, "progress", batch)
+        spans.write("progress", reached, span)
+        spans.announce(span)
 
-    _prepare(spark, root, tables())
     return (
         _without_repeats(feed, remember)
         .writeStream.foreachBatch(apply)
@@ -142,11 +156,41 @@ def start_interactions(
 
 def stored_history(spark: SparkSession, root: str) -> DataFrame:
     """History rows logged by the stream, with their batch."""
-    return _stored(spark, root, "history", _history_schema())
+    return _spans(spark, root).read("history")
+
+
+def _changes(spans: Spans) -> DataFrame:
+    return fold_events(spans.read("changes"), ["batch"])
 
 
 def current_assignments(tables: Tables, root: str) -> DataFrame:
     """The assignment table with everything the stream has reported."""
     base = conform(tables["custassignment"], _ASSIGNMENTS)
-    changes = _stored(base.sparkSession, root, "changes", _changes_schema())
-    return merge_folded(base, fold_events(changes, ["batch"]))
+    return merge_folded(base, _changes(_spans(base.sparkSession, root)))
+
+
+def _refolded(changes: DataFrame) -> DataFrame:
+    """Changes of several batches as one for each assignment and agent, which takes the last one's place."""
+    last = changes.groupBy("assignno_pk", "empno").agg(F.max("batch").alias("batch"))
+    return fold_events(changes, ["batch"]).join(last, ["assignno_pk", "empno"])
+
+
+def fold_interactions(spark: SparkSession, root: str, keep: int = 0) -> str | None:
+    """Rewrite what earlier batches left as one span, all but the ``keep`` newest spans.
+
+    Readers see the batches or the span, never both. The table of assignments and the
+    log are the same before and after, and so after any number of folds.
+    """
+    how = {
+        "history": lambda rows: rows.hint("rebalance"),
+        "changes": _refolded,
+        "seen": _by_id,
+        "progress": lambda rows: rows.agg(F.max("last_key").alias("last_key")),
+    }
+    span = _spans(spark, root).fold(how, keep)
+    return span and span.folder
+
+
+def prune_interactions(spark: SparkSession, root: str) -> list[str]:
+    """Delete what folds have replaced, when no reader is at it any more."""
+    return _spans(spark, root).prune()

@@ -545,13 +545,8 @@ def event_stream(spark, sf):
     return reader.option("pathGlobFilter", "events.parquet").parquet(sf)
 
 
-# Days the watermark has closed: those that end a day before the newest event.
-@job(
-    f"""
-SELECT * FROM ({_DAYS.format(where="")}) d
-WHERE d.date + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY
-"""
-)
+# Every day is there, the open ones too: readers sum what each micro-batch has counted.
+@job(_DAYS.format(where=""))
 def stream_daily_activity(spark, sf):
     events = event_stream(spark, sf)
     root = new_folder(spark, "activity")
@@ -576,3 +571,12 @@ def stream_interaction_history(spark, sf):
 def stream_interaction_state(spark, sf):
     root = _run_feed(spark, sf)
     return streaming.current_assignments(tables(spark, sf), root).select(*_ASSIGNED)
+
+
+@job(_LOGGED)
+def stream_interaction_folded(spark, sf):
+    """The log after its batches were folded into one span and the batches deleted."""
+    root = _run_feed(spark, sf)
+    streaming.fold_interactions(spark, root)
+    streaming.prune_interactions(spark, root)
+    return streaming.stored_history(spark, root).select(*_LOG)
