@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -82,9 +82,10 @@ def accept_first(rows: DataFrame, keys: list[str], owner: str | None = None) ->
     A row is turned down if an *accepted* earlier row (of another ``owner``) holds
     one of its values. With one key that is the first row of each group. With
     several, a turned-down row frees its other values for later rows, so rounds are
-    run: rows first in all their groups win, rows they exclude leave, and the rest
-    go on. Each round is a grouped minimum and joins, on frozen narrow rows; a batch
-    without such chains takes one round.
+    run: winners are found, rows they exclude leave, and the rest go on. In the first
+    round the rows win that are first in all their groups, and a batch in which turned-
+    down rows free nothing takes that round alone. What is left hangs together in
+    chains; ``_settled`` decides a chain of any length in one round.
     """
     narrow = [POSITION, *keys, *([owner] if owner else [])]
     pending = rows.select(*narrow)
@@ -94,11 +95,7 @@ def accept_first(rows: DataFrame, keys: list[str], owner: str | None = None) ->
         return alone.unionByName(heads.withColumnRenamed(f"{keys[0]}_first", POSITION))
     rounds = []
     while True:
-        marked = pending
-        for key in keys:
-            marked = marked.join(_heads(pending, key), F.col(key) == F.col(f"{key}_h"), "left")
-        first = [F.col(k).isNull() | (F.col(f"{k}_first") == F.col(POSITION)) for k in keys]
-        winners = freeze(marked.where(reduce(and_, first)).select(*narrow))
+        winners = freeze(_settled(pending, keys, owner) if rounds else _first_in_all(pending, keys)).select(*narrow)
         rounds.append(winners.select(POSITION))
         left = lacking(pending, POSITION, winners, POSITION, unique=True)
         for key in keys:
@@ -115,6 +112,77 @@ def accept_first(rows: DataFrame, keys: list[str], owner: str | None = None) ->
             return reduce(DataFrame.unionByName, rounds)
 
 
+def _first_in_all(pending: DataFrame, keys: list[str]) -> DataFrame:
+    marked = pending
+    for key in keys:
+        marked = marked.join(_heads(pending, key), F.col(key) == F.col(f"{key}_h"), "left")
+    first = [F.col(k).isNull() | (F.col(f"{k}_first") == F.col(POSITION)) for k in keys]
+    return marked.where(reduce(and_, first))
+
+
+def _blockers(pending: DataFrame, key: str, owner: str | None) -> DataFrame:
+    """Per value of a key: the first row, the second, and the first one of another owner."""
+    held = pending.where(F.col(key).isNotNull())
+    who = F.col(owner) if owner else F.lit(None).cast("long")
+    heads = held.groupBy(F.col(key).alias("__h")).agg(F.min(F.struct(F.col(POSITION).alias("at"), who.alias("who"))).alias("__first"))
+    after = held.join(heads, F.col(key) == F.col("__h")).where(F.col(POSITION) > F.col("__first.at"))
+    other = F.min(F.when(~who.eqNullSafe(F.col("__first.who")), F.col(POSITION))) if owner else F.lit(None).cast("long")
+    seconds = after.groupBy(F.col(key).alias("__g")).agg(F.min(POSITION).alias("__second"), other.alias("__other"))
+    names = {"__first": f"{key}_first", "__second": f"{key}_second", "__other": f"{key}_other"}
+    both = heads.join(seconds, F.col("__h") == F.col("__g"), "left")
+    return both.select(F.col("__h").alias(f"{key}_h"), *[F.col(c).alias(n) for c, n in names.items()])
+
+
+def _settled(pending: DataFrame, keys: list[str], owner: str | None) -> DataFrame:
+    """Rows whose acceptance follows from the rows before them.
+
+    A row without a conflicting earlier row is accepted. A row with exactly one is
+    accepted if and only if that one is not, so such rows form trees; pointers up the
+    trees are doubled until they reach a root, and the parity of the way decides. Rows
+    with more conflicts, and what hangs on them, wait for a later round.
+    """
+    marked, free, parents, waits = pending, [], [], []
+    for key in keys:
+        marked = marked.join(_blockers(pending, key, owner), F.col(key) == F.col(f"{key}_h"), "left")
+        at, first = F.col(POSITION), F.col(f"{key}_first.at")
+        same = F.col(owner).eqNullSafe(F.col(f"{key}_first.who")) if owner else F.lit(False)
+        clear = F.col(key).isNull() | (first == at)
+        if owner:
+            clear = clear | (same & (F.col(f"{key}_other").isNull() | (F.col(f"{key}_other") > at)))
+        single = ~clear & ~same & (F.col(f"{key}_second") == at)
+        free.append(clear)
+        parents.append(F.when(single, first))
+        waits.append(~clear & ~single)
+    parent = F.greatest(*parents) if len(parents) > 1 else parents[0]
+    alike = F.coalesce(F.least(*parents) == parent, F.lit(True)) if len(parents) > 1 else F.lit(True)
+    root = reduce(and_, free)
+    waiting = reduce(or_, waits) | ~alike
+    tree = marked.select(
+        *pending.columns,
+        F.when(root | waiting, F.col(POSITION)).otherwise(parent).alias("__up"),
+        (~root & ~waiting).cast("int").alias("__odd"),
+        root.alias("__known"),
+    )
+    pointers = freeze(tree)
+    while True:
+        ahead = pointers.select(
+            F.col(POSITION).alias("__at"), F.col("__up").alias("__further"), F.col("__odd").alias("__step"), F.col("__known").alias("__sure")
+        )
+        # at a root or a waiting row the way ends: it points at itself, over no step
+        moved = pointers.join(ahead, F.col("__up") == F.col("__at"), "left")
+        pointers = freeze(
+            moved.select(
+                *pending.columns,
+                F.col("__further").alias("__up"),
+                F.when(F.col("__at") == F.col(POSITION), F.col("__odd")).otherwise((F.col("__odd") + F.col("__step")) % 2).alias("__odd"),
+                F.col("__sure").alias("__known"),
+                ((F.col("__further") != F.col("__up"))).alias("__moved"),
+            )
+        )
+        if pointers.where("__moved").isEmpty():
+            return pointers.where(F.col("__known") & (F.col("__odd") == 0))
+
+
 def split_accepted(rows: DataFrame, accepted: DataFrame) -> tuple[DataFrame, DataFrame]:
     return (
         having(rows, POSITION, accepted, POSITION, unique=True),
