@@ -177,8 +177,16 @@ def _alphabet(c: Column) -> Column:
     )
 
 
+#: Numbers that each part of a social number may have: the first skips 000, 666 and 900 to 999, the others 0.
+AREAS, GROUPS, SERIALS = 898, 99, 9999
+
+
+def _area(number: Column) -> Column:
+    return number - F.when(number > 666, 2).otherwise(1)
+
+
 def _symbols(value: Column, kind: Column) -> Column:
-    """The symbols of a value; radix 0 marks what stays."""
+    """The symbols of a value; radix 0 marks what stays, separators among it."""
 
     def lettered(first: Column, end: Column, alphabet=_alphabet) -> Column:
         def item(c: Column, i: Column) -> Column:
@@ -214,6 +222,14 @@ def _symbols(value: Column, kind: Column) -> Column:
                 _item(F.lit(""), days % DAYS, F.lit(DAYS), F.lit("")),
             ),
         )
+        .when(
+            kind == "social",
+            F.array(
+                _item(F.lit(""), _area(F.substring(value, 1, 3).cast("int")), F.lit(AREAS), F.lit("")),
+                _item(F.lit(""), F.substring(value, 5, 2).cast("int") - 1, F.lit(GROUPS), F.lit("")),
+                _item(F.lit(""), F.substring(value, 8, 4).cast("int") - 1, F.lit(SERIALS), F.lit("")),
+            ),
+        )
         .when(kind == "phone", lettered(dialled, n))
         # the first digit names the kind of card, the last is its check digit
         .when(kind == "card", lettered(F.lit(1), n - 1))
@@ -222,6 +238,8 @@ def _symbols(value: Column, kind: Column) -> Column:
 
 
 def _permuted(symbols: Column, kind: Column, key: str) -> Column:
+    """The symbols that move, permuted; what stays has no part in it, so that spellings with other separators agree."""
+
     def one_round(state: Column, r: Column) -> Column:
         rest = F.concat_ws(",", F.transform(F.filter(state, lambda x, i: i % 2 != r % 2), lambda x: x["v"].cast("string")))
 
@@ -238,20 +256,32 @@ def _permuted(symbols: Column, kind: Column, key: str) -> Column:
         # through an array of one, or the half would be read again for each symbol
         return F.element_at(F.transform(F.array(rest), lambda half: F.transform(state, lambda x, i: moved(x, i, half))), 1)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), symbols, one_round)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), F.filter(symbols, lambda x: x["r"] > 0), one_round)
+
+
+def _put_back(symbols: Column, moved: Column) -> Column:
+    """The value with its moved symbols in their places, between those that stay."""
+
+    def next_one(done: Column, x: Column) -> Column:
+        m = F.try_element_at(moved, done["at"])
+        shown = F.when(m["a"] == "", m["v"].cast("string")).otherwise(F.substr(m["a"], m["v"] + 1, F.lit(1)))
+        text = F.concat(done["text"], F.when(x["r"] == 0, x["c"]).otherwise(shown))
+        return F.struct(text.alias("text"), (done["at"] + F.when(x["r"] == 0, 0).otherwise(1)).alias("at"))
+
+    # a place beyond the last moved symbol is never read, but asked for
+    return F.aggregate(symbols, F.struct(F.lit("").alias("text"), F.lit(1).alias("at")), next_one)["text"]
 
 
-def _written(value: Column, kind: Column, symbols: Column) -> Column:
-    plain = F.array_join(
-        F.transform(
-            symbols,
-            lambda x: F.when(x["r"] == 0, x["c"])
-            .when(x["a"] == "", x["v"].cast("string"))
-            .otherwise(F.substr(x["a"], x["v"] + 1, F.lit(1))),
-        ),
-        "",
+def _written(value: Column, kind: Column, stays: Column, symbols: Column) -> Column:
+    # where nothing stays the symbols are simply lined up
+    lined = F.array_join(
+        F.transform(symbols, lambda x: F.when(x["a"] == "", x["v"].cast("string")).otherwise(F.substr(x["a"], x["v"] + 1, F.lit(1)))), ""
     )
-    day = F.date_add(F.lit(FIRST_DAY).cast("date"), F.element_at(symbols, 1)["v"] * DAYS + F.element_at(symbols, 2)["v"])
+    plain = F.when(F.size(stays) == F.size(symbols), lined).otherwise(_put_back(stays, symbols))
+    part = lambda i, size: F.lpad((F.try_element_at(symbols, F.lit(i))["v"] + 1).cast("string"), size, "0")
+    area = F.try_element_at(symbols, F.lit(1))["v"]
+    social = F.concat_ws("-", F.lpad((area + F.when(area >= 665, 2).otherwise(1)).cast("string"), 3, "0"), part(2, 2), part(3, 4))
+    day = F.date_add(F.lit(FIRST_DAY).cast("date"), F.try_element_at(symbols, F.lit(1))["v"] * DAYS + F.try_element_at(symbols, F.lit(2))["v"])
     pattern = (
         F.when(value.rlike(r"^\d{4}-"), "yyyy-MM-dd")
         .when(value.rlike(r"^\d\d/\d\d/"), "dd/MM/yyyy")
@@ -264,6 +294,7 @@ def _written(value: Column, kind: Column, symbols: Column) -> Column:
     cleared = F.concat(F.substring(plain, 1, 2), F.lit("00"), F.substring(plain, 5, 100))
     return (
         F.when(kind == "date", _dated(day, pattern))
+        .when(kind == "social", social)
         .when(kind == "card", F.concat(body, check.cast("string")))
         .when(
             kind == "iban",
@@ -289,27 +320,31 @@ def pseudonymised(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     Every valid value is replaced by its pseudonym under `key`; all else stays, byte
     for byte, so a text without such values is unchanged. n_private counts values,
     private_kinds is an array of their kinds, sorted. The e-mail's domain, the country
-    code, the card's first digit and the name before a secret stay.
+    code, the card's first digit and the name before a secret stay, and so do separators:
+    one card, account or phone number has one pseudonym however it is spelled. Social
+    numbers become valid ones.
 
     A null text stays null with no values found, an empty one empty. Other columns
     pass through; one called n_private or private_kinds gives way to the new one.
     Repeated rows are treated alike; an empty table gives an empty result.
     """
-    source = F.col(text).cast("string")
+    # the caller's columns are one, so that those below cannot clash with them
+    docs_in = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text}`").cast("string").alias("_text"))
+    source = F.col("_text")
     hit = source.rlike(ANY)
     # a column of its own: it is read many times and found once
-    docs_in = docs.withColumn("_candidates", F.when(hit, _candidates(source)))
+    docs_in = docs_in.withColumn("_candidates", F.when(hit, _candidates(source)))
     docs_in = docs_in.withColumn("_any", F.when(F.col("_candidates").isNotNull(), _any_valid(F.col("_candidates"))))
     found = F.transform(
         F.regexp_extract_all(source, F.col("_any"), F.lit(0)), lambda m: F.struct(m.alias("m"), _kind(m).alias("k"))
     )
     split = F.transform(found, lambda x: F.struct(x["m"], x["k"], F.when(x["k"].isNotNull(), _symbols(x["m"], x["k"])).alias("s")))
     turned = F.transform(
-        split, lambda x: F.struct(x["m"], x["k"], F.when(x["k"].isNotNull(), _permuted(x["s"], x["k"], key)).alias("s"))
+        split, lambda x: F.struct(x["m"], x["k"], x["s"], F.when(x["k"].isNotNull(), _permuted(x["s"], x["k"], key)).alias("p"))
     )
     new = F.transform(
         turned,
-        lambda x: F.struct(x["k"].alias("k"), F.when(x["k"].isNull(), x["m"]).otherwise(_written(x["m"], x["k"], x["s"])).alias("w")),
+        lambda x: F.struct(x["k"].alias("k"), F.when(x["k"].isNull(), x["m"]).otherwise(_written(x["m"], x["k"], x["s"], x["p"])).alias("w")),
     )
     values = F.when(F.col("_any").isNotNull(), new)
     between = F.split(source, F.col("_any"), -1)
@@ -318,12 +353,11 @@ def pseudonymised(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
         F.element_at(between, -1),
     )
     kinds = F.filter(F.transform("_values", lambda x: x["k"]), lambda k: k.isNotNull())
-    rest = [c for c in docs.columns if c not in (text, "n_private", "private_kinds")]
-    done = docs_in.withColumn("_values", values).select(
-        *[F.col(f"`{c}`") for c in rest],
-        F.when(F.col("_values").isNotNull(), joined).otherwise(source).alias(text),
-        F.coalesce(F.size(F.when(F.col("_values").isNotNull(), kinds)), F.lit(0)).alias("_n"),
+    n = F.coalesce(F.greatest(F.size(F.when(F.col("_values").isNotNull(), kinds)), F.lit(0)), F.lit(0))
+    new = F.when(F.col("_values").isNotNull(), joined).otherwise(source)
+    given = [c for c in docs.columns if c not in ("n_private", "private_kinds")]
+    return docs_in.withColumn("_values", values).select(
+        *[(new if c == text else F.col(f"_row.`{c}`")).alias(c) for c in given],
+        n.cast("long").alias("n_private"),
         F.coalesce(F.array_sort(F.array_distinct(kinds)), F.array().cast("array<string>")).alias("private_kinds"),
     )
-    order = [c for c in docs.columns if c in rest or c == text]
-    return done.select(*[F.col(f"`{c}`") for c in order], F.greatest("_n", F.lit(0)).cast("long").alias("n_private"), "private_kinds")
