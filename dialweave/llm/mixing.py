@@ -81,16 +81,16 @@ def mixture(
 
     size counts words of the whole text (null: 0). taken is what the mix takes, in
     words: whole epochs of the document and its share of the last, partial one. The
-    taken words of a source equal its target, rounded, but for rows that repeat a
-    (doc_id, source, size) with the same key, which are treated alike and may leave
-    fewer words than there are such rows. Null sources are one source, the last; a
-    null doc_id is keyed by its text. Other columns are ignored, whatever their
-    names; an empty table gives an empty result.
+    taken words of a source equal its target, rounded. Rows that repeat a document
+    stand one after the other, so one of them may close the target and the next take
+    less. Null sources are one source, the last; a null doc_id is keyed by its text.
+    Other columns are ignored, whatever their names; an empty table gives an empty result.
     """
     weight = prose_weight() if weight is None else weight
-    rows = freeze(docs.select(*_ordered(weight)))
-    return rows.join(_taken(rows, cycle, epochs), _alike()).select(
-        "doc_id", "source", "size", "order_key", "source_size", "target", "taken"
+    rows = freeze(docs.select(*_ordered(weight)).withColumn("row", F.monotonically_increasing_id()))
+    placed = _placed(rows, "size", ["order_key", "doc_id", "row"], cycle, epochs)
+    return placed.withColumn("taken", F.col("whole") * F.col("size") + F.col("last")).select(
+        "doc_id", "source", "size", "order_key", "source_size", "target", F.col("taken").cast("long").alias("taken")
     )
 
 
@@ -132,22 +132,25 @@ def _alike() -> Column:
     )
 
 
+def _placed(rows: DataFrame, amount: str, order: list[str], cycle: tuple[int, ...], epochs: int) -> DataFrame:
+    """`rows` with their source's size and target, its whole epochs, and their share (last) of the partial one."""
+    sources = rows.groupBy("source_key").agg(F.sum(amount).alias("source_size"))
+    targets = source_targets(sources, cycle, epochs)
+    placed = sums_before(rows, amount, order, "source_key").join(targets, "source_key")
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+    part = F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long")
+    last = F.greatest(F.lit(0), F.least(F.col(amount), part - F.col("before")))
+    return placed.withColumn("whole", whole).withColumn("last", last)
+
+
 def _taken(rows: DataFrame, cycle: tuple[int, ...], epochs: int) -> DataFrame:
     """Words taken of each row with these keys; rows with the same keys are treated alike."""
     alike = rows.groupBy("source_key", "order_key", "doc_id", "size").agg(F.count("*").alias("rows"))
     alike = alike.withColumn("words", F.col("rows") * F.col("size"))
-    sources = alike.groupBy("source_key").agg(F.sum("words").alias("source_size"))
-    targets = source_targets(sources, cycle, epochs)
-    placed = sums_before(alike, "words", ["order_key", "doc_id", "size"], "source_key").join(targets, "source_key")
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    part = F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long")
-    last = F.greatest(F.lit(0), F.least(F.col("words"), part - F.col("before")))
-    return placed.withColumn("whole", whole).select(
+    return _placed(alike, "words", ["order_key", "doc_id", "size"], cycle, epochs).select(
         F.col("source_key").alias("k_source"),
         F.col("order_key").alias("k_order"),
         F.col("doc_id").alias("k_doc"),
         F.col("size").alias("k_size"),
-        "source_size",
-        "target",
-        (F.col("whole") * F.col("size") + F.floor(last / F.col("rows"))).cast("long").alias("taken"),
+        (F.col("whole") * F.col("size") + F.floor(F.col("last") / F.col("rows"))).cast("long").alias("taken"),
     )
