@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dialweave.llm.words import WordHashes
+from dialweave.llm.batches import cuts, parts
+from dialweave.llm.words import REMEMBERED, WordHashes
 
 #: Labelled rows that the model may learn from, at most, half of them toxic.
 SAMPLE = 12_000
@@ -27,6 +28,8 @@ CANDIDATES = 3_000
 #: Weight of the counterfactual term, and of the L1 term that drops words.
 SWAP, SPARSE = 4.0, 1e-4
 ROUNDS = 400
+#: Weight of the toxic rows together, whatever their share of a sample: the fit is alike at every size.
+SHARE = 0.5
 
 #: Words that name a group, by kind; each kind ends with its neutral word.
 IDENTITY_TERMS = (
@@ -66,7 +69,7 @@ def _others() -> dict[bytes, list[bytes]]:
 def _featured(batches):
     known, others = WordHashes(), _others()
     signed = lambda word: known[word] - (1 << 63)
-    for batch in batches:
+    for batch in parts(batches, "text"):
         words, old, new = [], [], []
         for text in batch.column("text").to_pylist():
             words.append(sorted(map(signed, bag(text))))
@@ -98,12 +101,14 @@ class _Weights(dict):
     """Weight of a word."""
 
     def __init__(self, model: Model):
-        self.known, self.by_hash = WordHashes(), model.weights
+        self.by_hash = model.weights
 
     def __missing__(self, word: bytes) -> float:
-        if len(self) >= 400_000:
+        import xxhash
+
+        if len(self) >= REMEMBERED:
             self.clear()
-        value = self[word] = self.by_hash.get(self.known[word] - (1 << 63), 0.0)
+        value = self[word] = self.by_hash.get(xxhash.xxh3_64_intdigest(word) - (1 << 63), 0.0)
         return value
 
 
@@ -111,6 +116,7 @@ def fit(toxic: np.ndarray, words: list[np.ndarray], swaps: np.ndarray, swap: flo
     """Minimise log loss + swap * mean squared score change + L1, by accelerated proximal steps.
 
     `swaps` holds a row (old word, new word) for each swap in a labelled sentence.
+    The classes weigh SHARE and 1 - SHARE, however many rows of them there are.
     """
     y = np.asarray(toxic, np.float64)
     if not len(y) or y.min() == y.max():
@@ -133,22 +139,23 @@ def fit(toxic: np.ndarray, words: list[np.ndarray], swaps: np.ndarray, swap: flo
     index = {v: i for i, v in enumerate(vocabulary[chosen].tolist())}
     pairs = np.array([(index.get(a, -1), index.get(b, -1)) for a, b in swaps.tolist()], np.int64).reshape(-1, 2)
     pairs, times = np.unique(pairs, axis=0, return_counts=True) if len(pairs) else (pairs, np.zeros(0))
-    share = swap * times / max(times.sum(), 1)
+    penalty = swap * times / max(times.sum(), 1)
     n, d = len(y), len(chosen)
+    weight = np.where(y > 0, SHARE / y.mean(), (1 - SHARE) / (1 - y.mean()))
     # each weight has its own step: the loss lies under a parabola that curves so much along it
-    width = np.bincount(row, minlength=n) + 1.0
+    width = (np.bincount(row, minlength=n) + 1.0) * weight
     curve = np.append(np.bincount(at, weights=width[row], minlength=d), width.sum()) / (4 * n)
     for side in range(2) if len(pairs) else ():
-        curve += 4 * np.bincount(pairs[:, side] % (d + 1), weights=share, minlength=d + 1)
+        curve += 4 * np.bincount(pairs[:, side] % (d + 1), weights=penalty, minlength=d + 1)
     step = 1 / curve
     w = ahead = np.zeros(d + 1)
     for k in range(ROUNDS):
         z = np.bincount(row, weights=ahead[at], minlength=n) + ahead[d]
-        off = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
+        off = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
         slope = np.append(np.bincount(at, weights=off[row], minlength=d), off.sum())
         if len(pairs):
             padded = np.append(ahead[:d], 0.0)
-            change = 2 * share * (padded[pairs[:, 1]] - padded[pairs[:, 0]])
+            change = 2 * penalty * (padded[pairs[:, 1]] - padded[pairs[:, 0]])
             moved = np.bincount(pairs[:, 1] % (d + 1), weights=change, minlength=d + 1)
             moved -= np.bincount(pairs[:, 0] % (d + 1), weights=change, minlength=d + 1)
             slope[:d] += moved[:d]
@@ -194,10 +201,14 @@ def score_column(model: Model, text: str = "text") -> Column:
     """Score in (0, 1) of a text column, whole texts; a null text counts as empty."""
 
     @F.arrow_udf("double")
-    def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def score(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         weights = _Weights(model)
-        for texts in parts:
-            scores = [model.score([w for w in map(weights.__getitem__, bag(t)) if w]) for t in texts.to_pylist()]
+        for texts in columns:
+            scores = [
+                model.score([w for w in map(weights.__getitem__, bag(t)) if w])
+                for start, length in cuts(texts)
+                for t in texts.slice(start, length).to_pylist()
+            ]
             yield pa.array(scores, pa.float64())
 
     return score(F.col(text).cast("binary"))
