@@ -16,11 +16,11 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dialweave.llm.batches import parts
 from dialweave.llm.tables import new_folder, remove, renewed, written
 from dialweave.session import freeze
 
@@ -175,15 +175,8 @@ class _Linked:
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
     """(doc_ids, texts) of about BLOCK bytes."""
-    for batch in batches:
-        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
-        start = 0
-        while start < batch.num_rows:
-            done = sizes[start - 1] if start else 0
-            end = max(start + 1, int(np.searchsorted(sizes, done + BLOCK, "right")))
-            part = batch.slice(start, end - start)
-            yield part.column("doc_id").to_pylist(), [t or "" for t in part.column("text").to_pylist()]
-            start = end
+    for part in parts(batches, "text", BLOCK):
+        yield part.column("doc_id").to_pylist(), [t or "" for t in part.column("text").to_pylist()]
 
 
 _DONE = pa.schema(

@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dialweave.llm.graph import components
-from dialweave.llm.words import WordHashes, mixed, shingle_set
+from dialweave.llm.batches import parts
+from dialweave.llm.words import Words, mixed, shingle_sets
 from dialweave.session import freeze
 
 UNIVERSE_BITS = 20
@@ -70,9 +71,9 @@ def _class_of(shingles: np.ndarray) -> int:
 
 def _sign(words: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, known = Circulant(bands, rows), WordHashes()
-        for batch in batches:
-            sets = [shingle_set(t, words, known) for t in batch.column("text").to_pylist()]
+        make, known = Circulant(bands, rows), Words()
+        for batch in parts(batches, "text"):
+            sets = shingle_sets(batch.column("text").to_pylist(), words, known)
             full = [s for s in sets if len(s)]
             folded = np.concatenate([make.folded(s) for s in full]) if full else np.zeros(0, np.int64)
             ends = np.concatenate([[0], np.cumsum([bands if len(s) else 0 for s in sets])]).astype(np.int32)
@@ -101,9 +102,9 @@ def parities(shingles: np.ndarray) -> np.ndarray:
 
 def _full_sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        for batch in batches:
-            sets = [shingle_set(t, words, known) for t in batch.column("text").to_pylist()]
+        known = Words()
+        for batch in parts(batches, "text"):
+            sets = shingle_sets(batch.column("text").to_pylist(), words, known)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([_class_of(s) if len(s) else None for s in sets], pa.int64()),

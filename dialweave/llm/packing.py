@@ -8,28 +8,43 @@ another. Sequences are cut from the stream of documents in that order.
 
 from __future__ import annotations
 
-import sys
-import types
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dialweave.llm.batches import parts
 from dialweave.llm.prefix import sums_before
 from dialweave.session import freeze
 
 DIMENSIONS, BITS = 4, 10
 SEED = 77
-#: Words whose ids one worker process remembers; it only saves encoding them again.
-REMEMBERED = 1_000_000
-#: A word longer than this is encoded each time.
-LONG_WORD = 64
-#: White space to Python's split but not to the tokenizer.
-ODD_SPACE = "\x1c\x1d\x1e\x1f"
-#: Closing marks that stand alone as one piece after a run of letters.
-CLOSING = ".,;:!?"
+#: A character that ends a word within this module; texts that hold it go the other way.
+END = "\x00"
+#: White space to some libraries only, a letter whose small form is two characters, and END.
+ODD = "\x1c\x1d\x1e\x1f\x85\u0130" + END
+#: Lead bytes up to this one begin characters that every version of Unicode folds and sorts alike.
+STEADY = 0xC8
+#: How definitions of the known shape cut a folded text; fixed values of the format.
+CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PIECES = regex.compile(CUT)
+KNOWN_SHAPE = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": CUT}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 
 
 def hilbert_place(points: np.ndarray, bits: int) -> np.ndarray:
@@ -56,72 +71,70 @@ def hilbert_place(points: np.ndarray, bits: int) -> np.ndarray:
     return place
 
 
-class WordIds(dict):
-    """Ids of a white-space-delimited word, as little-endian 16- or 32-bit numbers.
+class WordIds:
+    """Ids of a text by a word-level definition for the `tokenizers` library, as little-endian 16- or 32-bit numbers.
 
-    A word-level tokenizer that drops white space gives a text the ids of its
-    words one after the other. Runs of Latin letters, with or without a closing
-    mark, go straight to the model; anything else through the whole tokenizer.
+    Where the definition's merges follow its ids, `tiktoken` makes the same ids several
+    times faster: a byte and END are one symbol there, put together before any merge, as
+    the definition's word ends are. Texts that the two might fold or cut differently, and
+    definitions of another kind, go through `tokenizers` as a whole.
     """
 
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_str(definition)
-        self.model = self.full.model.tokenize
         self.kind = "<u2" if self.full.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
-        keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        others = (b for b in range(256) if b not in keep)
+        spec = json.loads(definition)
+        self.added = [t["content"] for t in spec.get("added_tokens", ())]
+        self.quick = self._by_ranks(spec)
+
+    @staticmethod
+    def _by_ranks(spec: dict):
+        model = spec["model"]
+        ending, vocabulary = model.get("end_of_word_suffix"), model.get("vocab", {})
+        merges = [m if isinstance(m, list) else m.split(" ") for m in model.get("merges", ())]
+        shape = {"normalizer": spec.get("normalizer"), "pre_tokenizer": spec.get("pre_tokenizer")}
+        if shape != KNOWN_SHAPE or not ending or model.get("ignore_merges"):
+            return None
+        if any(vocabulary.get(a + b) != 512 + i for i, (a, b) in enumerate(merges)):
+            return None
+        import tiktoken
+
         # the byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on
-        self.letters = {b: chr(256 + i) for i, b in enumerate(others)}
-
-    def by_full(self, word: str) -> list[int]:
-        return self.full.encode(word, add_special_tokens=False).ids
-
-    def by_model(self, word: str) -> list[int]:
-        return [t.id for t in self.model(word.encode().decode("latin-1").translate(self.letters))]
-
-    def __missing__(self, word: str) -> bytes:
-        run = word.rstrip(CLOSING)
-        if run.isalpha() and max(run) < "ɐ" and "İ" not in run:
-            bare = run.lower()
-            if bare != word:
-                # the same run with other capitals or marks is known already
-                value = self[bare] + (self[word[len(run) :]] if len(run) < len(word) else b"")
-            else:
-                value = np.array(self.by_model(word), self.kind).tobytes()
-        else:
-            value = np.array(self.by_full(word), self.kind).tobytes()
-        if len(word) <= LONG_WORD:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[word] = value
-        return value
+        keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        back = {chr(b): b for b in keep} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in keep)}
+        ranks = {}
+        for token, number in vocabulary.items():
+            bare = token.removesuffix(ending)
+            if number < 512 + len(merges) and bare and all(c in back for c in bare):
+                ranks[bytes(back[c] for c in bare) + END.encode() * (bare != token)] = number
+        if len(ranks) != 512 + len(merges):
+            return None
+        words = f"[^{END}]+{END}"
+        return tiktoken.Encoding("words", pat_str=words, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def of(self, text: str) -> bytes:
-        if any(c in text for c in ODD_SPACE):
-            return np.array(self.by_full(text), self.kind).tobytes()
-        return b"".join(map(self.__getitem__, text.split()))
-
-
-def _known_words(definition: str) -> WordIds:
-    """The worker process keeps them from task to task."""
-    kept = sys.modules.setdefault("_dialweave_kept", types.ModuleType("_dialweave_kept")).__dict__
-    if kept.get("definition") != definition:
-        kept.update(definition=definition, words=WordIds(definition))
-    return kept["words"]
+        if not text:
+            return b""
+        steady = self.quick and np.frombuffer(text.encode(), np.uint8).max() <= STEADY
+        if steady and not any(c in text for c in ODD) and not any(t in text for t in self.added):
+            ids = self.quick(END.join(PIECES.findall(text.lower())) + END)
+        else:
+            ids = self.full.encode(text, add_special_tokens=False).ids
+        return np.array(ids, self.kind).tobytes()
 
 
 def _tokenized(definition: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _known_words(definition)
+        words = WordIds(definition)
         end = np.array([end_id], words.kind).tobytes()
         size = max(words.full.get_vocab_size(with_added_tokens=True), end_id + 1)
         draw = np.random.Generator(np.random.PCG64(SEED))
         project = draw.standard_normal((size, DIMENSIONS), dtype=np.float32)
         # merged early are the common tokens: they weigh less
         project *= (np.log1p(np.arange(size)) / np.log1p(size)).astype(np.float32)[:, None]
-        for batch in batches:
+        for batch in parts(batches, "text"):
             packed, counts, points = [], [], []
             for text in batch.column("text").to_pylist():
                 ids = words.of(text or "") + end

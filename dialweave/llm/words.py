@@ -11,7 +11,7 @@ import re
 import numpy as np
 
 #: Distinct words whose hashes one task remembers; it only saves hashing them again.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 
 _MIX_1, _MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -35,9 +35,6 @@ class WordHashes(dict):
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
 
 #: A number for each byte, the same for both cases of A-Z, and the bytes between words.
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64))
@@ -108,6 +105,7 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     return total
 
 
-def shingle_set(text: bytes | None, k: int, known: WordHashes) -> np.ndarray:
-    """Distinct shingles of k words, sorted."""
-    return np.unique(grams(known.of((text or b"").lower().split()), k))
+def shingle_sets(texts: list[bytes | None], k: int, known: Words) -> list[np.ndarray]:
+    """Distinct shingles of k words of each text, sorted."""
+    hashes, at = known.of_all([t or b"" for t in texts])
+    return [np.unique(grams(hashes[i:j], k)) for i, j in zip(at, at[1:])]

@@ -105,7 +105,7 @@ def test_near_duplicates_awkward(awkward, nothing):
 
 def test_circulant_coordinates_are_shifts_of_one_permutation():
     make = near_dedup.Circulant(4, 3)
-    shingles = words.shingle_set(b"a b c d e f g h", 3, words.WordHashes())
+    shingles = words.shingle_sets([b"a b c d e f g h"], 3, words.Words())[0]
     size = len(make.scatter)
     ranks = np.concatenate([make.shifted[:, 0], make.shifted[-1, 1:]])[:size]
     at = make.scatter[(shingles >> np.uint64(64 - near_dedup.UNIVERSE_BITS)).astype(int)]

@@ -332,3 +332,18 @@ def test_no_table_is_left_behind(spark, tmp_path, monkeypatch):
 def test_batches_of_texts_cover_all_rows():
     batch = pa.RecordBatch.from_arrays([pa.array([1, 2, None]), pa.array(["a" * 10, None, "b"])], ["doc_id", "text"])
     assert [x for ids, texts in alignment._slices(iter([batch])) for x in zip(ids, texts)] == [(1, "a" * 10), (2, ""), (None, "b")]
+
+
+# --- mixing
+
+
+def test_repeated_rows_fill_their_target(spark):
+    """A thousand equal rows share what a target leaves, word by word."""
+    from dialweave.llm import mixing
+
+    rows = [(1, "a b c", "s")] * 1000 + [(2, "a b c d e", "t")] * 1000 + [(i, "x y", "t") for i in range(10, 20)]
+    got = mixing.mixture(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    sums = got.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.count("*").alias("n")).collect()
+    assert sorted(r["n"] for r in sums) == [1000, 1010]
+    assert all(abs(r["taken"] - r["target"]) <= 1 for r in sums)
+    assert got.where("taken > 3 * size OR taken < 0").count() == 0
