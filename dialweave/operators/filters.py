@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import or_
 
@@ -78,26 +79,47 @@ def time_range(
     return df
 
 
+_GIVEN = "__given"
+
+
 def _as_frame(df: DataFrame, column: str, keys) -> DataFrame:
+    """The keys as the table has them; text that stands for numbers also as it was given."""
+    kind = df.schema[column].dataType
     if isinstance(keys, DataFrame):
         name = column if column in keys.columns else keys.columns[0]
-        return keys.select(F.col(name).alias(column))
-    field = T.StructField(column, df.schema[column].dataType)
-    return df.sparkSession.createDataFrame([(k,) for k in keys], T.StructType([field]))
+        frame = keys.select(F.col(name).alias(column))
+    else:
+        text = any(isinstance(k, str) for k in keys)
+        field = T.StructField(column, T.StringType() if text else kind)
+        rows = [(str(k) if text and k is not None else k,) for k in keys]
+        frame = df.sparkSession.createDataFrame(rows, T.StructType([field]))
+    if isinstance(frame.schema[column].dataType, T.StringType) and not isinstance(kind, T.StringType):
+        return frame.select(F.trim(column).try_cast(kind).alias(column), F.col(column).alias(_GIVEN))
+    return frame
+
+
+def _typed(keys: list, kind: T.DataType) -> list:
+    """Values of an IN list: of text, what is a whole number."""
+    if not isinstance(kind, T.IntegralType):
+        return keys
+    text = [k.strip() if isinstance(k, str) else k for k in keys]
+    return [k if not isinstance(k, str) else int(k) for k in text if not isinstance(k, str) or re.fullmatch(r"[+-]?[0-9]{1,18}", k)]
 
 
 def lookup(df: DataFrame, pk: str, keys) -> tuple[DataFrame, DataFrame]:
     """Rows for a batch of keys, and the keys that have none.
 
     A short list becomes an IN filter that reaches the scan; a longer list or a
-    DataFrame becomes a semi join.
+    DataFrame becomes a semi join. Keys may be text, as a request has them: those that
+    are no key at all have no row, and missing ones are named as they were given.
     """
     wanted = _as_frame(df, pk, keys)
     if not isinstance(keys, DataFrame) and len(keys) <= INLINE_KEYS:
-        found = df.where(F.col(pk).isin(list(keys)))
+        found = df.where(F.col(pk).isin(_typed(list(keys), df.schema[pk].dataType)))
     else:
         found = having(df, pk, wanted, pk)
-    return found, lacking(wanted.distinct(), pk, found, pk)
+    missing = lacking(wanted.distinct(), pk, found, pk)
+    return found, missing.select(F.col(_GIVEN).alias(pk)) if _GIVEN in wanted.columns else missing
 
 
 def owned_by(df: DataFrame, owner: str, who) -> DataFrame:

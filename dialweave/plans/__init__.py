@@ -13,6 +13,7 @@ from dialweave.plans.listings import (  # noqa: F401
     customer_detail,
     customers_listing,
     customers_matching,
+    details,
     employee_detail,
     employees_listing,
     employees_matching,

@@ -143,3 +143,20 @@ def users_listing(
 def user_detail(tables: Tables, ids) -> DataFrame:
     return lookup(tables["users"], "id", ids)[0].select(*TABLES["users"].columns)
 
+
+
+# --- several at once ------------------------------------------------------------
+
+_DETAILS = {
+    "projects": ("projectno_pk", project_detail),
+    "customer": ("custno_pk", customer_detail),
+    "employees": ("empno_pk", employee_detail),
+    "users": ("id", user_detail),
+}
+
+
+def details(tables: Tables, name: str, ids) -> tuple[DataFrame, DataFrame]:
+    """The details of the rows asked for, and the ids that no row has, as they were given."""
+    key, detail = _DETAILS[name]
+    _, missing = lookup(tables[name].select(key), key, ids)
+    return detail(tables, ids), missing

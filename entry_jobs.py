@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from dialweave import maintenance as jobs
 from dialweave import plans, streaming
 from dialweave.session import shared_dir
-from dialweave.sources import SET_NULL_RULES, TABLES, load_snapshot, load_tables, publish, star
+from dialweave.sources import SET_NULL_RULES, TABLES, append, load_snapshot, load_tables, publish, star
 
 JOB_QUERIES: dict = {}
 JOB_SQL: dict[str, str] = {}
@@ -535,10 +535,41 @@ def snapshot_daily_activity(spark, sf):
     """Publish the tables, read the snapshot back, and report on pruned day folders."""
     root = new_folder(spark, "snapshot")
     t = tables(spark, sf)
-    publish({n: t[n] for n in ("call_history", "projects")}, root, version=1)
+    publish({"call_history": t["call_history"]}, root, version=1)
     return plans.daily_activity(load_snapshot(spark, root), "2024-01-05", "2024-01-25")
 
 
+@job("""
+SELECT p.projectno_pk, p.projectname, 'CLOSED' AS projectstatus, count(h.history_pk) AS calls
+FROM v_projects p LEFT JOIN v_customer c ON c.projectno_fk = p.projectno_pk LEFT JOIN v_call_history h ON h.custno_fk = c.custno_pk
+GROUP BY 1, 2
+""")
+def snapshot_carries_tables(spark, sf):
+    """A second version changes the projects alone; the history and customers of the first are carried by reference."""
+    root = new_folder(spark, "snapshot")
+    t = tables(spark, sf)
+    publish({n: t[n] for n in ("call_history", "customer", "projects")}, root, version=1)
+    closed = jobs.set_status(load_snapshot(spark, root), "projects", t["projects"].select("projectno_pk"), "CLOSED", RUN_TS)
+    publish({"projects": closed.new}, root, version=2)
+    now = load_snapshot(spark, root)
+    calls = now["call_history"].where("custno_fk IS NOT NULL").groupBy("custno_fk").agg(F.count("*").alias("n"))
+    customers = now["customer"].select("custno_pk", "projectno_fk")
+    per_project = calls.join(customers, F.col("custno_fk") == F.col("custno_pk")).groupBy("projectno_fk").agg(F.sum("n").alias("calls"))
+    joined = now["projects"].join(per_project, F.col("projectno_fk") == F.col("projectno_pk"), "left")
+    return joined.select("projectno_pk", "projectname", "projectstatus", F.coalesce("calls", F.lit(0)).cast("long").alias("calls"))
+
+
+@job(_DAYS.format(where=""))
+def append_history(spark, sf):
+    """The history appended in two parts, by kind of interaction, into one table of day folders."""
+    root = new_folder(spark, "appended")
+    history = tables(spark, sf)["call_history"]
+    calls = F.coalesce(F.col("interaction_type") == "call", F.lit(False))
+    append(history.where(calls), root, "call_history")
+    append(history.where(~calls), root, "call_history")
+    return plans.performance.daily_counts(load_tables(spark, root)["call_history"])
+
+
 def event_stream(spark, sf):
     """The folder as a stream that picks up the event files."""
     reader = spark.readStream.schema(star.SOURCE_SCHEMAS["events"])

@@ -703,3 +703,20 @@ def match_either(t):
     codes = t["customer"].select(F.replace("custcode", F.lit("C"), F.lit("E")).alias("value"))
     mails = t["customer"].select(F.replace("custemailid", F.lit("customer"), F.lit("SUPPLIER")).alias("value"))
     return ops.match_either(t["employees"], ("empcode", "emailidoffical"), codes.unionByName(mails))
+
+
+# Requested are, as text, the customers of all assignments as if they were employees; some are spelled as no key is.
+@report("""
+WITH asked AS (
+  SELECT DISTINCT concat(CASE WHEN callstatus = 'Sales Generated' THEN 'no. ' ELSE '' END, CAST(custno_fk AS VARCHAR)) AS id
+  FROM v_custassignment WHERE custno_fk IS NOT NULL)
+SELECT asked.id, e.name, e.empno_pk IS NOT NULL AS found
+FROM asked LEFT JOIN v_employees e ON CAST(e.empno_pk AS VARCHAR) = asked.id
+""")
+def details_found_and_missing(t):
+    spelled = F.when(F.col("callstatus") == "Sales Generated", "no. ").otherwise("")
+    asked = t["custassignment"].where("custno_fk IS NOT NULL").select(F.concat(spelled, F.col("custno_fk").cast("string")).alias("id"))
+    found, missing = plans.details(t, "employees", asked.distinct())
+    return found.select(F.col("empno_pk").cast("string").alias("id"), "name", F.lit(True).alias("found")).unionByName(
+        missing.select(F.col("empno_pk").alias("id"), F.lit(None).cast("string").alias("name"), F.lit(False).alias("found"))
+    )

@@ -15,6 +15,7 @@ from dialweave.sources import (
     latest_version,
     load_snapshot,
     load_tables,
+    manifest,
     publish,
 )
 
@@ -124,3 +125,31 @@ def test_star_mapping_loses_no_row(spark):
 def test_shared_dir_is_the_clusters_own(spark):
     folder = shared_dir(spark)
     assert folder and spark.sparkContext.getCheckpointDir()
+
+
+def test_a_version_carries_unchanged_tables_and_is_announced_once(spark, frame, tmp_path):
+    root = str(tmp_path / "snapshots")
+    history = frame("call_history", [{"history_pk": i, "interaction_datetime": at("2024-01-01")} for i in range(5)])
+    projects = frame("projects", [{"projectno_pk": 1, "projectname": "a"}])
+    assert manifest(spark, root) == {}
+    publish({"call_history": history, "projects": projects}, root, 1)
+    publish({"projects": projects.limit(0)}, root, 2)
+    assert manifest(spark, root) == {"call_history": 1, "projects": 2}
+    now, before = load_snapshot(spark, root), load_snapshot(spark, root, 1)
+    assert (now["call_history"].count(), now["projects"].count(), before["projects"].count()) == (5, 0, 1)
+    assert not (tmp_path / "snapshots" / "version=2" / "call_history").exists()
+    for taken in (1, 2):
+        with pytest.raises(ValueError, match="announced"):
+            publish({"projects": projects}, root, taken)
+    with pytest.raises(KeyError):
+        now["customer"]
+
+
+def test_ids_given_as_text(spark, make_tables):
+    t = make_tables(employees=[{"empno_pk": i, "name": f"n{i}"} for i in range(4)])
+    for ids in (["1", " 3 ", "77", "x1", ""], spark.createDataFrame([("1",), (" 3 ",), ("77",), ("x1",), ("",)], "id string")):
+        found, missing = plans.details(t, "employees", ids)
+        assert sorted(r["empno_pk"] for r in found.collect()) == [1, 3]
+        assert sorted(r[0] for r in missing.collect()) == ["", "77", "x1"]
+    found, missing = plans.details(t, "employees", [2, 9])
+    assert [r["empno_pk"] for r in found.collect()] == [2] and [r[0] for r in missing.collect()] == [9]
