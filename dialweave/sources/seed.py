@@ -5,15 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Demo call statuses and notes.
+# Demo call statuses.
 STATUSES = ["completed", "pending", "in_progress", "failed"]
-NOTES = [
-    "Customer was satisfied with the service",
-    "Need to follow up tomorrow",
-    "Customer requested a callback",
-    "No answer, will try again",
-    "Successfully completed the survey",
-]
 
 
 def _turn(values: list, position: Column) -> Column:
@@ -27,11 +20,12 @@ def generate_calls(
     customers: list[tuple[str, str, str]],
     agents: list[int],
     projects: list[int],
+    notes: list[str],
     seed: int = 0,
 ) -> DataFrame:
     """``n`` calls; only completed ones have a duration (60 to 659 seconds).
 
-    ``customers`` holds (name, phone, email). The duration is a hash of seed and
+    ``customers`` holds (name, phone, email); the notes take turns like everything else. The duration is a hash of seed and
     row number, so a rerun of any task gives the same rows.
     """
     i = F.col("id")
@@ -46,6 +40,6 @@ def generate_calls(
         _turn(phones, i).alias("customer_phone"),
         _turn(emails, i).alias("customer_email"),
         status.alias("status"),
-        _turn(NOTES, i).alias("notes"),
+        _turn(notes, i).alias("notes"),
         F.when(status == "completed", seconds).alias("call_duration"),
     )

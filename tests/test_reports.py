@@ -29,7 +29,7 @@ def demo(spark, make_tables):
             for i in range(4)
         ],
     )
-    calls = generate_calls(spark, 20, PEOPLE, [0, 1, 2, 3], [0, 1, 2], seed=5)
+    calls = generate_calls(spark, 20, PEOPLE, [0, 1, 2, 3], [0, 1, 2], [f"note {i}" for i in range(5)], seed=5)
     return t.replaced(calls=conform(calls, TABLES["calls"]))
 
 
