@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from dialweave.operators.joins import having, lacking
 from dialweave.operators.sketches import is_small, narrowed, parted, together
+from dialweave.session import freeze
 from dialweave.sources.schema import TABLES, Table, conform
 from dialweave.sources.tables import Tables
 
@@ -69,7 +70,9 @@ def delete(
     on = keys.columns
     wanted = keys.dropDuplicates()
     deleted = narrowed(base, on[0], wanted, on[0], small).join(wanted, on, "left_semi")
-    removed = {name: deleted.select(target.key)}
+    # keys that sketches are made of are read several times for each child, so they are written once
+    settled = freeze if small else lambda keys: keys
+    removed = {name: settled(deleted.select(target.key))}
     known = narrowed(base.select(*on), on[0], wanted, on[0], small).distinct()
     missing = wanted.join(known, on, "left_anti")
     met, rest = parted(base, [(target.key, removed[name], target.key)], small)
@@ -94,5 +97,5 @@ def delete(
         if cascades:
             narrow = rows.select(table.key, *[c for c, _ in cascades])
             parts = [p.select(table.key) for p in _disjoint(narrow, cascades)]
-            removed[table.name] = reduce(DataFrame.unionByName, parts)
+            removed[table.name] = settled(reduce(DataFrame.unionByName, parts))
     return Deleted(tables.replaced(**result), missing, removed, deleted)
