@@ -1,4 +1,4 @@
-"""DataFrame -> DataFrame building blocks. None of them triggers a job."""
+"""DataFrame -> DataFrame building blocks. Those that run a job to build their frame say so."""
 
 from dialweave.operators.aggregates import (  # noqa: F401
     conditional_counts,
@@ -7,6 +7,7 @@ from dialweave.operators.aggregates import (  # noqa: F401
     tall_counts,
     zero_fill,
 )
+from dialweave.operators.fences import fenced_page, fences  # noqa: F401
 from dialweave.operators.filters import (  # noqa: F401
     lookup,
     match_either,
@@ -29,4 +30,5 @@ from dialweave.operators.ordering import (  # noqa: F401
     priority_sort,
     sort_rows,
 )
+from dialweave.operators.postings import indexed_search, read_postings, write_postings  # noqa: F401
 from dialweave.operators.shaping import display_defaults, nest, preview, rename, unnest  # noqa: F401

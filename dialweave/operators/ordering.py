@@ -86,7 +86,8 @@ def check_page(page: int, limit: int) -> None:
         raise ValueError("page and limit start at 1")
 
 
-def _after(order: list[Order], values: tuple) -> Column:
+def strictly_after(order: list[Order], values: tuple) -> Column:
+    """Rows that sort after the given sort values."""
     steps = []
     for i, (key, value) in enumerate(zip(order, values, strict=True)):
         same = [o.same_as(v) for o, v in zip(order[:i], values[:i], strict=True)]
@@ -105,7 +106,7 @@ def paginate(
     """
     check_page(page, limit)
     if after is not None:
-        rows = df.where(_after([*order, Order(pk)], after))
+        rows = df.where(strictly_after([*order, Order(pk)], after))
         return rows.orderBy(*order_columns(order, pk)).limit(limit)
     rows = df.orderBy(*order_columns(order, pk))
     if page > 1:

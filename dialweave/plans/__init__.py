@@ -11,6 +11,7 @@ from dialweave.plans.dashboard import (  # noqa: F401
 )
 from dialweave.plans.listings import (  # noqa: F401
     customer_detail,
+    customer_fences,
     customers_listing,
     customers_matching,
     details,
@@ -25,9 +26,12 @@ from dialweave.plans.listings import (  # noqa: F401
     user_detail,
     users_listing,
     users_matching,
+    write_search_index,
 )
 from dialweave.plans.performance import (  # noqa: F401
+    agent_days,
     agent_performance,
+    agent_performance_by_days,
     daily_activity,
     daily_counts,
     project_performance,

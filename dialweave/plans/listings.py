@@ -13,22 +13,36 @@ from dialweave.operators import (
     Order,
     attach,
     count_children,
+    fenced_page,
+    fences,
+    indexed_search,
     lookup,
     newest,
     paginate,
     sort_rows,
     text_search,
     where_equal,
+    write_postings,
 )
+from dialweave.operators.fences import EVERY, RANGES
 from dialweave.sources.schema import TABLES
 from dialweave.sources.tables import Tables
 
 
-def _matching(tables: Tables, name: str, search, equal: dict[str, object], literal: bool) -> DataFrame:
-    found = text_search(tables[name], list(TABLES[name].search), search, literal)
+def _matching(tables: Tables, name: str, search, equal: dict[str, object], literal: bool, index=None) -> DataFrame:
+    table = TABLES[name]
+    if index is None:
+        found = text_search(tables[name], list(table.search), search, literal)
+    else:
+        found = indexed_search(tables[name], table.key, list(table.search), search, index, literal)
     return where_equal(found, equal)
 
 
+def write_search_index(tables: Tables, name: str, path: str, mode: str = "append") -> None:
+    """Postings of a table's searched columns, for ``index`` of its listing."""
+    write_postings(tables[name], TABLES[name].key, list(TABLES[name].search), path, mode)
+
+
 # --- projects ---------------------------------------------------------------
 
 _PROJECT_ORDER = [newest("au_entryat")]
@@ -90,16 +104,37 @@ _PROJECT_NAMES = {"project_name": "projectname", "project_code": "projectcode"}
 
 
 def customers_matching(
-    tables: Tables, search=None, project=None, custtype=None, literal: bool = False
+    tables: Tables, search=None, project=None, custtype=None, literal: bool = False, index=None
 ) -> DataFrame:
-    return _matching(tables, "customer", search, {"projectno_fk": project, "custtype": custtype}, literal)
+    """``index`` is a postings table (see ``write_search_index``) that spares the search a scan."""
+    return _matching(tables, "customer", search, {"projectno_fk": project, "custtype": custtype}, literal, index)
+
+
+def customer_fences(tables: Tables, every: int = EVERY, ranges: int = RANGES) -> DataFrame:
+    """Fences of the whole listing, for pages far behind the first."""
+    return fences(tables["customer"], _CUSTOMER_ORDER, "custno_pk", every, ranges)
 
 
 def customers_listing(
-    tables: Tables, search=None, project=None, custtype=None, page: int = 1, limit: int = 10, after=None
+    tables: Tables,
+    search=None,
+    project=None,
+    custtype=None,
+    page: int = 1,
+    limit: int = 10,
+    after=None,
+    literal: bool = False,
+    index=None,
+    fence=None,
 ) -> DataFrame:
-    rows = customers_matching(tables, search, project, custtype)
-    rows = paginate(rows, _CUSTOMER_ORDER, "custno_pk", page, limit, after)
+    """``fence`` (see ``customer_fences``) counts the rows of the unfiltered listing."""
+    if fence is not None and (search or project or custtype or after is not None):
+        raise ValueError("fences belong to the listing without filters")
+    rows = customers_matching(tables, search, project, custtype, literal, index)
+    if fence is None:
+        rows = paginate(rows, _CUSTOMER_ORDER, "custno_pk", page, limit, after)
+    else:
+        rows = fenced_page(rows, _CUSTOMER_ORDER, "custno_pk", fence, page, limit)
     rows = attach(rows, tables["projects"], "projectno_fk", "projectno_pk", _PROJECT_NAMES)
     return sort_rows(rows, _CUSTOMER_ORDER, "custno_pk")
 

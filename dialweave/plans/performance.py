@@ -24,25 +24,65 @@ from dialweave.sources.tables import Tables
 AGENT_ROLES = ["Agent", "Trainee"]
 SALE = "Sales Generated"
 
+#: Sketches of customers have 2 ^ SKETCH_BITS registers.
+SKETCH_BITS = 12
+
 
 def _history(tables: Tables, start, end, end_of_day: bool) -> DataFrame:
     return time_range(tables["call_history"], "interaction_datetime", start, end, end_of_day)
 
 
+def _agent_measures() -> dict:
+    return {
+        "total_interactions": None,
+        "total_calls": ci_equal("interaction_type", "call"),
+        "total_sms": ci_equal("interaction_type", "sms"),
+        "total_whatsapp": ci_equal("interaction_type", "whatsapp"),
+        "sales_generated": ci_equal("callstatus", SALE),
+    }
+
+
 def agent_performance(tables: Tables, start=None, end=None, end_of_day: bool = False) -> DataFrame:
     """Interactions per active agent or trainee, by kind, with sales and customers reached."""
     per_agent = conditional_counts(
         _history(tables, start, end, end_of_day).where(F.col("empno_fk").isNotNull()),
         ["empno_fk"],
-        {
-            "total_interactions": None,
-            "total_calls": ci_equal("interaction_type", "call"),
-            "total_sms": ci_equal("interaction_type", "sms"),
-            "total_whatsapp": ci_equal("interaction_type", "whatsapp"),
-            "sales_generated": ci_equal("callstatus", SALE),
-        },
+        _agent_measures(),
         {"unique_customers_contacted": (None, "custno_fk")},
     )
+    return _of_agents(tables, per_agent)
+
+
+def agent_days(tables: Tables, start=None, end=None) -> DataFrame:
+    """A row for each agent and day: counts, and a sketch of the customers reached.
+
+    Counts add up and sketches merge, so a stored table of these answers any range of
+    days without the history, and a day's late rows may be appended as rows of their own.
+    """
+    history = _history(tables, start, end, True).where(F.col("empno_fk").isNotNull())
+    counts = [
+        (F.count("*") if p is None else F.count(F.when(p, 1))).alias(name) for name, p in _agent_measures().items()
+    ]
+    sketch = F.hll_sketch_agg("custno_fk", F.lit(SKETCH_BITS)).alias("customers")
+    return history.groupBy("empno_fk", day_of("interaction_datetime").alias("date")).agg(*counts, sketch)
+
+
+def agent_performance_by_days(tables: Tables, days: DataFrame, start=None, end=None) -> DataFrame:
+    """``agent_performance`` over whole days, from ``agent_days``.
+
+    All is exact but the customers reached, an estimate with a standard error of about
+    1.04 / sqrt(2 ^ SKETCH_BITS), 1.6%.
+    """
+    if start is not None:
+        days = days.where(F.col("date") >= F.lit(str(start)).cast("date"))
+    if end is not None:
+        days = days.where(F.col("date") <= F.lit(str(end)).cast("date"))
+    counts = [F.sum(name).alias(name) for name in _agent_measures()]
+    reached = F.hll_sketch_estimate(F.hll_union_agg("customers")).alias("unique_customers_contacted")
+    return _of_agents(tables, days.groupBy("empno_fk").agg(*counts, reached))
+
+
+def _of_agents(tables: Tables, per_agent: DataFrame) -> DataFrame:
     measures = [c for c in per_agent.columns if c != "empno_fk"]
     agents = (
         tables["employees"]

@@ -11,9 +11,11 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from dialweave import maintenance as jobs
+from dialweave import operators as ops
 from dialweave import plans, streaming
 from dialweave.session import shared_dir
 from dialweave.sources import SET_NULL_RULES, TABLES, append, load_snapshot, load_tables, publish, star
+from entry_reports import CUSTOMER, REPORT_SQL
 
 JOB_QUERIES: dict = {}
 JOB_SQL: dict[str, str] = {}
@@ -570,6 +572,45 @@ def append_history(spark, sf):
     return plans.performance.daily_counts(load_tables(spark, root)["call_history"])
 
 
+_LISTED = [*CUSTOMER, "project_name", "project_code"]
+
+
+@job(REPORT_SQL["customers_listing"])
+def customers_listing_indexed(spark, sf):
+    """The search of customers_listing through an index of all customers."""
+    t, path = tables(spark, sf), new_folder(spark, "postings")
+    plans.write_search_index(t, "customer", path)
+    return plans.customers_listing(t, search="00000001", index=ops.read_postings(spark, path)).select(*_LISTED)
+
+
+@job(f"""
+SELECT {", ".join("c." + x for x in CUSTOMER)}, p.projectname AS project_name, p.projectcode AS project_code
+FROM v_customer c LEFT JOIN v_projects p ON c.projectno_fk = p.projectno_pk
+ORDER BY c.au_entryat DESC NULLS LAST, c.custno_pk LIMIT 10 OFFSET 110
+""")
+def customers_listing_fenced(spark, sf):
+    """Page 12 of all customers, read between the fences around it."""
+    t = tables(spark, sf)
+    fence = plans.customer_fences(t, every=50, ranges=8)
+    return plans.customers_listing(t, page=12, fence=fence).select(*_LISTED)
+
+
+@job(
+    REPORT_SQL["agent_performance_whole_days"].replace("count(DISTINCT h.custno_fk) AS unique_customers_contacted", "true AS near")
+)
+def agent_performance_by_days(spark, sf):
+    """Agents' work from a stored table of days; the customers reached are within a tenth, or one, of the true number."""
+    t, path = tables(spark, sf), new_folder(spark, "agent-days")
+    plans.agent_days(t).write.parquet(path)
+    days = plans.agent_performance_by_days(t, spark.read.parquet(path), "2024-01-05", "2024-01-25")
+    true = plans.agent_performance(t, "2024-01-05", "2024-01-25", end_of_day=True)
+    true = true.select(F.col("empno_pk").alias("who"), F.col("unique_customers_contacted").alias("reached"))
+    off = F.abs(F.col("unique_customers_contacted") - F.col("reached"))
+    rows = days.join(true, F.col("empno_pk") == F.col("who"), "left")
+    near = (off <= F.greatest(F.lit(1), F.col("reached") / 10)).alias("near")
+    return rows.select(*[c for c in days.columns if c != "unique_customers_contacted"], near)
+
+
 def event_stream(spark, sf):
     """The folder as a stream that picks up the event files."""
     reader = spark.readStream.schema(star.SOURCE_SCHEMAS["events"])

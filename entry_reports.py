@@ -190,6 +190,11 @@ def agent_performance_range(t):
     return plans.agent_performance(t, START, END)
 
 
+@report(_AGENTS.format(dates=_WHOLE_DAYS))
+def agent_performance_whole_days(t):
+    return plans.agent_performance(t, START, END, end_of_day=True)
+
+
 @report(_PROJECTS.format(dates=""))
 def project_performance(t):
     return plans.project_performance(t)
