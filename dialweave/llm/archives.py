@@ -29,9 +29,17 @@ DATE = "2024-01-01T00:00:00Z"
 
 
 def _store(folder: str):
+    """The file system of a folder, and its path there, from a name as Spark has it."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("/") else f"/{folder}")
+    scheme, _, path = folder.partition(":")
+    if scheme in ("s3a", "s3n"):
+        folder = f"s3:{path}"
+    elif scheme == "file":
+        folder = "/" + path.lstrip("/")
+    elif "://" not in folder and not folder.startswith("/"):
+        raise ValueError(f"{folder!r}: name a folder by its scheme, or from the root")
+    return fs.FileSystem.from_uri(folder)
 
 
 def _head(page_id, url, n_bytes: int, digest: str, refers_to) -> bytes:
@@ -131,19 +139,15 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     n_chunks = F.when(F.col("refers_to").isNotNull(), 1).otherwise(
         F.greatest(F.lit(1), F.ceil(F.col("n_bytes") / CHUNK).cast("int"))
     )
-    cut = F.transform(
-        F.sequence(F.lit(0), F.col("chunks") - 1),
-        lambda i: F.struct(
-            i.alias("chunk"),
-            F.when(F.col("refers_to").isNull(), F.substr("payload", i * CHUNK + 1, F.lit(CHUNK))).alias("data"),
-        ),
-    )
+    record = ["page_id", "url", "n_bytes", "digest", "refers_to", "chunks"]
+    data = F.when(F.col("refers_to").isNull(), F.substr("payload", F.col("chunk") * CHUNK + 1, F.lit(CHUNK)))
     chunks = (
         rows.join(shared, ["digest", "n_bytes", "second"], "left")
         .withColumn("refers_to", refers_to)
         .withColumn("chunks", n_chunks)
-        .select("page_id", "url", "n_bytes", "digest", "refers_to", "chunks", F.explode(cut).alias("x"))
-        .select("page_id", "url", "n_bytes", "digest", "refers_to", "chunks", "x.chunk", "x.data")
+        # numbers are exploded and a chunk is cut for its own row, so no row holds all of them
+        .select(*record, "payload", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+        .select(*record, "chunk", data.alias("data"))
     )
     return freeze(chunks.mapInArrow(_write(folder), "path string, records long, bytes long"))
 
