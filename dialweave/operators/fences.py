@@ -60,7 +60,10 @@ def _typed(value, kind: T.DataType) -> Column | None:
 
 
 def _leading(order: Order, value: Column | None, low: bool, nulls: bool) -> Column:
-    """A plain bound on the first sort key, which the scan can check against its statistics.
+    """A plain bound on the first sort key, which reaches the scan.
+
+    Statistics of row groups are compared for numbers, dates and text. For times the bound
+    only filters rows, before any of them are sorted.
 
     ``nulls``: the range may reach the rows without a value.
     """

@@ -29,6 +29,7 @@ class Table:
     search: tuple[str, ...] = ()
     hidden: tuple[str, ...] = ()
     day_partition: tuple[str, str] | None = None
+    clustered: tuple[str, ...] = ()
 
     @cached_property
     def struct(self) -> T.StructType:
@@ -184,6 +185,7 @@ TABLES: dict[str, Table] = {
                 "count_call",
                 "count_message",
             ),
+            clustered=("empno_fk", "calltargetdate"),  # an agent's worklist
         ),
         Table(
             "call_history",
