@@ -24,6 +24,9 @@ LETTERS = 3
 #: Groups of letters of one term that are looked up, a bit each; the exact test sees to the rest of a longer term.
 LOOKED_UP = 60
 
+#: Of these the rarest are combined. Where even the rarest has more postings than WORTH, a scan is cheaper.
+COMBINED, WORTH = 4, 10_000_000
+
 _EMPTY = "array<struct<field:string,letters:string>>"
 
 
@@ -60,6 +63,14 @@ def term_letters(term: str, literal: bool = False) -> list[str]:
     return sorted(found)[:LOOKED_UP]
 
 
+def rarest(index: DataFrame, columns: list[str], letters: list[str]) -> tuple[list[str], int]:
+    """The COMBINED rarest groups of letters, and the postings of the rarest; runs a job of at most LOOKED_UP counts."""
+    hits = index.where(F.col("field").isin(columns) & F.col("letters").isin(letters))
+    counts = dict(hits.groupBy("letters").count().collect())
+    first = sorted(letters, key=lambda group: (counts.get(group, 0), group))[:COMBINED]
+    return first, counts.get(first[0], 0)
+
+
 def candidates(index: DataFrame, columns: list[str], letters: list[str]) -> DataFrame:
     """Keys of rows that have all groups of letters in one of the columns."""
     place = (F.array_position(F.array(*map(F.lit, letters)), F.col("letters")) - 1).cast("int")
@@ -76,10 +87,12 @@ def indexed_search(
 
     Up to INLINE_KEYS candidates become a filter on the key that reaches the scan; up to
     the size of a small batch, a sketch; a term that leaves more is searched by scan.
-    Looking up the candidates runs a job.
+    Common letters cost little: they are counted, and only the rarest few are combined.
+    Looking up runs jobs.
     """
     letters = term_letters(term, literal) if term else []
-    if letters:
+    letters, least = rarest(index, columns, letters) if letters else ([], 0)
+    if letters and least <= WORTH:
         found = candidates(index, columns, letters)
         keys = [r[0] for r in found.limit(INLINE_KEYS + 1).collect()]
         if len(keys) <= INLINE_KEYS:

@@ -28,10 +28,13 @@ def searched(spark, make_tables, tmp_path):
     return t, ops.read_postings(spark, str(tmp_path / "index"))
 
 
-@pytest.mark.parametrize("way", ["keys", "sketch", "scan"])
+@pytest.mark.parametrize("way", ["keys", "sketch", "scan", "common"])
 def test_search_by_index_equals_the_scan(searched, way, monkeypatch):
     t, index = searched
-    if way != "keys":
+    if way == "common":
+        monkeypatch.setattr(postings, "WORTH", 1)
+        monkeypatch.setattr(postings, "COMBINED", 1)
+    elif way != "keys":
         monkeypatch.setattr(postings, "INLINE_KEYS", 0)
         monkeypatch.setattr(postings, "is_small", lambda batch: way == "sketch")
     for term in TERMS + ["x" * 50 + "ann" + "y" * 50, "本語テ", "anna berg"]:
@@ -47,6 +50,13 @@ def test_letters_of_a_term():
     assert postings.term_letters("abc\\_d") == [] and len(postings.term_letters("".join(map(chr, range(100, 300))))) == 60
 
 
+def test_the_rarest_letters_are_combined(searched):
+    _, index = searched
+    first, least = postings.rarest(index, ["custname"], ["ann", "han", "zzz"])
+    assert first == ["zzz", "han", "ann"] and least == 0
+    assert postings.rarest(index, ["custname"], ["ann"])[1] == 7  # Anna (twice), anna, Ann, Hannah, annaXb, x..ann..y
+
+
 def test_an_index_grows_with_its_table_and_stale_postings_do_no_harm(spark, searched, make_tables, tmp_path):
     t, index = searched
     renamed = {"custno_pk": 0, "custname": "Zora Quist"}
