@@ -1,21 +1,22 @@
 """Near-duplicate passages by compact windows.
 
-The tokens of a text are its five-word shingles. For each of a few hash functions
-the Cartesian tree over the hashes groups all passages of LEAST tokens and more by
-their smallest token: node c stands for the passages that lie between the nearest
-smaller tokens on either side and hold c. Windows of different texts with the same
-smallest hash meet; where the windows, laid over each other at that token, share
-LEAST tokens, that stretch is a candidate. Stretches of enough functions on one
-diagonal join to a passage pair, which is verified on the full shingle sets.
-
-All windows with one hash meet the first text that has it, not one another. So that
-a text with a mere part of a passage does not stand before the others, windows of the
-first function also meet by what surrounds their token: a run of tokens, laid at four
-places so that every passage holds one of them.
+The tokens of a text are its five-word shingles. The Cartesian tree over their hashes
+groups all passages of a least width by their smallest token: node c stands for the
+passages that lie between the nearest smaller tokens on either side and hold c. The
+width is that of a run of equal tokens which any two alike passages must share, so
+one function finds them all: both texts have a window about the same token of the
+run, and the tokens around it are the same. These, as runs laid at four places so that
+every wide enough run holds one, are what windows meet by.
+
+In a group of windows that meet, all pairs of different texts are compared. In a large
+one windows first meet a few of them in turn; those alike to one are settled, and each
+of the others is compared with all of the group that share rare enough tokens with it.
+So every passage alike to another is found, whatever stands first in its group.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 
@@ -30,10 +31,28 @@ from dialweave.session import freeze, shared_dir
 SHINGLE = 5
 #: Words of the shortest passage.
 WORDS = 50
-FUNCTIONS = 3
-#: Hashes, of functions or runs, that must agree on a diagonal.
-VOTES = 2
+FUNCTIONS = 1
 PERCENT = 80
+#: Windows in a group that are all compared with one another; in larger groups by rounds.
+GROUP = 32
+#: Windows of a larger group that are compared with all of it before its tokens are.
+ROUNDS = 3
+
+
+def sure_run(width: int, percent: int) -> int:
+    """Length of a run of equal tokens in any two passages of `width` tokens and more, alike by `percent`, that edits tell apart.
+
+    Each of b breaks, a word replaced, put in or taken out, or parts moved, leaves out
+    SHINGLE - 1 tokens or more on either side. So passages alike have that many in
+    common, in b + 1 runs.
+    """
+    least, lost = 2 * percent * width / (100 + percent), SHINGLE - 1
+    found, b = math.ceil(least), 1
+    while percent < 100 and b <= 2 * width:
+        common = math.ceil(max(least, 2 * b * lost * percent / (100 - percent)))
+        found = min(found, -(-common // (b + 1)))
+        b += 1
+    return max(1, found)
 
 
 def ranked(values: np.ndarray) -> np.ndarray:
@@ -134,7 +153,7 @@ def _surrounds(runs: Runs, c: np.ndarray, begin: np.ndarray, end: np.ndarray, wi
     return found
 
 
-#: `part` is the function; `place` holds at, ahead and behind; two runs share a number.
+#: `part` is 0, or -1; `place` the token's; two runs share a number.
 _WINDOW = ["part", "key", "cid", "place", *[f"runs_{i}" for i in range(PLACES // 2)]]
 
 
@@ -177,48 +196,84 @@ def _groups(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[bytes]]]:
         yield np.array(cids, np.int64), texts
 
 
-def _windows(width: int):
+def _inner(text: np.ndarray, key: np.ndarray, at: np.ndarray, around: list[np.ndarray], length: int, stride: int) -> np.ndarray:
+    """Windows within a stretch that repeats itself: those before and behind have the same token and runs, and overlap.
+
+    One of them in every `stride` tokens is left in, so that passages about these cover the stretch.
+    """
+    same = (text[1:] == text[:-1]) & (key[1:] == key[:-1]) & (at[1:] - at[:-1] <= length)
+    for run in around:
+        same &= run[1:] == run[:-1]
+    inner = np.zeros(len(key), bool)
+    inner[1:-1] = same[1:] & same[:-1] & (at[1:-1] // stride == at[:-2] // stride)
+    return inner
+
+
+def _windows(words_least: int, width: int):
     """Windows of each text long enough, and a row of part -1 whose `place` is its number of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
+        length = (PLACES - 1) * (width // PLACES) + 1
+        stride = max(1, words_least - SHINGLE + 1 - length)
         for batch in batches:
             for cids, texts in _groups(batch):
                 sizes, found = text_windows(words, texts, width)
-                long = sizes >= width + SHINGLE - 1
+                long = sizes >= words_least
                 none = np.zeros(long.sum(), np.int64)
                 rows = [[none - 1, none, cids[long], sizes[long], none, none]]
-                for f, (text, key, at, ahead, behind, *around) in enumerate(found):
-                    none = np.zeros(len(key), np.int64)
-                    two = [(a | b << np.uint64(32)).view(np.int64) for a, b in zip(around[::2], around[1::2])] or [none, none]
-                    rows.append([none + f, key.view(np.int64), cids[text], (at * width + ahead) * width + behind, *two])
+                for text, key, at, _, _, *around in found:
+                    kept = long[text] & ~_inner(text, key, at, around, length, stride)
+                    text, key, at, *around = (x[kept] for x in (text, key, at, *around))
+                    two = [(a | b << np.uint64(32)).view(np.int64) for a, b in zip(around[::2], around[1::2])]
+                    rows.append([np.zeros(len(key), np.int64), key.view(np.int64), cids[text], at, *two])
                 columns = [np.concatenate(x).astype(np.int64) for x in zip(*rows)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], _WINDOW)
 
     return run
 
 
-def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words = Words()
-    for batch in batches:
-        out: list[tuple] = []
-        columns = (batch.column(c).to_pylist() for c in ("cid", "text", "stretches"))
-        for cid, text, stretches in zip(*columns):
-            # the upper halves are enough to compare two stretches
-            tokens = (grams(words.of(text or b""), SHINGLE) >> np.uint64(32)).astype("<u4")
-            for s in stretches:
-                out.append((cid, s["first"], s["last"], tokens[s["first"] : s["last"] + 1].tobytes()))
-        kinds = [pa.int64()] * 3 + [pa.binary()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], ["cid", "first", "last", "tokens"]
-        )
+def _cut_out(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in batches:
+            out: list[tuple] = []
+            columns = (batch.column(c).to_pylist() for c in ("cid", "doc_id", "text", "stretches"))
+            for cid, doc, text, stretches in zip(*columns):
+                # the upper halves are enough to compare two stretches
+                tokens = (grams(words.of(text or b""), SHINGLE) >> np.uint64(32)).astype("<u4")
+                for s in stretches:
+                    cut = tokens[s["first"] : s["last"] + 1]
+                    out.append((cid, doc, s["first"], s["last"], least_distinct(cut, width), cut.tobytes()))
+            kinds = [pa.int64()] * 5 + [pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], _CUT)
+
+    return run
+
+
+_CUT = ["cid", "doc_id", "first", "last", "distinct", "tokens"]
 
 
 def similarity(x: np.ndarray, y: np.ndarray) -> float:
     """Of the sets of two passages."""
-    x, y = np.unique(x), np.unique(y)
-    met = len(np.intersect1d(x, y, assume_unique=True))
-    return met / (len(x) + len(y) - met)
+    one, two = set(x.tolist()), set(y.tolist())
+    met = len(one & two)
+    return met / (len(one) + len(two) - met)
+
+
+def least_distinct(tokens: np.ndarray, width: int) -> int:
+    """Distinct tokens of that run of `width` that has the fewest."""
+    if len(tokens) < width:
+        return width
+    order = np.argsort(tokens, kind="stable")
+    again = np.flatnonzero(tokens[order[1:]] == tokens[order[:-1]])
+    before, place = order[again], order[again + 1]
+    near = place - before < width
+    # a repeated token counts once less in the runs that hold both
+    fewer = np.zeros(len(tokens) + 1, np.int64)
+    np.add.at(fewer, np.maximum(0, place[near] - width + 1), 1)
+    np.add.at(fewer, before[near] + 1, -1)
+    return width - int(np.cumsum(fewer)[: len(tokens) - width + 1].max())
 
 
 #: Tokens that differ between two equal ones within a passage: those of two words replaced.
@@ -227,76 +282,167 @@ GAP = 2 * SHINGLE
 
 #: Words that passages may be moved against each other by edits before; equal tokens that make a run.
 APART, RUN = 6, 3
+#: Runs of a chain that are looked through at a time.
+CHAIN = 400
+
+
+def _chains(x: np.ndarray, y: np.ndarray, shift: int) -> Iterator[list[tuple[int, int, int]]]:
+    """Runs of equal tokens (first, end, shift) in a row, on diagonals near `shift`, with GAP tokens at most between them."""
+    low, high = max(0, -shift - APART), min(len(x), len(y) - shift + APART)
+    if high - low < RUN:
+        return
+    width = high - low
+    # y about each diagonal, and whether there is a y
+    at = np.arange(low, high) + shift + np.arange(-APART, APART + 1)[:, None]
+    equal = np.zeros((2 * APART + 1, width + 2), np.int8)
+    equal[:, 1:-1] = (y[np.clip(at, 0, len(y) - 1)] == x[low:high]) & (at >= 0) & (at < len(y))
+    edges = np.flatnonzero(np.diff(equal.ravel()))
+    begin, stop = edges[::2], edges[1::2]
+    wide = stop - begin >= RUN
+    diagonal, first = np.divmod(begin[wide], width + 2)
+    first += low
+    runs = list(zip(first.tolist(), (first + stop[wide] - begin[wide]).tolist(), (diagonal + shift - APART).tolist()))
+    chain: list[tuple[int, int, int]] = []
+    end = behind = 0
+    for i, j, s in sorted(runs):
+        if chain and i - end <= GAP and i + s - behind <= GAP and i + s >= chain[0][0] + chain[0][2] and j > end:
+            chain.append((i, j, s))
+            end, behind = j, max(behind, j + s)
+        elif chain and j <= end:
+            continue
+        else:
+            if chain:
+                yield chain
+            chain, end, behind = [(i, j, s)], j, j + s
+    if chain:
+        yield chain
+
+
+def _widened(x: np.ndarray, y: np.ndarray, i: int, j: int, k: int, l: int, width: int, least: float) -> tuple[int, int, int, int, float] | None:
+    """Passages x[i:j] and y[k:l], with as many of the tokens beside them as make up the width, if they are alike."""
+    more = max(0, width - (j - i), width - (l - k))
+    best = None
+    if more > (1 - least) * width + RUN:
+        return None
+    for before in range(more + 1):
+        a, b, c, d = i - before, j + more - before, k - before, l + more - before
+        if a < 0 or c < 0 or b > len(x) or d > len(y):
+            continue
+        alike = similarity(x[a:b], y[c:d])
+        if alike >= least and (best is None or alike > best[4]):
+            best = (a, b - 1, c, d - 1, alike)
+    return best
+
+
+def _alike_runs(x: np.ndarray, y: np.ndarray, chain: list[tuple[int, int, int]], width: int, least: float) -> list[tuple[int, int, int, int, float]]:
+    """The longest alike passages that begin and end with runs of a chain, leaving out what is within longer ones."""
+    whole = (chain[0][0], max(j for _, j, _ in chain), chain[0][0] + chain[0][2], max(j + s for _, j, s in chain))
+    if part := _widened(x, y, *whole, width, least):
+        return [part]
+    runs = np.array(chain)
+    first, end = runs[:, 0], np.maximum.accumulate(runs[:, 1])
+    b_first, b_end = (runs[:, 0] + runs[:, 2]), np.maximum.accumulate(runs[:, 1] + runs[:, 2])
+    common = np.cumsum(runs[:, 1] - runs[:, 0])
+    # what runs shorter than RUN have in common is not counted yet
+    met = common[None, :] - (common - (runs[:, 1] - runs[:, 0]))[:, None]
+    a, b = end[None, :] - first[:, None], b_end[None, :] - b_first[:, None]
+    alone = np.maximum(a, width) + np.maximum(b, width)
+    may = np.triu((met + 2 * RUN) / np.maximum(alone - met - 2 * RUN, 1) >= least)
+    begins, ends = np.nonzero(may)
+    found: list[tuple[int, int, int, int, float]] = []
+    taken = np.zeros(len(runs), bool)
+    for at in np.argsort(-a[begins, ends], kind="stable"):
+        p, q = int(begins[at]), int(ends[at])
+        if taken[p : q + 1].any():
+            continue
+        part = _widened(x, y, int(first[p]), int(end[q]), int(b_first[p]), int(b_end[q]), width, least)
+        if part:
+            found.append(part)
+            taken[p : q + 1] = True
+    return sorted(found)
 
 
-def moved_parts(x: np.ndarray, y: np.ndarray, width: int, least: float) -> list[tuple[int, int, int, int, float]]:
-    """As `alike_parts`, where words were put in or taken out: runs of equal tokens on diagonals near each other, in a row."""
-    runs: list[tuple[int, int, int]] = []
-    for shift in range(-APART, APART + 1):
-        low, high = max(0, -shift), min(len(x), len(y) - shift)
-        if high - low < RUN:
-            continue
-        equal = np.zeros(high - low + 2, np.int8)
-        equal[1:-1] = x[low:high] == y[low + shift : high + shift]
-        edges = np.flatnonzero(np.diff(equal)) + low
-        runs += [(int(i), int(j), shift) for i, j in zip(edges[::2], edges[1::2]) if j - i >= RUN]
-    found, chain = [], None
-    for i, j, shift in [*sorted(runs), (len(x) + 2 * GAP, 0, 0)]:
-        if chain and i - chain[1] <= GAP and i + shift - chain[3] <= GAP and i + shift >= chain[2] and j > chain[1]:
-            chain = [chain[0], j, chain[2], max(chain[3], j + shift)]
-        elif chain and j and j <= chain[1]:
+def moved_parts(x: np.ndarray, y: np.ndarray, width: int, least: float, shift: int = 0) -> list[tuple[int, int, int, int, float]]:
+    """(first, last, first, last, similarity) of alike passages whose equal tokens stand in the same order, about the diagonal `shift`."""
+    found = []
+    for chain in _chains(x, y, shift):
+        # alike passages have no less in common, but for runs shorter than RUN
+        if sum(j - i for i, j, _ in chain) + 2 * RUN < 2 * least / (1 + least) * width:
             continue
-        else:
-            if chain and min(chain[1] - chain[0], chain[3] - chain[2]) >= width:
-                alike = similarity(x[chain[0] : chain[1]], y[chain[2] : chain[3]])
-                if alike >= least:
-                    found.append((chain[0], chain[1] - 1, chain[2], chain[3] - 1, alike))
-            chain = [i, j, i + shift, j + shift]
+        for at in range(0, max(1, len(chain) - CHAIN // 2), CHAIN // 2):
+            found += _alike_runs(x, y, chain[at : at + CHAIN], width, least)
     return found
 
 
-def alike_parts(x: np.ndarray, y: np.ndarray, width: int, least: float) -> list[tuple[int, int, int, int, float]]:
-    """(first, last, first, last, similarity) of the passages that two stretches, laid over each other, have in common.
+def loose_parts(x: np.ndarray, y: np.ndarray, width: int, least: float) -> list[tuple[int, int, int, int, float]]:
+    """As `moved_parts`, where the common tokens stand in any order or are repeated."""
+
+    def parts(of: np.ndarray, others: np.ndarray) -> list[np.ndarray]:
+        held = np.flatnonzero(np.isin(of, others))
+        return np.split(held, np.flatnonzero(np.diff(held) > GAP + 1) + 1) if len(held) else []
 
-    First parts with few differing tokens, then what of the others is equal throughout;
-    else parts with words put in or taken out; else the whole, where it is alike.
-    """
     found = []
-    equal = np.flatnonzero(x == y)
-    for gap in (GAP, 0):
-        rest = []
-        for part in np.split(equal, np.flatnonzero(np.diff(equal) > gap + 1) + 1) if len(equal) else []:
-            first, last = int(part[0]), int(part[-1])
-            if last - first + 1 < width:
-                continue
-            alike = similarity(x[first : last + 1], y[first : last + 1])
-            if alike >= least:
-                found.append((first, last, first, last, alike))
-            else:
-                rest.append(part)
-        equal = np.concatenate(rest) if rest else equal[:0]
-    if not found:
-        found = moved_parts(x, y, width, least)
-    if not found and (alike := similarity(x, y)) >= least:
-        found.append((0, len(x) - 1, 0, len(y) - 1, alike))
+    theirs = parts(y, x)
+    for mine in parts(x, y):
+        for other in theirs:
+            part = _widened(x, y, int(mine[0]), int(mine[-1]) + 1, int(other[0]), int(other[-1]) + 1, width, least)
+            if part:
+                found.append(part)
+    return found
+
+
+def straight_parts(x: np.ndarray, y: np.ndarray, width: int, least: float, shift: int) -> list[tuple[int, int, int, int, float]]:
+    """As `moved_parts`, on the diagonal `shift` alone; none where tokens beside a part may belong to it as well."""
+    low, high = max(0, -shift), min(len(x), len(y) - shift)
+    equal = np.flatnonzero(x[low:high] == y[low + shift : high + shift]) + low if high > low else np.zeros(0, np.int64)
+    if not len(equal):
+        return []
+    found, reach = [], 2 * GAP + SHINGLE
+    cuts = np.flatnonzero(np.diff(equal) > GAP + 1) + 1
+    for begin, stop in zip([0, *cuts.tolist()], [*cuts.tolist(), len(equal)]):
+        i, j = int(equal[begin]), int(equal[stop - 1]) + 1
+        if j - i < width and stop - begin + 2 * RUN < 2 * least / (1 + least) * width:
+            continue
+        alike = 1.0 if stop - begin == j - i else similarity(x[i:j], y[i + shift : j + shift])
+        if j - i < width or alike < least:
+            return []
+        k, l = i + shift, j + shift
+        for beside, theirs in ((x[max(0, i - reach) : i], y[max(0, k - reach) : k]), (x[j : j + reach], y[l : l + reach])):
+            if not set(beside.tolist()).isdisjoint(theirs.tolist()):
+                return []
+        found.append((i, j - 1, k, l - 1, alike))
     return found
 
 
+def alike_parts(x: np.ndarray, y: np.ndarray, width: int, least: float, shift: int, distinct: int) -> list[tuple[int, int, int, int, float]]:
+    """(first, last, first, last, similarity) of the alike passages of two stretches; any has `distinct` tokens or more in either."""
+    if min(len(x), len(y)) < width or len(set(x.tolist()).intersection(y.tolist())) < least * distinct:
+        return []
+    straight = straight_parts(x, y, width, least, shift)
+    return straight or moved_parts(x, y, width, least, shift) or loose_parts(x, y, width, least)
+
+
 def _verified(width: int, least: float):
+    """Passages of two stretches; `shift` takes places in the one to those in the other, `at` is a token both have."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            columns = (batch.column(c).to_pylist() for c in ("a", "b", "first", "b_first", "x", "y"))
-            for a, b, first, b_first, x, y in zip(*columns):
-                for i, j, k, l, alike in alike_parts(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), width, least):
-                    out.append((a, b, first + i, first + j, b_first + k, b_first + l, alike))
-            kinds = [pa.int64()] * 6 + [pa.float64()]
-            names = ["a", "b", "first", "last", "b_first", "b_last", "similarity"]
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], names)
+            columns = (batch.column(c).to_pylist() for c in _LAID)
+            for key, at, a, a_doc, b, b_doc, first, b_first, shift, distinct, x, y in zip(*columns):
+                for i, j, k, l, alike in alike_parts(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), width, least, shift, distinct):
+                    out.append((key, at, a, a_doc, b, b_doc, first + i, first + j, b_first + k, b_first + l, alike))
+            kinds = [pa.int64()] * 10 + [pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], _ALIKE)
 
     return run
 
 
+_LAID = ["key", "at", "a", "a_doc", "b", "b_doc", "first", "b_first", "shift", "distinct", "x", "y"]
+_ALIKE = ["key", "at", "a", "a_doc", "b", "b_doc", "first", "last", "b_first", "b_last", "similarity"]
+_ALIKE_TYPES = ", ".join(f"{c} {'double' if c == 'similarity' else 'long'}" for c in _ALIKE)
+
+
 def _written(df: DataFrame, folder: str) -> DataFrame:
     """`df` from a compressed table in the shared folder; a checkpoint would take several times the disk.
 
@@ -318,25 +464,105 @@ def _remove(spark: SparkSession, folder: str) -> None:
 _RUNS = [e.format(i) for i in range(PLACES // 2) for e in ("runs_{} & 4294967295", "shiftrightunsigned(runs_{}, 32)")]
 
 
-def _met(every: DataFrame, part: int, folder: str) -> DataFrame:
-    """Windows of one function whose hash stands in two texts at least."""
-    runs = [] if part else [c for c in _WINDOW if c.startswith("runs_")]
-    windows = every.where(F.col("part") == part).select("key", "cid", "place", *runs)
+def _met(every: DataFrame, folder: str) -> DataFrame:
+    """Windows whose hash stands in two texts at least."""
+    windows = every.where("part = 0").drop("part")
     # written, since Spark splits a hot key only in a join right behind two exchanges
     ends = windows.groupBy("key").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"))
     shared = _written(ends.where("lo <> hi").select("key"), f"{folder}-keys")
     return _written(windows.join(shared, "key").distinct(), folder)
 
 
+def _set_out(least: float):
+    """Distinct tokens of each context, and how many of them an alike one has at least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(np.frombuffer(x, "<u4")).astype(np.int64) for x in batch.column("tokens").to_pylist()]
+            sizes = [len(x) for x in sets]
+            columns = [np.repeat(batch.column(c).to_numpy(), sizes) for c in ("key", "cid", "at")]
+            common = np.ceil(least * batch.column("distinct").to_numpy() - 1e-9).astype(np.int64)
+            columns += [np.repeat(common, sizes), np.concatenate([*sets, np.zeros(0, np.int64)])]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "cid", "at", "common", "token"])
+
+    return run
+
+
+def _may_be_alike(hot: DataFrame, left: DataFrame, least: float) -> DataFrame:
+    """Pairs of a window left and another of its group, that share one of the tokens rare in the group.
+
+    Alike contexts share `common` tokens, so each has a shared one besides its
+    `common` - 1 most frequent.
+    """
+    sets = hot.join(left.select("key").distinct(), "key", "left_semi").mapInArrow(
+        _set_out(least), "key long, cid long, at long, common long, token long"
+    )
+    counts = sets.groupBy("key", "token").agg(F.count("*").alias("n")).where("n > 1")
+    place = F.row_number().over(Window.partitionBy("key", "cid", "at").orderBy(F.desc("n"), "token"))
+    rare = sets.join(counts, ["key", "token"]).withColumn("place", place).where("place >= common").select("key", "token", "cid", "at")
+    leads = rare.join(left, ["key", "cid", "at"], "left_semi").select("key", "token", F.col("cid").alias("b"), F.col("at").alias("b_at"))
+    return rare.join(leads, ["key", "token"]).where("cid <> b").select("key", "cid", "at", "b", "b_at").distinct()
+
+
+def _by_rounds(hot: DataFrame, width: int, least: float, folder: str) -> DataFrame | None:
+    """Alike passages of large groups; `hot` has key, doc_id, cid, at, first, distinct and tokens.
+
+    In each of ROUNDS rounds the window that repeats itself most, then of the smallest doc_id, leads its group and is
+    compared with all of it. Windows that led or are alike to a leader are settled;
+    those left in the end are compared with every one they may be alike to.
+    """
+    names = ["key", "cid", "at"]
+    files = int(hot.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found, left = None, hot.select("key", "distinct", "doc_id", "cid", "at")
+    theirs = hot.select(
+        "key",
+        F.col("cid").alias("b"),
+        F.col("doc_id").alias("b_doc"),
+        F.col("first").alias("b_first"),
+        F.col("at").alias("b_at"),
+        F.col("distinct").alias("y_distinct"),
+        F.col("tokens").alias("y"),
+    )
+    for n in range(ROUNDS + 1):
+        if left.isEmpty():
+            break
+        if n < ROUNDS:
+            lead = left.groupBy("key").agg(F.min(F.struct("distinct", "doc_id", "cid", "at")).alias("f"))
+            lead = _written(lead.select("key", F.col("f.cid").alias("b"), F.col("f.at").alias("b_at")), f"{folder}/lead-{n}")
+            both = hot.join(theirs.join(lead, ["key", "b", "b_at"]), "key").where("cid <> b")
+        else:
+            lead = left.select("key", F.col("cid").alias("b"), F.col("at").alias("b_at"))
+            may = _written(_may_be_alike(hot, left.select(*names), least), f"{folder}/may")
+            both = may.join(hot, names).join(theirs, ["key", "b", "b_at"])
+        laid = both.repartition(files).select(
+            "key",
+            "at",
+            F.col("cid").alias("a"),
+            F.col("doc_id").alias("a_doc"),
+            *_LAID[4:8],
+            F.expr("(b_at - b_first) - (at - first)").alias("shift"),
+            F.greatest("distinct", "y_distinct").alias("distinct"),
+            F.col("tokens").alias("x"),
+            "y",
+        )
+        alike = _written(laid.mapInArrow(_verified(width, least), _ALIKE_TYPES), f"{folder}/round-{n}")
+        found = alike if found is None else found.union(alike)
+        if n < ROUNDS:
+            settled = alike.where("first <= at AND at <= last").select("key", F.col("a").alias("cid"), "at").union(lead)
+            left = _written(left.join(settled.distinct(), names, "left_anti"), f"{folder}/left-{n}")
+    return found
+
+
 def repeated_passages(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Passages of `docs` (doc_id, text) that stand, nearly alike, in another document.
 
     A row for each document and passage: doc_id, start_word, end_word (exclusive),
     n_words, other_doc_id (the smallest doc_id met there), similarity of the shingle
-    sets, percent at least. Passages of one document that touch are one row. A
-    passage of `words` words that stands in two texts word for word is found unless the
-    first text of its groups holds a mere part of it; documents without passages found
-    have no row.
+    sets, percent at least. Passages of one document that touch are one row. Every
+    passage of `words` words or more is found that is alike to one of another document
+    and told apart from it by words replaced, put in or taken out, or by parts moved. Where
+    more than GROUP places have the same run of words, other_doc_id and similarity
+    are those of the documents compared, which every alike one is settled by.
 
     Words are those between white space, lower-cased A-Z. Null, empty and short texts
     have no passage. Documents with the same text of `words` words or more repeat each
@@ -345,6 +571,7 @@ def repeated_passages(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
     empty table gives an empty result.
     """
     width = words - SHINGLE + 1
+    run = sure_run(width, percent)
     texts = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.xxhash64(F.col("text").cast("string")).alias("cid"),
@@ -353,110 +580,111 @@ def repeated_passages(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
     members = freeze(texts.select("cid", "doc_id").distinct())
     sizes = members.groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"))
 
-    # written once, read for each function: its shuffles are gone before the next
+    # written, so that the shuffles of one step are gone before the next
     spark = docs.sparkSession
     folder = f"{shared_dir(spark)}/passages-{uuid.uuid4().hex}"
     columns = ", ".join(f"{c} long" for c in _WINDOW)
-    every = _written(texts.select("cid", "text").mapInArrow(_windows(width), columns), f"{folder}/windows")
+    every = _written(texts.select("cid", "text").mapInArrow(_windows(words, run), columns), f"{folder}/windows")
     lengths = freeze(every.where("part = -1").select("cid", F.col("place").alias("size")).distinct())
-    met = [_met(every, f, f"{folder}/met-{f}") for f in range(FUNCTIONS)]
+    windows = _met(every, f"{folder}/met")
     _remove(spark, f"{folder}/windows")
-    around = met[0].select("key", "cid", "place", *[F.expr(e).alias(f"run_{i}") for i, e in enumerate(_RUNS)])
-    around = around.select(
-        F.explode(
-            F.concat(
-                F.array("key"),
-                # a run holds the window's token, so with its key 32 bits of the run tell it
-                *[
-                    F.when(F.col(f"run_{i}") != 0, F.array(F.xxhash64("key", F.lit(i), f"run_{i}"))).otherwise(F.array().cast("array<long>"))
-                    for i in range(PLACES)
-                ],
-            )
-        ).alias("key"),
-        "cid",
-        "place",
-    )
-    for others in met[1:]:
-        around = around.union(others.select("key", "cid", "place"))
-    around = around.select(
-        "key",
-        "cid",
-        F.expr(f"place div {width * width}").alias("at"),
-        F.expr(f"place div {width} % {width}").alias("ahead"),
-        F.expr(f"place % {width}").alias("behind"),
-    )
-    # the first window of the first text in a group; all windows of others are laid over it
-    first = _written(
-        around.groupBy("key")
-        .agg(F.min(F.struct("cid", "at", "ahead", "behind")).alias("f"), F.max("cid").alias("hi"))
-        .where("f.cid <> hi")
-        .select("key", "f"),
-        f"{folder}/first",
-    )
+    # a run holds the window's token, so with its key 32 bits of the run tell it
+    runs = [
+        F.when(F.expr(e) != 0, F.array(F.xxhash64("key", F.lit(i), F.expr(e)))).otherwise(F.array().cast("array<long>"))
+        for i, e in enumerate(_RUNS)
+    ]
+    around = windows.select(F.explode(F.concat(*runs)).alias("key"), "cid", F.col("place").alias("at"))
+    counted = around.groupBy("key").agg(F.count("*").alias("n"), F.min("cid").alias("lo"), F.max("cid").alias("hi"))
+    counted = _written(counted.where("lo <> hi").select("key", "n"), f"{folder}/groups")
+    grouped = _written(around.join(counted, "key"), f"{folder}/grouped")
+    _remove(spark, f"{folder}/met")
+    reach = width + GAP
+    few = grouped.where(F.col("n") <= GROUP)
     laid = (
-        around.join(first, "key")
-        .where("cid <> f.cid")
-        .select(
-            F.col("cid").alias("a"),
-            F.col("f.cid").alias("b"),
-            (F.col("at") - F.col("f.at")).alias("diagonal"),
-            (F.col("at") - F.least("ahead", "f.ahead")).alias("first"),
-            (F.col("at") + F.least("behind", "f.behind")).alias("last"),
-            "key",
-        )
-        .where(F.col("last") - F.col("first") + 1 >= width)
+        few.select("key", F.col("cid").alias("a"), "at")
+        .join(few.select("key", F.col("cid").alias("b"), F.col("at").alias("b_at")), "key")
+        .where("a < b")
+        .select("a", "b", (F.col("at") - F.col("b_at")).alias("diagonal"), "at")
     )
-    # stretches on one diagonal that overlap are one
-    along = Window.partitionBy("a", "b", "diagonal").orderBy("first", "last")
-    opens = F.when(F.col("first") <= F.max("last").over(along.rowsBetween(Window.unboundedPreceding, -1)) + 1, 0).otherwise(1)
+    # places on one diagonal whose surroundings overlap are one stretch
+    along = Window.partitionBy("a", "b", "diagonal").orderBy("at")
+    opens = F.when(F.col("at") - F.lag("at").over(along) <= 2 * reach, 0).otherwise(1)
     joined = (
-        laid.withColumn("opens", opens)
+        laid.distinct()
+        .withColumn("opens", opens)
         .withColumn("part", F.sum("opens").over(along.rowsBetween(Window.unboundedPreceding, 0)))
         .groupBy("a", "b", "diagonal", "part")
-        .agg(F.min("first").alias("first"), F.max("last").alias("last"), F.count_distinct("key").alias("votes"))
-        .where(F.col("votes") >= VOTES)
+        .agg(F.min("at").alias("begin"), F.max("at").alias("end"))
     )
     pairs = _written(
         joined.select(
-            "a", "b", "first", "last", (F.col("first") - F.col("diagonal")).alias("b_first"), (F.col("last") - F.col("diagonal")).alias("b_last")
+            "a",
+            "b",
+            "diagonal",
+            F.expr(f"greatest(0, begin - {reach})").alias("first"),
+            F.expr(f"end + {reach}").alias("last"),
+            F.expr(f"greatest(0, begin - diagonal - {reach})").alias("b_first"),
+            F.expr(f"end - diagonal + {reach}").alias("b_last"),
         ),
         f"{folder}/pairs",
     )
-    for f in range(FUNCTIONS):
-        _remove(spark, f"{folder}/met-{f}")
-    sides = pairs.select(F.col("a").alias("cid"), "first", "last").union(pairs.select("b", "b_first", "b_last")).distinct()
+    many = grouped.where(F.col("n") > GROUP).select(
+        "key", "cid", "at", F.expr(f"greatest(0, at - {reach})").alias("first"), F.expr(f"at + {reach}").alias("last")
+    )
+    sides = pairs.select(F.col("a").alias("cid"), "first", "last").union(pairs.select("b", "b_first", "b_last"))
+    sides = sides.union(many.select("cid", "first", "last")).distinct()
     asked = (
         sides.groupBy("cid")
         .agg(F.collect_list(F.struct("first", "last")).alias("stretches"))
         .join(sizes.select("cid", F.col("doc_id").alias("keeper")), "cid")
     )
-    sources = texts.join(asked, "cid").where(F.col("doc_id").eqNullSafe(F.col("keeper"))).select("cid", "text", "stretches")
+    sources = texts.join(asked, "cid").where(F.col("doc_id").eqNullSafe(F.col("keeper"))).select("cid", "doc_id", "text", "stretches")
     cut = _written(
-        sources.mapInArrow(_cut_out, "cid long, first long, last long, tokens binary").dropDuplicates(["cid", "first", "last"]),
+        sources.mapInArrow(_cut_out(width), "cid long, doc_id long, first long, last long, distinct long, tokens binary").dropDuplicates(["cid", "first", "last"]),
         f"{folder}/cut",
     )
-    mine = cut.select(F.col("cid").alias("a"), "first", "last", F.col("tokens").alias("x"))
-    theirs = cut.select(F.col("cid").alias("b"), F.col("first").alias("b_first"), F.col("last").alias("b_last"), F.col("tokens").alias("y"))
-    alike = freeze(
+    # in many files, since what follows takes time by rows rather than by bytes
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    hot = _written(many.join(cut, ["cid", "first", "last"]).select("key", "doc_id", "cid", "at", "first", "distinct", "tokens").repartition(files), f"{folder}/hot")
+    mine = cut.select(F.col("cid").alias("a"), F.col("doc_id").alias("a_doc"), "first", "last", F.col("distinct").alias("x_distinct"), F.col("tokens").alias("x"))
+    theirs = cut.select(
+        F.col("cid").alias("b"),
+        F.col("doc_id").alias("b_doc"),
+        F.col("first").alias("b_first"),
+        F.col("last").alias("b_last"),
+        F.col("distinct").alias("y_distinct"),
+        F.col("tokens").alias("y"),
+    )
+    alike = _written(
         pairs.join(mine, ["a", "first", "last"])
         .join(theirs, ["b", "b_first", "b_last"])
-        .select("a", "b", "first", "b_first", "x", "y")
-        .mapInArrow(
-            _verified(width, percent / 100),
-            "a long, b long, first long, last long, b_first long, b_last long, similarity double",
+        .select(
+            F.lit(0).cast("long").alias("key"),
+            F.lit(0).cast("long").alias("at"),
+            *_LAID[2:8],
+            F.expr("first - b_first - diagonal").alias("shift"),
+            F.greatest("x_distinct", "y_distinct").alias("distinct"),
+            "x",
+            "y",
         )
+        .repartition(files)
+        .mapInArrow(_verified(width, percent / 100), _ALIKE_TYPES),
+        f"{folder}/alike",
     )
-    _remove(spark, folder)
-    spans = alike.select(F.col("a").alias("cid"), "first", "last", F.col("b").alias("other"), "similarity").union(
-        alike.select("b", "b_first", "b_last", "a", "similarity")
+    for name in ("groups", "grouped", "pairs", "cut"):
+        _remove(spark, f"{folder}/{name}")
+    rounds = _by_rounds(hot, width, percent / 100, folder)
+    found = alike if rounds is None else alike.union(rounds)
+    spans = found.select(F.col("a").alias("cid"), "first", "last", F.col("b_doc").alias("other"), "similarity").union(
+        found.select("b", "b_first", "b_last", "a_doc", "similarity")
     )
-    named = (
-        spans.join(sizes.select(F.col("cid").alias("other"), F.col("doc_id").alias("other_doc_id")), "other")
-        .groupBy("cid", "first", "last")
-        .agg(F.min("other_doc_id").alias("other_doc_id"), F.max("similarity").alias("similarity"))
+    named = freeze(
+        spans.groupBy("cid", "first", "last")
+        .agg(F.min("other").alias("other_doc_id"), F.max("similarity").alias("similarity"))
         .withColumn("end", F.col("last") + SHINGLE)
         .select("cid", F.col("first").alias("start"), "end", "other_doc_id", "similarity")
     )
+    _remove(spark, folder)
     copies = sizes.where("rows > 1").join(lengths, "cid").select(
         "cid",
         F.lit(0).cast("long").alias("start"),
