@@ -12,6 +12,7 @@ many, but new texts must be appended before they can be found.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,27 +28,35 @@ LOOKED_UP = 60
 #: Of these the rarest are combined. Where even the rarest has more postings than WORTH, a scan is cheaper.
 COMBINED, WORTH = 4, 10_000_000
 
-_EMPTY = "array<struct<field:string,letters:string>>"
-
-
-def _posted(column: str) -> Column:
-    text = F.lower(F.col(column))
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - (LETTERS - 1), F.lit(1)))
-    groups = F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(LETTERS))))
-    named = F.transform(groups, lambda g: F.struct(F.lit(column).alias("field"), g.alias("letters")))
-    return F.when(F.length(text) >= LETTERS, named).otherwise(F.array().cast(_EMPTY))
-
 
 def postings(rows: DataFrame, pk: str, columns: list[str]) -> DataFrame:
     """(field, letters, key) of every row; NULL and shorter texts have none."""
-    posted = F.concat(*[F.coalesce(_posted(c), F.array().cast(_EMPTY)) for c in columns])
-    return rows.select(F.col(pk).alias("key"), F.explode(posted).alias("p")).select("p.field", "p.letters", "key")
+    # a table of few files would be cut into letters by as few tasks
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select(F.col(pk).alias("key"), F.array(*columns).alias("texts")).repartition(parts, "key")
+    texts = F.array(*[F.struct(F.lit(c).alias("field"), F.lower(F.col("texts")[i]).alias("text")) for i, c in enumerate(columns)])
+    named = dealt.select("key", F.inline(texts)).where(F.length("text") >= LETTERS)
+    starts = F.sequence(F.lit(1), F.length("text") - (LETTERS - 1))
+    # one at a time: functions over arrays of text are not compiled, and take several times as long
+    posted = named.select("field", "key", "text", F.explode(starts).alias("start"))
+    letters = F.substring("text", F.col("start"), F.lit(LETTERS))
+    first = F.instr("text", letters) == F.col("start")
+    return posted.where(first).select("field", letters.alias("letters"), "key")
+
+
+def _code(letters: Column) -> Column:
+    """The letters as one number in the order of their text: 21 bits hold a letter."""
+    each = [F.ascii(F.substring(letters, F.lit(i), F.lit(1))).cast("long") for i in range(1, LETTERS + 1)]
+    return reduce(lambda code, letter: F.shiftleft(code, 21).bitwiseOR(letter), each)
 
 
 def write_postings(rows: DataFrame, pk: str, columns: list[str], path: str, mode: str = "append") -> None:
-    """Write or extend an index. Ranges are cut by letters and key, so common letters fill several."""
-    found = postings(rows, pk, columns).repartitionByRange("letters", "key")
-    found.sortWithinPartitions("letters", "key").write.mode(mode).parquet(path)
+    """Write or extend an index. Ranges are cut by letters and key, so common letters fill several.
+
+    A number sorts by its digits; texts that are mostly equal would be compared one with another.
+    """
+    found = postings(rows, pk, columns).withColumn("code", _code(F.col("letters"))).repartitionByRange("code", "key")
+    found.sortWithinPartitions("code").drop("code").write.mode(mode).parquet(path)
 
 
 def read_postings(spark: SparkSession, path: str, key_type: str = "long") -> DataFrame:

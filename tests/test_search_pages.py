@@ -160,3 +160,12 @@ def test_agents_by_days(spark, make_tables):
                     assert abs(got[who][column] - value) <= max(1, 0.05 * value), (who, value, got[who][column])
                 else:
                     assert got[who][column] == value, (who, column)
+
+
+def test_a_table_of_one_file_is_cut_into_letters_by_many_tasks(spark, frame):
+    rows = frame("customer", people()).coalesce(1)
+    found = postings.postings(rows, "custno_pk", ["custname", "custcode"])
+    assert found.rdd.getNumPartitions() == 4 and rows.rdd.getNumPartitions() == 1
+    expected = {(c, t[i : i + 3], p["custno_pk"]) for p in people() for c in ("custname", "custcode")
+                for t in [(p[c] or "").lower()] for i in range(len(t) - 2)}
+    assert sorted(values(found, "field", "letters", "key")) == sorted(expected)
