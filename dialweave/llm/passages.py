@@ -196,16 +196,16 @@ def _groups(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[bytes]]]:
         yield np.array(cids, np.int64), texts
 
 
-def _inner(text: np.ndarray, key: np.ndarray, at: np.ndarray, around: list[np.ndarray], length: int, stride: int) -> np.ndarray:
-    """Windows within a stretch that repeats itself: those before and behind have the same token and runs, and overlap.
+def _inner(text: np.ndarray, key: np.ndarray, at: np.ndarray, run: np.ndarray, near: int) -> np.ndarray:
+    """Windows within a stretch that repeats itself: those before and behind have the same token and run, and are near.
 
-    One of them in every `stride` tokens is left in, so that passages about these cover the stretch.
+    One of them in every `near` tokens is left in, and the first and the last of the
+    stretch: a passage that reaches beyond it holds the run of one of these, another one
+    of those between.
     """
-    same = (text[1:] == text[:-1]) & (key[1:] == key[:-1]) & (at[1:] - at[:-1] <= length)
-    for run in around:
-        same &= run[1:] == run[:-1]
+    same = (text[1:] == text[:-1]) & (key[1:] == key[:-1]) & (at[1:] - at[:-1] <= near) & (run[1:] == run[:-1])
     inner = np.zeros(len(key), bool)
-    inner[1:-1] = same[1:] & same[:-1] & (at[1:-1] // stride == at[:-2] // stride)
+    inner[1:-1] = same[1:] & same[:-1] & (at[1:-1] // near == at[:-2] // near)
     return inner
 
 
@@ -215,7 +215,8 @@ def _windows(words_least: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         length = (PLACES - 1) * (width // PLACES) + 1
-        stride = max(1, words_least - SHINGLE + 1 - length)
+        # those left in are at most two times as far apart, so the shortest passage holds a whole run of one
+        near = max(1, (words_least - SHINGLE + 1 - length) // 2)
         for batch in batches:
             for cids, texts in _groups(batch):
                 sizes, found = text_windows(words, texts, width)
@@ -223,7 +224,9 @@ def _windows(words_least: int, width: int):
                 none = np.zeros(long.sum(), np.int64)
                 rows = [[none - 1, none, cids[long], sizes[long], none, none]]
                 for text, key, at, _, _, *around in found:
-                    kept = long[text] & ~_inner(text, key, at, around, length, stride)
+                    # a stretch of one word has the same run at one place of many windows, and others at its ends
+                    around = [np.where(_inner(text, key, at, run, near), np.uint64(0), run) for run in around]
+                    kept = long[text] & (np.bitwise_or.reduce(around) != 0)
                     text, key, at, *around = (x[kept] for x in (text, key, at, *around))
                     two = [(a | b << np.uint64(32)).view(np.int64) for a, b in zip(around[::2], around[1::2])]
                     rows.append([np.zeros(len(key), np.int64), key.view(np.int64), cids[text], at, *two])

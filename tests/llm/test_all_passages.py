@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from dialweave.llm import passages
 
@@ -94,3 +96,24 @@ def test_the_sure_run():
         lost = size - 4 - runs.sum()
         if runs.sum() >= 0.8 * (runs.sum() + 2 * lost) and size - 4 >= 46:
             assert runs.max() >= 21
+
+
+def test_few_windows_of_a_repeated_word_meet(spark):
+    draw = random.Random(15)
+    prose = lambda n: [f"w{draw.randrange(10**9)}" for _ in range(n)]
+    rows, pairs = [], 0
+    for one, two in [(40, 40), (40, 80), (45, 40), (20, 21), (300, 90)]:
+        for before in (True, False):  # what is common stands before or behind the stretch
+            word, part = f"r{pairs}", prose(35)
+            for i, n in enumerate((one, two)):
+                stretch = part + [word] * n if before else [word] * n + part
+                rows.append((2 * pairs + i, " ".join(prose(20) + stretch + prose(20))))
+            pairs += 1
+    got, _ = found(spark, rows)
+    assert got == {(n, n ^ 1) for n in range(2 * pairs)}
+    text = " ".join(prose(60) + ["again"] * 40 + prose(60)).encode()
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], ["cid", "text"])
+    windows = next(passages._windows(50, 21)(iter([batch]))).to_pydict()
+    runs = [r for place in (0, 1) for r in windows[f"runs_{place}"]]
+    halves = [h for r in runs for h in (("low", r & 0xFFFFFFFF), ("high", (r >> 32) & 0xFFFFFFFF)) if h[1]]
+    assert 4 < max(Counter(halves).values()) < 12
