@@ -19,10 +19,12 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Iterator
+from functools import cached_property
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dialweave.llm.words import BLOCK, Words, grams, mixed
@@ -237,6 +239,8 @@ def _windows(words_least: int, width: int):
 
 
 def _cut_out(width: int):
+    """Tokens of stretches that reach `width` + GAP to either side of the places of windows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
@@ -247,7 +251,9 @@ def _cut_out(width: int):
                 tokens = (grams(words.of(text or b""), SHINGLE) >> np.uint64(32)).astype("<u4")
                 for s in stretches:
                     cut = tokens[s["first"] : s["last"] + 1]
-                    out.append((cid, doc, s["first"], s["last"], least_distinct(cut, width), cut.tobytes()))
+                    # an alike passage holds one of the places, so it begins at the last one or less than its width before the first
+                    begin, end = (GAP + 1 if s["first"] else 0), s["last"] - width - GAP - s["first"]
+                    out.append((cid, doc, s["first"], s["last"], least_distinct(cut, width, begin, end), cut.tobytes()))
             kinds = [pa.int64()] * 5 + [pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], _CUT)
 
@@ -257,15 +263,61 @@ def _cut_out(width: int):
 _CUT = ["cid", "doc_id", "first", "last", "distinct", "tokens"]
 
 
-def similarity(x: np.ndarray, y: np.ndarray) -> float:
-    """Of the sets of two passages."""
-    one, two = set(x.tolist()), set(y.tolist())
-    met = len(one & two)
-    return met / (len(one) + len(two) - met)
-
-
-def least_distinct(tokens: np.ndarray, width: int) -> int:
-    """Distinct tokens of that run of `width` that has the fewest."""
+class Stretches:
+    """Two stretches, and how many tokens before each place of the one stand in the other, where it repeats none."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray):
+        self.x, self.y = x.tolist(), y.tolist()
+        self.one, self.two = set(self.x), set(self.y)
+        self.common = len(self.one & self.two)
+
+    @cached_property
+    def x_held(self) -> list[int] | None:
+        return list(accumulate(map(self.two.__contains__, self.x), initial=0)) if len(self.one) == len(self.x) else None
+
+    @cached_property
+    def y_held(self) -> list[int] | None:
+        return list(accumulate(map(self.one.__contains__, self.y), initial=0)) if len(self.two) == len(self.y) else None
+
+    def similarity(self, a: int, b: int, c: int, d: int) -> float:
+        """Of the sets of x[a:b] and y[c:d]."""
+        one, two = set(self.x[a:b]), set(self.y[c:d])
+        met = len(one & two)
+        return met / (len(one) + len(two) - met)
+
+    def may_be_alike(self, a: int, b: int, c: int, d: int, least: float) -> bool:
+        """Whether the tokens that stand in the other stretch are enough."""
+        if self.x_held is not None and self.x_held[b] - self.x_held[a] < least * (b - a) - SLACK:
+            return False
+        return self.y_held is None or self.y_held[d] - self.y_held[c] >= least * (d - c) - SLACK
+
+    def may_hold(self, width: int, least: float) -> bool:
+        """Whether each has a run of `width` tokens or more with as many of the other's as one alike has.
+
+        That is `least` of its own, and of what both have together.
+        """
+        both = least / (1 + least) if self.x_held is not None and self.y_held is not None else 0.0
+        for held in (self.x_held, self.y_held):
+            if held is None:
+                continue
+            at, places = np.array(held, float), np.arange(len(held))
+            over = at - least * places
+            if not (over[width:] >= np.minimum.accumulate(over[:-width]) - SLACK).any():
+                return False
+            if both and len(held) <= BLOCKED:
+                size = places[width:] - places[:-width, None]
+                need = np.maximum(least * size, both * (size + width)) - SLACK
+                if not ((at[width:] - at[:-width, None] >= need) & (size >= width)).any():
+                    return False
+        return True
+
+
+#: For sums of shares, which are rounded; tokens up to which all runs of a stretch are looked at.
+SLACK, BLOCKED = 1e-6, 250
+
+
+def least_distinct(tokens: np.ndarray, width: int, begin: int = 0, end: int | None = None) -> int:
+    """Distinct tokens of that run of `width`, of those that begin from `begin` to `end`, that has the fewest."""
     if len(tokens) < width:
         return width
     order = np.argsort(tokens, kind="stable")
@@ -276,7 +328,8 @@ def least_distinct(tokens: np.ndarray, width: int) -> int:
     fewer = np.zeros(len(tokens) + 1, np.int64)
     np.add.at(fewer, np.maximum(0, place[near] - width + 1), 1)
     np.add.at(fewer, before[near] + 1, -1)
-    return width - int(np.cumsum(fewer)[: len(tokens) - width + 1].max())
+    last = len(tokens) - width
+    return width - int(np.cumsum(fewer)[begin : (last if end is None else min(last, end)) + 1].max())
 
 
 #: Tokens that differ between two equal ones within a passage: those of two words replaced.
@@ -321,7 +374,7 @@ def _chains(x: np.ndarray, y: np.ndarray, shift: int) -> Iterator[list[tuple[int
         yield chain
 
 
-def _widened(x: np.ndarray, y: np.ndarray, i: int, j: int, k: int, l: int, width: int, least: float) -> tuple[int, int, int, int, float] | None:
+def _widened(two: Stretches, i: int, j: int, k: int, l: int, width: int, least: float) -> tuple[int, int, int, int, float] | None:
     """Passages x[i:j] and y[k:l], with as many of the tokens beside them as make up the width, if they are alike."""
     more = max(0, width - (j - i), width - (l - k))
     best = None
@@ -329,18 +382,18 @@ def _widened(x: np.ndarray, y: np.ndarray, i: int, j: int, k: int, l: int, width
         return None
     for before in range(more + 1):
         a, b, c, d = i - before, j + more - before, k - before, l + more - before
-        if a < 0 or c < 0 or b > len(x) or d > len(y):
+        if a < 0 or c < 0 or b > len(two.x) or d > len(two.y) or not two.may_be_alike(a, b, c, d, least):
             continue
-        alike = similarity(x[a:b], y[c:d])
+        alike = two.similarity(a, b, c, d)
         if alike >= least and (best is None or alike > best[4]):
             best = (a, b - 1, c, d - 1, alike)
     return best
 
 
-def _alike_runs(x: np.ndarray, y: np.ndarray, chain: list[tuple[int, int, int]], width: int, least: float) -> list[tuple[int, int, int, int, float]]:
+def _alike_runs(two: Stretches, chain: list[tuple[int, int, int]], width: int, least: float) -> list[tuple[int, int, int, int, float]]:
     """The longest alike passages that begin and end with runs of a chain, leaving out what is within longer ones."""
     whole = (chain[0][0], max(j for _, j, _ in chain), chain[0][0] + chain[0][2], max(j + s for _, j, s in chain))
-    if part := _widened(x, y, *whole, width, least):
+    if part := _widened(two, *whole, width, least):
         return [part]
     runs = np.array(chain)
     first, end = runs[:, 0], np.maximum.accumulate(runs[:, 1])
@@ -358,26 +411,29 @@ def _alike_runs(x: np.ndarray, y: np.ndarray, chain: list[tuple[int, int, int]],
         p, q = int(begins[at]), int(ends[at])
         if taken[p : q + 1].any():
             continue
-        part = _widened(x, y, int(first[p]), int(end[q]), int(b_first[p]), int(b_end[q]), width, least)
+        part = _widened(two, int(first[p]), int(end[q]), int(b_first[p]), int(b_end[q]), width, least)
         if part:
             found.append(part)
             taken[p : q + 1] = True
     return sorted(found)
 
 
-def moved_parts(x: np.ndarray, y: np.ndarray, width: int, least: float, shift: int = 0) -> list[tuple[int, int, int, int, float]]:
+def moved_parts(
+    x: np.ndarray, y: np.ndarray, width: int, least: float, shift: int = 0, two: Stretches | None = None
+) -> list[tuple[int, int, int, int, float]]:
     """(first, last, first, last, similarity) of alike passages whose equal tokens stand in the same order, about the diagonal `shift`."""
     found = []
+    two = two or Stretches(x, y)
     for chain in _chains(x, y, shift):
         # alike passages have no less in common, but for runs shorter than RUN
         if sum(j - i for i, j, _ in chain) + 2 * RUN < 2 * least / (1 + least) * width:
             continue
         for at in range(0, max(1, len(chain) - CHAIN // 2), CHAIN // 2):
-            found += _alike_runs(x, y, chain[at : at + CHAIN], width, least)
+            found += _alike_runs(two, chain[at : at + CHAIN], width, least)
     return found
 
 
-def loose_parts(x: np.ndarray, y: np.ndarray, width: int, least: float) -> list[tuple[int, int, int, int, float]]:
+def loose_parts(x: np.ndarray, y: np.ndarray, width: int, least: float, two: Stretches) -> list[tuple[int, int, int, int, float]]:
     """As `moved_parts`, where the common tokens stand in any order or are repeated."""
 
     def parts(of: np.ndarray, others: np.ndarray) -> list[np.ndarray]:
@@ -388,13 +444,13 @@ def loose_parts(x: np.ndarray, y: np.ndarray, width: int, least: float) -> list[
     theirs = parts(y, x)
     for mine in parts(x, y):
         for other in theirs:
-            part = _widened(x, y, int(mine[0]), int(mine[-1]) + 1, int(other[0]), int(other[-1]) + 1, width, least)
+            part = _widened(two, int(mine[0]), int(mine[-1]) + 1, int(other[0]), int(other[-1]) + 1, width, least)
             if part:
                 found.append(part)
     return found
 
 
-def straight_parts(x: np.ndarray, y: np.ndarray, width: int, least: float, shift: int) -> list[tuple[int, int, int, int, float]]:
+def straight_parts(x: np.ndarray, y: np.ndarray, width: int, least: float, shift: int, two: Stretches) -> list[tuple[int, int, int, int, float]]:
     """As `moved_parts`, on the diagonal `shift` alone; none where tokens beside a part may belong to it as well."""
     low, high = max(0, -shift), min(len(x), len(y) - shift)
     equal = np.flatnonzero(x[low:high] == y[low + shift : high + shift]) + low if high > low else np.zeros(0, np.int64)
@@ -406,43 +462,49 @@ def straight_parts(x: np.ndarray, y: np.ndarray, width: int, least: float, shift
         i, j = int(equal[begin]), int(equal[stop - 1]) + 1
         if j - i < width and stop - begin + 2 * RUN < 2 * least / (1 + least) * width:
             continue
-        alike = 1.0 if stop - begin == j - i else similarity(x[i:j], y[i + shift : j + shift])
+        alike = 1.0 if stop - begin == j - i else two.similarity(i, j, i + shift, j + shift)
         if j - i < width or alike < least:
             return []
         k, l = i + shift, j + shift
-        for beside, theirs in ((x[max(0, i - reach) : i], y[max(0, k - reach) : k]), (x[j : j + reach], y[l : l + reach])):
-            if not set(beside.tolist()).isdisjoint(theirs.tolist()):
+        for beside, theirs in ((two.x[max(0, i - reach) : i], two.y[max(0, k - reach) : k]), (two.x[j : j + reach], two.y[l : l + reach])):
+            if not set(beside).isdisjoint(theirs):
                 return []
         found.append((i, j - 1, k, l - 1, alike))
     return found
 
 
 def alike_parts(x: np.ndarray, y: np.ndarray, width: int, least: float, shift: int, distinct: int) -> list[tuple[int, int, int, int, float]]:
-    """(first, last, first, last, similarity) of the alike passages of two stretches; any has `distinct` tokens or more in either."""
-    if min(len(x), len(y)) < width or len(set(x.tolist()).intersection(y.tolist())) < least * distinct:
+    """(first, last, first, last, similarity) of the alike passages of two stretches; any two have `distinct` different tokens or more together."""
+    if min(len(x), len(y)) < width:
         return []
-    straight = straight_parts(x, y, width, least, shift)
-    return straight or moved_parts(x, y, width, least, shift) or loose_parts(x, y, width, least)
+    two = Stretches(x, y)
+    if two.common < least * distinct - SLACK:
+        return []
+    if straight := straight_parts(x, y, width, least, shift, two):
+        return straight
+    if not two.may_hold(width, least):
+        return []
+    return moved_parts(x, y, width, least, shift, two) or loose_parts(x, y, width, least, two)
 
 
 def _verified(width: int, least: float):
-    """Passages of two stretches; `shift` takes places in the one to those in the other, `at` is a token both have."""
+    """Passages of two stretches; `shift` takes places in the one to those in the other, `at` and `b_at` are those of a token both have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             columns = (batch.column(c).to_pylist() for c in _LAID)
-            for key, at, a, a_doc, b, b_doc, first, b_first, shift, distinct, x, y in zip(*columns):
+            for a, at, a_doc, b, b_at, b_doc, first, b_first, shift, distinct, x, y in zip(*columns):
                 for i, j, k, l, alike in alike_parts(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), width, least, shift, distinct):
-                    out.append((key, at, a, a_doc, b, b_doc, first + i, first + j, b_first + k, b_first + l, alike))
+                    out.append((a, at, a_doc, b, b_at, b_doc, first + i, first + j, b_first + k, b_first + l, alike))
             kinds = [pa.int64()] * 10 + [pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], _ALIKE)
 
     return run
 
 
-_LAID = ["key", "at", "a", "a_doc", "b", "b_doc", "first", "b_first", "shift", "distinct", "x", "y"]
-_ALIKE = ["key", "at", "a", "a_doc", "b", "b_doc", "first", "last", "b_first", "b_last", "similarity"]
+_LAID = ["a", "at", "a_doc", "b", "b_at", "b_doc", "first", "b_first", "shift", "distinct", "x", "y"]
+_ALIKE = ["a", "at", "a_doc", "b", "b_at", "b_doc", "first", "last", "b_first", "b_last", "similarity"]
 _ALIKE_TYPES = ", ".join(f"{c} {'double' if c == 'similarity' else 'long'}" for c in _ALIKE)
 
 
@@ -477,81 +539,105 @@ def _met(every: DataFrame, folder: str) -> DataFrame:
 
 
 def _set_out(least: float):
-    """Distinct tokens of each context, and how many of them an alike one has at least."""
+    """Distinct tokens of each context, their number, and how many of them an alike one has at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [np.unique(np.frombuffer(x, "<u4")).astype(np.int64) for x in batch.column("tokens").to_pylist()]
-            sizes = [len(x) for x in sets]
-            columns = [np.repeat(batch.column(c).to_numpy(), sizes) for c in ("key", "cid", "at")]
-            common = np.ceil(least * batch.column("distinct").to_numpy() - 1e-9).astype(np.int64)
-            columns += [np.repeat(common, sizes), np.concatenate([*sets, np.zeros(0, np.int64)])]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "cid", "at", "common", "token"])
+            sizes = np.array([len(x) for x in sets], np.int64)
+            common = np.ceil(least * batch.column("distinct").to_numpy() - 1e-6).astype(np.int64)
+            columns = [*(batch.column(c).to_numpy() for c in ("key", "cid", "at")), sizes, common]
+            columns = [*(np.repeat(c, sizes) for c in columns), np.concatenate([*sets, np.zeros(0, np.int64)])]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], _SET)
 
     return run
 
 
-def _may_be_alike(hot: DataFrame, left: DataFrame, least: float) -> DataFrame:
+_SET = ["key", "cid", "at", "size", "common", "token"]
+
+
+def _of_both(least: float) -> Column:
+    """Distinct tokens that alike passages have together at least, as they have `least` of these in common."""
+    return F.greatest(F.col("x_distinct"), F.col("y_distinct"), (F.col("x_distinct") + F.col("y_distinct")) / F.lit(1 + least)).alias("distinct")
+
+
+def _may_be_alike(many: DataFrame, contexts: DataFrame, left: DataFrame, least: float, folder: str) -> DataFrame:
     """Pairs of a window left and another of its group, that share one of the tokens rare in the group.
 
     Alike contexts share `common` tokens, so each has a shared one besides its
-    `common` - 1 most frequent.
+    `common` - 1 most frequent, and has so many tokens.
     """
-    sets = hot.join(left.select("key").distinct(), "key", "left_semi").mapInArrow(
-        _set_out(least), "key long, cid long, at long, common long, token long"
+    asked = many.join(left.select("key").distinct(), "key", "left_semi")
+    fewest = asked.groupBy("key").agg(F.min("distinct").alias("y_distinct"))
+    asked = asked.withColumnRenamed("distinct", "x_distinct").join(fewest, "key").select("key", "cid", "at", _of_both(least))
+    asked = asked.join(contexts.select("cid", "at", "tokens"), ["cid", "at"])
+    sets = _written(
+        asked.select("key", "cid", "at", "distinct", "tokens").mapInArrow(_set_out(least), ", ".join(f"{c} long" for c in _SET)), f"{folder}/sets"
     )
     counts = sets.groupBy("key", "token").agg(F.count("*").alias("n")).where("n > 1")
     place = F.row_number().over(Window.partitionBy("key", "cid", "at").orderBy(F.desc("n"), "token"))
-    rare = sets.join(counts, ["key", "token"]).withColumn("place", place).where("place >= common").select("key", "token", "cid", "at")
-    leads = rare.join(left, ["key", "cid", "at"], "left_semi").select("key", "token", F.col("cid").alias("b"), F.col("at").alias("b_at"))
-    return rare.join(leads, ["key", "token"]).where("cid <> b").select("key", "cid", "at", "b", "b_at").distinct()
+    rare = sets.join(counts, ["key", "token"]).withColumn("place", place).where("place >= common").drop("place", "n")
+    rare = _written(rare, f"{folder}/rare")
+    _remove(many.sparkSession, f"{folder}/sets")
+    leads = rare.join(left, ["key", "cid", "at"], "left_semi").select("key", "token", *(F.col(c).alias(f"b_{c}") for c in _SET[1:5]))
+    both = rare.join(leads, ["key", "token"]).where("cid <> b_cid AND size >= b_common AND b_size >= common")
+    # either side may be left, and windows meet in several groups; a pair is compared once
+    pair = both.selectExpr(
+        "least(cid, b_cid) AS a", "if(cid < b_cid, at, b_at) AS at", "greatest(cid, b_cid) AS b", "if(cid < b_cid, b_at, at) AS b_at"
+    )
+    return pair.distinct()
+
+
+def _compared(pairs: DataFrame, contexts: DataFrame, width: int, least: float, folder: str) -> DataFrame:
+    """Alike passages of pairs (a, at, b, b_at) of windows."""
+    mine, theirs = (
+        contexts.select(*(F.col(c).alias(n) for c, n in zip(("cid", "at", "doc_id", "first", "distinct", "tokens"), names)))
+        for names in (("a", "at", "a_doc", "first", "x_distinct", "x"), ("b", "b_at", "b_doc", "b_first", "y_distinct", "y"))
+    )
+    laid = pairs.join(mine, ["a", "at"]).join(theirs, ["b", "b_at"]).select(
+        *_LAID[:8],
+        F.expr("(b_at - b_first) - (at - first)").alias("shift"),
+        _of_both(least),
+        "x",
+        "y",
+    )
+    # in many tasks, since this takes time by rows rather than by bytes
+    files = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _written(laid.repartition(files).mapInArrow(_verified(width, least), _ALIKE_TYPES), folder)
 
 
-def _by_rounds(hot: DataFrame, width: int, least: float, folder: str) -> DataFrame | None:
-    """Alike passages of large groups; `hot` has key, doc_id, cid, at, first, distinct and tokens.
+def _by_rounds(many: DataFrame, contexts: DataFrame, width: int, least: float, folder: str) -> DataFrame | None:
+    """Alike passages of large groups `many` (key, cid, at); `contexts` has cid, at, doc_id, first, distinct and tokens.
 
-    In each of ROUNDS rounds the window that repeats itself most, then of the smallest doc_id, leads its group and is
-    compared with all of it. Windows that led or are alike to a leader are settled;
-    those left in the end are compared with every one they may be alike to.
+    In each of ROUNDS rounds a window of a text that did not lead yet, the one that repeats itself most, then of the
+    smallest doc_id, leads its group and is compared with those left in it. Windows alike to a leader are settled, and so is
+    such a leader; those left in the end are compared with every one of the group they may be alike to.
     """
     names = ["key", "cid", "at"]
-    files = int(hot.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found, left = None, hot.select("key", "distinct", "doc_id", "cid", "at")
-    theirs = hot.select(
-        "key",
-        F.col("cid").alias("b"),
-        F.col("doc_id").alias("b_doc"),
-        F.col("first").alias("b_first"),
-        F.col("at").alias("b_at"),
-        F.col("distinct").alias("y_distinct"),
-        F.col("tokens").alias("y"),
-    )
+    found, led = None, None
+    left = many = _written(many.join(contexts.select("cid", "at", "distinct", "doc_id"), ["cid", "at"]), f"{folder}/left")
     for n in range(ROUNDS + 1):
         if left.isEmpty():
             break
         if n < ROUNDS:
-            lead = left.groupBy("key").agg(F.min(F.struct("distinct", "doc_id", "cid", "at")).alias("f"))
+            may_lead = many.join(left.select("key").distinct(), "key", "left_semi") if n else many
+            if led is not None:
+                may_lead = may_lead.join(led, ["key", "cid"], "left_anti")
+            lead = may_lead.groupBy("key").agg(F.min(F.struct("distinct", "doc_id", "cid", "at")).alias("f"))
             lead = _written(lead.select("key", F.col("f.cid").alias("b"), F.col("f.at").alias("b_at")), f"{folder}/lead-{n}")
-            both = hot.join(theirs.join(lead, ["key", "b", "b_at"]), "key").where("cid <> b")
+            now = lead.select("key", F.col("b").alias("cid"))
+            led = now if led is None else led.union(now)
+            met = left.select("key", F.col("cid").alias("a"), "at").join(lead, "key").where("a <> b")
+            # windows meet in several groups, and are compared once
+            pairs = met.select("a", "at", "b", "b_at").distinct()
         else:
-            lead = left.select("key", F.col("cid").alias("b"), F.col("at").alias("b_at"))
-            may = _written(_may_be_alike(hot, left.select(*names), least), f"{folder}/may")
-            both = may.join(hot, names).join(theirs, ["key", "b", "b_at"])
-        laid = both.repartition(files).select(
-            "key",
-            "at",
-            F.col("cid").alias("a"),
-            F.col("doc_id").alias("a_doc"),
-            *_LAID[4:8],
-            F.expr("(b_at - b_first) - (at - first)").alias("shift"),
-            F.greatest("distinct", "y_distinct").alias("distinct"),
-            F.col("tokens").alias("x"),
-            "y",
-        )
-        alike = _written(laid.mapInArrow(_verified(width, least), _ALIKE_TYPES), f"{folder}/round-{n}")
+            pairs = _written(_may_be_alike(many, contexts, left.select(*names), least, folder), f"{folder}/may")
+        alike = _compared(pairs, contexts, width, least, f"{folder}/round-{n}")
         found = alike if found is None else found.union(alike)
         if n < ROUNDS:
-            settled = alike.where("first <= at AND at <= last").select("key", F.col("a").alias("cid"), "at").union(lead)
+            about = met.join(alike.drop("a_doc", "b_doc"), ["a", "at", "b", "b_at"])
+            settled = about.where("first <= at AND at <= last").select("key", F.col("a").alias("cid"), "at")
+            settled = settled.union(about.where("b_first <= b_at AND b_at <= b_last").select("key", "b", "b_at"))
             left = _written(left.join(settled.distinct(), names, "left_anti"), f"{folder}/left-{n}")
     return found
 
@@ -646,9 +732,10 @@ def repeated_passages(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
         sources.mapInArrow(_cut_out(width), "cid long, doc_id long, first long, last long, distinct long, tokens binary").dropDuplicates(["cid", "first", "last"]),
         f"{folder}/cut",
     )
-    # in many files, since what follows takes time by rows rather than by bytes
+    members_of = many.select("cid", "at", "first", "last").distinct()
+    contexts = _written(members_of.join(cut, ["cid", "first", "last"]).select("cid", "at", "doc_id", "first", "distinct", "tokens"), f"{folder}/contexts")
+    many = _written(many.select("key", "cid", "at"), f"{folder}/many")
     files = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    hot = _written(many.join(cut, ["cid", "first", "last"]).select("key", "doc_id", "cid", "at", "first", "distinct", "tokens").repartition(files), f"{folder}/hot")
     mine = cut.select(F.col("cid").alias("a"), F.col("doc_id").alias("a_doc"), "first", "last", F.col("distinct").alias("x_distinct"), F.col("tokens").alias("x"))
     theirs = cut.select(
         F.col("cid").alias("b"),
@@ -662,11 +749,9 @@ def repeated_passages(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
         pairs.join(mine, ["a", "first", "last"])
         .join(theirs, ["b", "b_first", "b_last"])
         .select(
-            F.lit(0).cast("long").alias("key"),
-            F.lit(0).cast("long").alias("at"),
-            *_LAID[2:8],
+            *(F.lit(0).cast("long").alias(c) if c in ("at", "b_at") else c for c in _LAID[:8]),
             F.expr("first - b_first - diagonal").alias("shift"),
-            F.greatest("x_distinct", "y_distinct").alias("distinct"),
+            _of_both(percent / 100),
             "x",
             "y",
         )
@@ -676,7 +761,7 @@ def repeated_passages(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
     )
     for name in ("groups", "grouped", "pairs", "cut"):
         _remove(spark, f"{folder}/{name}")
-    rounds = _by_rounds(hot, width, percent / 100, folder)
+    rounds = _by_rounds(many, contexts, width, percent / 100, folder)
     found = alike if rounds is None else alike.union(rounds)
     spans = found.select(F.col("a").alias("cid"), "first", "last", F.col("b_doc").alias("other"), "similarity").union(
         found.select("b", "b_first", "b_last", "a_doc", "similarity")

@@ -117,3 +117,34 @@ def test_few_windows_of_a_repeated_word_meet(spark):
     runs = [r for place in (0, 1) for r in windows[f"runs_{place}"]]
     halves = [h for r in runs for h in (("low", r & 0xFFFFFFFF), ("high", (r >> 32) & 0xFFFFFFFF)) if h[1]]
     assert 4 < max(Counter(halves).values()) < 12
+
+
+def test_a_text_that_meets_itself_in_a_group_is_settled_by_another(spark, monkeypatch):
+    draw = random.Random(16)
+    prose = lambda n: [f"w{draw.randrange(10**9)}" for _ in range(n)]
+    rows = [(i, " ".join(prose(20) + ["again"] * 400 + prose(20))) for i in (0, 1)]  # many windows of few texts make a group
+    left, make = [], passages._may_be_alike
+    monkeypatch.setattr(passages, "_may_be_alike", lambda *a: left.append(1) or make(*a))
+    _, got = found(spark, rows)
+    assert {(r["doc_id"], r["start_word"], r["end_word"]) for r in got} == {(0, 20, 420), (1, 20, 420)}
+    assert not left  # none has to meet every other
+
+
+def test_the_least_distinct_passage_holds_the_place():
+    tokens = np.concatenate([np.arange(70), np.full(46, 99)]).astype("<u4")
+    assert passages.least_distinct(tokens, 46) == 1
+    assert passages.least_distinct(tokens, 46, 0, 24) == 46 and passages.least_distinct(tokens, 46, 0, 30) == 41
+
+
+def test_bounds_never_turn_alike_stretches_down():
+    draw = np.random.default_rng(17)
+    for _ in range(400):
+        part = draw.integers(0, 10**6, int(draw.integers(46, 90))).astype("<u4")
+        other = part.copy()
+        other[draw.choice(len(part), int(draw.integers(0, 6)), replace=False)] = draw.integers(10**7, 10**8)
+        x, y = (np.concatenate([draw.integers(10**8, 10**9, 20).astype("<u4"), p, draw.integers(10**8, 10**9, 15).astype("<u4")]) for p in (part, other))
+        two = passages.Stretches(x, y)
+        if two.similarity(20, 20 + len(part), 20, 20 + len(part)) >= 0.8:
+            assert two.may_be_alike(20, 20 + len(part), 20, 20 + len(part), 0.8) and two.may_hold(46, 0.8)
+    apart = np.concatenate([np.arange(25), np.arange(1000, 1080)]).astype("<u4")
+    assert not passages.Stretches(apart, np.concatenate([np.arange(25), np.arange(2000, 2080)]).astype("<u4")).may_hold(46, 0.8)
