@@ -5,19 +5,27 @@ vectors are compared when they share SHARED or more of them. Lists are kept for
 sets of SHARED pivots rather than for single ones: a list holds the vectors that
 have all its pivots, which is the count over single lists carried out ahead, and
 it stays short where single lists would hold a fixed part of all vectors.
+
+Lists whose first pivots agree make a cell. A vector is sent to its cells once each,
+in 16 bits a component, and the lists are made and their pairs compared there, in
+blocks. No pair leaves a cell but those too close to the least cosine to be told by
+16 bits; of the others only counts and trees of linked vectors go on.
 """
 
 from __future__ import annotations
 
-import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dialweave.llm.graph import components
+from dialweave.llm.tables import new_folder, remove, written
+from dialweave.operators.sketches import narrowed
 from dialweave.session import freeze
 
 #: Reference points, chosen from a bounded sample of the vectors; every vector is indexed.
@@ -29,15 +37,27 @@ APART = 0.8
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     """A row a vector; shorter ones are padded with zeros, null ones and null components are not numbers."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
     rows = np.zeros((len(column), width))
-    for i, v in enumerate(column.to_pylist()):
-        if v is None:
-            rows[i] = np.nan
-        else:
-            rows[i, : len(v)] = [np.nan if x is None else x for x in v]
+    rows[np.arange(width) < sizes[:, None]] = column.flatten().to_numpy(zero_copy_only=False)
+    rows[column.is_null().to_numpy(zero_copy_only=False)] = np.nan
     return rows
 
 
+def _unit(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows can link, and these as unit vectors."""
+    good = np.isfinite(rows).all(axis=1) & (rows != 0).any(axis=1)
+    scaled = rows[good] / np.abs(rows[good]).max(axis=1, keepdims=True)
+    return good, scaled / np.sqrt((scaled**2).sum(axis=1, keepdims=True))
+
+
+def _class_ids(rows: np.ndarray) -> np.ndarray:
+    """A hash for each row, the same for equal ones."""
+    import xxhash
+
+    return np.array([xxhash.xxh3_64_intdigest(r.tobytes()) for r in rows + 0.0], np.uint64).view(np.int64)
+
+
 def spread(sample: np.ndarray) -> np.ndarray:
     """The reference points, as unit vectors: the first of `sample` that lie apart.
 
@@ -54,49 +74,243 @@ def spread(sample: np.ndarray) -> np.ndarray:
     return chosen[:n]
 
 
-def _indexed(pivots: np.ndarray, width: int):
+def _nearest(units: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Numbers of the nearest pivots; equally near ones by number, whatever rows are asked together."""
+    return np.argsort(-np.round(units @ pivots.T, 12), axis=1, kind="stable")[:, :NEAREST]
+
+
+def _indexed(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+        for batch in batches:
+            rows = _matrix(batch.column("embedding"), width)
+            good, _ = _unit(rows)
+            cids = np.zeros(len(rows), np.int64)
+            cids[good] = _class_ids(rows[good])
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(cids, mask=~good)], ["vec_id", "cid"])
+
+    return run
+
+
+def _exact(width: int):
+    """Class and unit vector of the rows that can link."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = _matrix(batch.column("embedding"), width)
-            good = np.isfinite(rows).all(axis=1) & (rows != 0).any(axis=1)
-            scaled = np.zeros_like(rows)
-            scaled[good] = rows[good] / np.abs(rows[good]).max(axis=1, keepdims=True)
-            scaled[good] /= np.sqrt((scaled[good] ** 2).sum(axis=1, keepdims=True))
-            near = np.argsort(-(scaled @ pivots.T), axis=1, kind="stable")[:, :NEAREST]
-            cids = [xxhash.xxh3_64_intdigest((rows[i] + 0.0).tobytes()) - (1 << 63) if good[i] else None for i in range(len(rows))]
+            good, units = _unit(rows)
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("vec_id"),
-                    pa.array(cids, pa.int64()),
-                    pa.array([list(r) for r in near], pa.list_(pa.int32())),
-                    pa.array([r.tobytes() for r in scaled], pa.binary()),
-                ],
-                ["vec_id", "cid", "nearest", "vector"],
+                [pa.array(_class_ids(rows[good])), pa.array([u.tobytes() for u in units], pa.binary())], ["cid", "vector"]
             )
 
     return run
 
 
-def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """An entry for each set of SHARED of a vector's nearest pivots: the sets as numbers of base PIVOTS."""
-    for batch in batches:
-        near = np.sort(np.array(batch.column("nearest").to_pylist(), np.int64).reshape(batch.num_rows, -1), axis=1)
-        sets = list(itertools.combinations(range(near.shape[1]), min(SHARED, near.shape[1])))
-        keys = np.zeros((len(near), len(sets)), np.int64)
-        for j, places in enumerate(sets):
-            for p in places:
-                keys[:, j] = keys[:, j] * PIVOTS + near[:, p]
-        n = len(sets)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.repeat(batch.column("cid").to_numpy(), n)),
-                pa.array(keys.ravel()),
-                pa.array([list(r) for r in np.repeat(near, n, axis=0)], pa.list_(pa.int32())),
-            ],
-            ["cid", "key", "pivots"],
-        )
+#: Steps of a component of a unit vector on its way to a cell.
+STEPS = 32767
+#: Vectors of a list that are compared before its next pivot is looked at; compared at a time.
+LIST, TILE = 1024, 1024
+#: Vectors of a cell that a task holds at once; a larger cell is dealt by its second pivot.
+CELL = 1 << 18
+
+
+class Cells:
+    """Which cell the lists of two first pivots belong to. Pivots are numbered by how rare they are."""
+
+    def __init__(self, pivots: np.ndarray, sample: np.ndarray, rows: int):
+        self.width = pivots.shape[1]
+        near = _nearest(sample, pivots)
+        self.nearest = near.shape[1]
+        self.shared = min(SHARED, self.nearest)
+        # cells of rare pivots come first, so that the frequent ones hold what is left
+        order = np.argsort(np.bincount(near.ravel(), minlength=len(pivots)), kind="stable")
+        self.pivots = pivots[order]
+        firsts = self.ranks(sample)[:, : self.nearest - self.shared + 1]
+        expected = np.bincount(firsts.ravel(), minlength=len(pivots)) * (rows / max(1, len(sample)))
+        self.kind = "<u1" if len(pivots) <= 256 else "<u2"
+        self.parts = np.maximum(1, np.ceil(expected / CELL)).astype(np.int64)
+        #: What 16 bits and products of single precision may put a cosine off by.
+        self.off = math.sqrt(self.width) / STEPS + self.width / STEPS**2 + (self.width + 16) * 2.0**-23
+
+    def of(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        return first * len(self.pivots) + second % self.parts[first]
+
+    def ranks(self, units: np.ndarray) -> np.ndarray:
+        return np.sort(_nearest(units, self.pivots), axis=1)
+
+    def pairs(self, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell) of the cells that each row of ranks belongs to, by cell."""
+        last = self.nearest - self.shared
+        if self.shared == 1:
+            met = self.of(ranks, 0)
+        else:
+            two = [(i, j) for i in range(last + 1) for j in range(i + 1, last + 2)]
+            met = np.stack([self.of(ranks[:, i], ranks[:, j]) for i, j in two], axis=1)
+        met = np.sort(met, axis=1)
+        new = np.ones(met.shape, bool)
+        new[:, 1:] = met[:, 1:] != met[:, :-1]
+        row, place = np.nonzero(new)
+        cell = met[row, place]
+        order = np.argsort(cell, kind="stable")
+        return row[order], cell[order]
+
+
+def _dealt(cells: Cells):
+    """A row for each cell that vectors of a batch belong to: their classes, rows, ranks of pivots and components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = _matrix(batch.column("embedding"), cells.width)
+            good, units = _unit(rows)
+            cids, first, count = np.unique(_class_ids(rows[good]), return_index=True, return_counts=True)
+            units = units[first]
+            ranks = cells.ranks(units)
+            row, cell = cells.pairs(ranks)
+            columns = [cids, count.astype(np.int64), ranks.astype(cells.kind), np.rint(units * STEPS).astype("<i2")]
+            starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
+            held = [row[i:j] for i, j in zip(starts, [*starts[1:], len(cell)])]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cell[starts], pa.int64()), *(pa.array([c[h].tobytes() for h in held], pa.binary()) for c in columns)], _PIECE
+            )
+
+    return run
+
+
+_PIECE = ["cell", "cids", "counts", "ranks", "components"]
+_LINKED = ["a", "b", "others", "sure"]
+
+
+class Cell:
+    """Vectors of a cell, and what is found of their links."""
+
+    def __init__(self, cells: Cells, cell: int, pieces: list[tuple[bytes, ...]], least: float):
+        self.cells, self.cell, self.least = cells, cell, least
+        cids, counts, ranks, parts = (np.frombuffer(b"".join(x), t) for x, t in zip(zip(*pieces), ("<i8", "<i8", cells.kind, "<i2")))
+        ranks, parts = ranks.reshape(len(cids), -1), parts.reshape(len(cids), -1)
+        self.cids, first, inverse = np.unique(cids, return_index=True, return_inverse=True)
+        rows = np.bincount(inverse, weights=counts).astype(np.int64)
+        # those with the same pivots stand together
+        order = np.lexsort(ranks[first].T[::-1])
+        first = first[order]
+        self.cids, self.rows, self.ranks, self.parts = self.cids[order], rows[order], ranks[first].astype(np.int64), parts[first]
+        n = len(self.cids)
+        self.held = np.zeros((n, -(-len(cells.pivots) // 64)), np.uint64)
+        for r in self.ranks.T:
+            self.held[np.arange(n), r >> 6] |= np.uint64(1) << (r & 63).astype(np.uint64)
+        self.others, self.root = np.zeros(n, np.int64), np.arange(n)
+        self.unsure: list[np.ndarray] = []
+
+    def compare(self) -> None:
+        pivot = self.cell // len(self.cells.pivots)
+        all_, at = np.arange(len(self.cids)), np.argmax(self.ranks == pivot, axis=1)
+        if self.cells.shared == 1 or (self.cells.parts[pivot] == 1 and len(all_) <= LIST):
+            self._list(all_, [pivot])
+        else:
+            self._lists(all_, at, [pivot])
+
+    def _lists(self, rows: np.ndarray, at: np.ndarray, pivots: list[int]) -> None:
+        """Lists of the vectors `rows`, which have `pivots`, the last one at place `at`."""
+        found = []
+        for place in range(len(pivots), self.cells.nearest - self.cells.shared + len(pivots) + 1):
+            behind = rows[at < place]
+            pivot = self.ranks[behind, place]
+            if len(pivots) == 1:
+                here = self.cells.of(pivots[0], pivot) == self.cell
+                behind, pivot = behind[here], pivot[here]
+            found.append((pivot, behind, np.full(len(behind), place)))
+        pivot, behind, place = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort([behind, pivot])
+        pivot, behind, place = pivot[order], behind[order], place[order]
+        cuts = np.flatnonzero(np.concatenate([[True], pivot[1:] != pivot[:-1], [True]])) if len(pivot) else []
+        for i, j in zip(cuts, cuts[1:]):
+            if j - i <= LIST or len(pivots) + 1 == self.cells.shared:
+                self._list(behind[i:j], [*pivots, int(pivot[i])])
+            else:
+                self._lists(behind[i:j], place[i:j], [*pivots, int(pivot[i])])
+
+    def _list(self, rows: np.ndarray, pivots: list[int]) -> None:
+        """Pairs of the vectors `rows` whose first shared pivots are `pivots`: these are compared in no other list."""
+        if len(rows) < 2:
+            return
+        before = np.zeros(self.held.shape[1], np.uint64)
+        for r in set(range(pivots[-1])) - set(pivots):
+            before[r >> 6] |= np.uint64(1) << np.uint64(r & 63)
+        held = self.held[rows]
+        early = held & before
+        parts = self.parts[rows].astype(np.float32)
+        may, sure = (np.float32((self.least + d) * STEPS**2) for d in (-self.cells.off, self.cells.off))
+        tiles = range(0, len(rows), TILE)
+        common = [np.bitwise_and.reduce(early[i : i + TILE], axis=0) for i in tiles]
+        for x, i in enumerate(tiles):
+            for y, j in list(enumerate(tiles))[x:]:
+                if (common[x] & common[y]).any():  # every pair belongs to an earlier list
+                    continue
+                product = parts[i : i + TILE] @ parts[j : j + TILE].T
+                a, b = np.nonzero(product >= may)
+                if i == j:
+                    a, b = a[a < b], b[a < b]
+                if not len(a):
+                    continue
+                cosine = product[a, b]
+                a, b = a + i, b + j
+                mine = ~(early[a] & early[b]).any(axis=1)
+                a, b, cosine = a[mine], b[mine], cosine[mine]
+                enough = np.bitwise_count(held[a] & held[b]).sum(axis=1) >= self.cells.shared
+                a, b, told = rows[a[enough]], rows[b[enough]], cosine[enough] >= sure
+                if not told.all():
+                    self.unsure.append(np.stack([self.cids[a[~told]], self.cids[b[~told]]]))
+                self._linked(a[told], b[told])
+
+    def _linked(self, a: np.ndarray, b: np.ndarray) -> None:
+        np.add.at(self.others, a, self.rows[b])
+        np.add.at(self.others, b, self.rows[a])
+        while len(a):
+            one, two = self._root(a), self._root(b)
+            apart = one != two
+            a, b, one, two = a[apart], b[apart], one[apart], two[apart]
+            np.minimum.at(self.root, np.maximum(one, two), np.minimum(one, two))
+
+    def _root(self, nodes: np.ndarray) -> np.ndarray:
+        root = self.root[nodes]
+        while ((above := self.root[root]) != root).any():
+            root = above
+        self.root[nodes] = root
+        return root
+
+    def found(self) -> pa.RecordBatch:
+        """Linked classes with another they are linked to, through others, and the rows they link with; and pairs not told."""
+        linked = np.flatnonzero(self.others)
+        a, b = np.concatenate([np.zeros((2, 0), np.int64), *self.unsure], axis=1)
+        columns = [
+            np.concatenate([self.cids[linked], a]),
+            np.concatenate([self.cids[self._root(linked)], b]),
+            np.concatenate([self.others[linked], np.zeros(len(a), np.int64)]),
+            np.arange(len(linked) + len(a)) < len(linked),
+        ]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], _LINKED)
+
+
+def _met(cells: Cells, least: float):
+    """What is found in each cell; the pieces of one follow each other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, pieces = None, []
+
+        def done() -> pa.RecordBatch:
+            cell = Cell(cells, now, pieces, least)
+            cell.compare()
+            return cell.found()
+
+        for batch in batches:
+            for at, *piece in zip(*(batch.column(c).to_pylist() for c in _PIECE)):
+                if at != now and pieces:
+                    yield done()
+                    pieces = []
+                now = at
+                pieces.append(tuple(piece))
+        if pieces:
+            yield done()
+
+    return run
 
 
 def _products(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -119,6 +333,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     names no component; alone in one, its component_id is null and it is kept.
     Other columns are ignored; an empty table gives an empty result.
     """
+    spark = vectors.sparkSession
     rows = vectors.select(
         F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")
     )
@@ -127,44 +342,45 @@ def near_vectors(vectors: DataFrame, least: float = 0.95) -> DataFrame:
         F.exists("embedding", lambda x: x != 0)
         & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     )
-    # distinct vectors make better reference points than copies
-    drawn = real.groupBy(F.xxhash64("embedding").alias("h")).agg(F.first("embedding").alias("embedding"))
+    # distinct vectors make better reference points than copies; only those drawn are sent
+    hashed = real.select(F.xxhash64("embedding").alias("h"), "embedding")
+    names = hashed.select("h").distinct().orderBy(F.hash("h"), "h").limit(SAMPLE)
+    drawn = hashed.join(F.broadcast(names), "h").groupBy("h").agg(F.first("embedding").alias("embedding"))
     sample = drawn.orderBy(F.hash("h"), "h").limit(SAMPLE).toArrow().column("embedding").combine_chunks()
-    pivots = spread(_matrix(sample, width)) if len(sample) else np.zeros((1, width))
 
-    indexed = freeze(
-        rows.mapInArrow(_indexed(pivots, width), "vec_id long, cid long, nearest array<int>, vector binary")
-    )
+    indexed = freeze(rows.mapInArrow(_indexed(width), "vec_id long, cid long"))
     sized = freeze(indexed.where("cid IS NOT NULL").groupBy("cid").agg(F.count("*").alias("rows"), F.min("vec_id").alias("rep")))
-    # what a class is described by is the same in all its rows
-    one = freeze(
-        indexed.where("cid IS NOT NULL")
-        .groupBy("cid")
-        .agg(F.min("vector").alias("vector"), F.min("nearest").alias("nearest"))
+    asked = _matrix(sample, width) if len(sample) else np.ones((1, width))
+    cells = Cells(spread(asked), _unit(asked)[1], sized.count())
+    folder = new_folder(spark, "vectors")
+    dealt = rows.select("embedding").mapInArrow(_dealt(cells), "cell long, cids binary, counts binary, ranks binary, components binary")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    met = written(
+        dealt.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(_met(cells, least), "a long, b long, others long, sure boolean"),
+        f"{folder}/met",
     )
-    entries = one.select("cid", "nearest").mapInArrow(_lists, "cid long, key long, pivots array<int>")
-    left = entries.select(F.col("key").alias("k"), F.col("cid").alias("a"), F.col("pivots").alias("p"))
-    right = entries.select(F.col("key").alias("l"), F.col("cid").alias("b"), F.col("pivots").alias("q"))
-    met = F.array_sort(F.array_intersect("p", "q"))
-    number = F.aggregate(F.slice(met, 1, SHARED), F.lit(0).cast("long"), lambda s, x: s * PIVOTS + x)
-    # a pair comes from the first of the lists it shares, and from no other
-    pairs = left.join(right, (F.col("k") == F.col("l")) & (F.col("a") < F.col("b")) & (F.col("k") == number))
-    by_a = one.select(F.col("cid").alias("a"), F.col("vector").alias("x"))
-    by_b = one.select(F.col("cid").alias("b"), F.col("vector").alias("y"))
+    # Spark deletes the shuffle's files once the driver's collector has found them without use
+    spark._jvm.java.lang.System.gc()
+
+    # what 16 bits don't tell
+    unsure = met.where("NOT sure").select("a", "b")
+    names = unsure.select(F.col("a").alias("cid")).union(unsure.select("b")).distinct()
+    exact = narrowed(rows.select("embedding").mapInArrow(_exact(width), "cid long, vector binary"), "cid", names, "cid")
+    exact = exact.join(names, "cid").dropDuplicates(["cid"])
+    by_a = exact.select(F.col("cid").alias("a"), F.col("vector").alias("x"))
+    by_b = exact.select(F.col("cid").alias("b"), F.col("vector").alias("y"))
     cosine = F.arrow_udf(_products, "double")
-    links = freeze(
-        pairs.select("a", "b").join(by_a, "a").join(by_b, "b").where(cosine("x", "y") >= least).select("a", "b")
-    )
-    both = links.union(links.select("b", "a"))
-    count = (
-        both.join(sized.select(F.col("cid").alias("b"), "rows"), "b").groupBy(F.col("a").alias("cid")).agg(F.sum("rows").alias("others"))
-    )
-    rooted = components(links).withColumnRenamed("node", "cid")
+    told = freeze(unsure.join(by_a, "a").join(by_b, "b").where(cosine("x", "y") >= least).select("a", "b"))
+    both = told.union(told.select("b", "a"))
+    others = both.join(sized.select(F.col("cid").alias("b"), "rows"), "b").select("a", F.col("rows").alias("others"))
+    count = met.where("sure").select("a", "others").union(others).groupBy(F.col("a").alias("cid")).agg(F.sum("others").alias("others"))
+    rooted = components(met.where("sure").select("a", "b").union(told)).withColumnRenamed("node", "cid")
     classes = freeze(
         sized.join(rooted, "cid", "left")
         .join(count, "cid", "left")
         .select("cid", "rep", F.coalesce("root", "cid").alias("root"), (F.col("rows") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     )
+    remove(spark, folder)
     named = classes.groupBy("root").agg(F.min("rep").alias("component_id"))
     return (
         indexed.select("vec_id", "cid")
