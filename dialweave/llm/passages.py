@@ -538,108 +538,179 @@ def _met(every: DataFrame, folder: str) -> DataFrame:
     return _written(windows.join(shared, "key").distinct(), folder)
 
 
-def _set_out(least: float):
-    """Distinct tokens of each context, their number, and how many of them an alike one has at least."""
+def _of_both(least: float) -> Column:
+    """Distinct tokens that alike passages have together at least, as they have `least` of these in common."""
+    return F.greatest(F.col("x_distinct"), F.col("y_distinct"), (F.col("x_distinct") + F.col("y_distinct")) / F.lit(1 + least)).alias("distinct")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(np.frombuffer(x, "<u4")).astype(np.int64) for x in batch.column("tokens").to_pylist()]
-            sizes = np.array([len(x) for x in sets], np.int64)
-            common = np.ceil(least * batch.column("distinct").to_numpy() - 1e-6).astype(np.int64)
-            columns = [*(batch.column(c).to_numpy() for c in ("key", "cid", "at")), sizes, common]
-            columns = [*(np.repeat(c, sizes) for c in columns), np.concatenate([*sets, np.zeros(0, np.int64)])]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], _SET)
 
-    return run
+class Crowd:
+    """Windows about one token, and the alike passages of those of large groups.
 
+    `rows` are cid, place, doc_id, first place and distinct tokens of the context, its tokens, and the groups of each window.
+    """
 
-_SET = ["key", "cid", "at", "size", "common", "token"]
+    def __init__(self, rows: list[tuple], width: int, least: float):
+        self.width, self.least = width, least
+        # nulls first; the smallest doc_id is met first
+        rows = sorted(rows, key=lambda r: (r[2] is not None, r[2], r[0], r[1]))
+        self.rows = rows
+        self.cid, self.at, self.first, self.distinct = (np.array([r[i] for r in rows], np.int64) for i in (0, 1, 3, 4))
+        self.tokens = [np.frombuffer(r[5], "<u4") for r in rows]
+        self.sets = [np.unique(t) for t in self.tokens]
+        self.spans: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.known: dict[tuple[int, int], tuple[bool, bool]] = {}
+        self.found: list[tuple] = []
+
+    def settle(self) -> list[tuple]:
+        groups: dict[int, list[int]] = {}
+        for i, r in enumerate(self.rows):
+            for key in r[6]:
+                groups.setdefault(key, []).append(i)
+        for _, members in sorted(groups.items()):
+            self._settle(np.array(members))
+        return self.found
+
+    def _settle(self, members: np.ndarray) -> None:
+        """In each of ROUNDS rounds a window of a text that did not lead yet, the one that repeats itself most, then of the
+        smallest doc_id, leads the group and is compared with those left in it. Windows alike to a leader are settled, and so
+        is such a leader; each of those left in the end is compared with all of the group until it is settled.
+        """
+        group = Group(self, members)
+        left, may_lead = np.ones(len(members), bool), np.ones(len(members), bool)
+        for n in range(ROUNDS + 1):
+            if not left.any():
+                return
+            if n == ROUNDS:
+                leads = np.flatnonzero(left).tolist()
+            else:
+                free = np.flatnonzero(may_lead)
+                leads = [int(free[np.argmin(group.distinct[free])])] if len(free) else []
+                may_lead &= group.cid != group.cid[leads[0]] if leads else True
+            for one in leads:
+                if n == ROUNDS and not left[one]:
+                    continue
+                for other in _may_be_alike(group, one, left if n < ROUNDS else None).tolist():
+                    mine, theirs = self._compared(int(members[one]), int(members[other]))
+                    left[one] &= not mine
+                    left[other] &= not theirs
+                    if n == ROUNDS and mine:
+                        break
+
+    def _compared(self, b: int, a: int) -> tuple[bool, bool]:
+        """Whether alike passages hold the places of two windows; the passages are kept."""
+        if (b, a) not in self.known:
+            distinct = max(self.distinct[a], self.distinct[b], (self.distinct[a] + self.distinct[b]) / (1 + self.least))
+            first, b_first = int(self.first[a]), int(self.first[b])
+            shift = int(self.at[b] - self.at[a]) - b_first + first
+            parts = alike_parts(self.tokens[a], self.tokens[b], self.width, self.least, shift, distinct)
+            at, b_at = int(self.at[a]) - first, int(self.at[b]) - b_first
+            held = any(k <= b_at <= l for _, _, k, l, _ in parts), any(i <= at <= j for i, j, *_ in parts)
+            self.known[b, a], self.known[a, b] = held, held[::-1]
+            one, two = self.rows[a][:3], self.rows[b][:3]
+            self.found += [(*one, *two, first + i, first + j, b_first + k, b_first + l, alike) for i, j, k, l, alike in parts]
+        return self.known[b, a]
+
+    def passages(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which of its distinct tokens are in each passage of a context, and how many; those in the same ones once."""
+        if i not in self.spans:
+            tokens = self.tokens[i]
+            edges = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1], [True]]))
+            at = np.searchsorted(self.sets[i], tokens[edges[:-1]])
+            before = np.zeros((len(edges), len(self.sets[i])), np.int16)
+            before[np.arange(1, len(edges)), at] = 1
+            before = np.cumsum(before, axis=0, dtype=np.int16)
+            one, two = np.nonzero(edges[None, 1:] - edges[:-1, None] >= self.width)
+            held = (before[two + 1] > before[one]).astype(np.float32)
+            self.spans[i] = held, held.sum(axis=1)
+        return self.spans[i]
+
+
+class Group:
+    """Windows of a crowd that share a run, by the tokens of their contexts."""
+
+    def __init__(self, crowd: Crowd, members: np.ndarray):
+        self.crowd, self.members = crowd, members
+        self.cid, self.distinct = crowd.cid[members], crowd.distinct[members]
+        sets = [crowd.sets[m] for m in members.tolist()]
+        self.ends = np.cumsum([len(x) for x in sets])
+        _, self.number, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(sets)), np.diff(self.ends, prepend=0))
+        self.holders = np.split(owner[np.argsort(self.number, kind="stable")], np.cumsum(counts)[:-1])
+
+    def shared(self, one: int) -> tuple[np.ndarray, np.ndarray]:
+        """Windows that hold tokens of a window, and the place of the token in its set, for each both have."""
+        numbers = self.number[(self.ends[one - 1] if one else 0) : self.ends[one]].tolist()
+        lists = [self.holders[n] for n in numbers]
+        return np.concatenate(lists), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+
+
+def _may_be_alike(group: Group, one: int, among: np.ndarray | None) -> np.ndarray:
+    """Windows of other texts of a group that may be alike to a window: each passage of its context shares too little with others.
+
+    Of two alike passages of c and d distinct tokens, at least `least` / (1 + `least`) of c + d are in both.
+    """
+    crowd, width, least = group.crowd, group.crowd.width, group.crowd.least
+    both = least / (1 + least)
+    other, place = group.shared(one)
+    mine, theirs = group.distinct[one], group.distinct
+    need = np.maximum(least * np.maximum(mine, theirs), both * (mine + theirs)) - SLACK
+    may = (np.bincount(other, minlength=len(theirs)) >= need) & (group.cid != group.cid[one])
+    found = np.flatnonzero(may if among is None else may & among)
+    own = int(group.members[one])
+    tokens, names = crowd.tokens[own], crowd.sets[own]
+    kept = []
+    # in parts, since each takes a row for every passage
+    for at in range(0, len(found), PART):
+        some = found[at : at + PART]
+        row = np.full(len(theirs), -1)
+        row[some] = np.arange(len(some))
+        inside = row[other] >= 0
+        held = np.zeros((len(some), len(names)), np.float32)
+        held[row[other[inside]], place[inside]] = 1
+        least_of = both * theirs[some] - SLACK
+        if len(names) == len(tokens):
+            before = np.zeros((len(some), len(tokens) + 1), np.float32)
+            np.cumsum(held[:, np.searchsorted(names, tokens)], axis=1, out=before[:, 1:])
+            over = before - np.float32(both) * np.arange(len(tokens) + 1, dtype=np.float32)
+            best = (over[:, width:] - np.minimum.accumulate(over[:, :-width], axis=1)).max(axis=1, initial=-np.inf)
+            kept.append(some[best >= least_of - ROUNDED])
+        else:
+            passages, sizes = crowd.passages(own)
+            met = held @ passages.T
+            enough = (met >= least * sizes - SLACK) & (met - both * sizes >= least_of[:, None] - ROUNDED)
+            kept.append(some[enough.any(axis=1)])
+    return np.concatenate([found[:0], *kept])
 
 
-def _of_both(least: float) -> Column:
-    """Distinct tokens that alike passages have together at least, as they have `least` of these in common."""
-    return F.greatest(F.col("x_distinct"), F.col("y_distinct"), (F.col("x_distinct") + F.col("y_distinct")) / F.lit(1 + least)).alias("distinct")
+#: Windows that are held against all passages of one at a time; for counts of single precision.
+PART, ROUNDED = 256, 1e-3
 
 
-def _may_be_alike(many: DataFrame, contexts: DataFrame, left: DataFrame, least: float, folder: str) -> DataFrame:
-    """Pairs of a window left and another of its group, that share one of the tokens rare in the group.
+def _settled(width: int, least: float):
+    """Alike passages of windows of large groups; those about one token follow each other."""
 
-    Alike contexts share `common` tokens, so each has a shared one besides its
-    `common` - 1 most frequent, and has so many tokens.
-    """
-    asked = many.join(left.select("key").distinct(), "key", "left_semi")
-    fewest = asked.groupBy("key").agg(F.min("distinct").alias("y_distinct"))
-    asked = asked.withColumnRenamed("distinct", "x_distinct").join(fewest, "key").select("key", "cid", "at", _of_both(least))
-    asked = asked.join(contexts.select("cid", "at", "tokens"), ["cid", "at"])
-    sets = _written(
-        asked.select("key", "cid", "at", "distinct", "tokens").mapInArrow(_set_out(least), ", ".join(f"{c} long" for c in _SET)), f"{folder}/sets"
-    )
-    counts = sets.groupBy("key", "token").agg(F.count("*").alias("n")).where("n > 1")
-    place = F.row_number().over(Window.partitionBy("key", "cid", "at").orderBy(F.desc("n"), "token"))
-    rare = sets.join(counts, ["key", "token"]).withColumn("place", place).where("place >= common").drop("place", "n")
-    rare = _written(rare, f"{folder}/rare")
-    _remove(many.sparkSession, f"{folder}/sets")
-    leads = rare.join(left, ["key", "cid", "at"], "left_semi").select("key", "token", *(F.col(c).alias(f"b_{c}") for c in _SET[1:5]))
-    both = rare.join(leads, ["key", "token"]).where("cid <> b_cid AND size >= b_common AND b_size >= common")
-    # either side may be left, and windows meet in several groups; a pair is compared once
-    pair = both.selectExpr(
-        "least(cid, b_cid) AS a", "if(cid < b_cid, at, b_at) AS at", "greatest(cid, b_cid) AS b", "if(cid < b_cid, b_at, at) AS b_at"
-    )
-    return pair.distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
 
+        def done() -> pa.RecordBatch:
+            out = Crowd(rows, width, least).settle()
+            kinds = [pa.int64()] * 10 + [pa.float64()]
+            return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], _ALIKE)
 
-def _compared(pairs: DataFrame, contexts: DataFrame, width: int, least: float, folder: str) -> DataFrame:
-    """Alike passages of pairs (a, at, b, b_at) of windows."""
-    mine, theirs = (
-        contexts.select(*(F.col(c).alias(n) for c, n in zip(("cid", "at", "doc_id", "first", "distinct", "tokens"), names)))
-        for names in (("a", "at", "a_doc", "first", "x_distinct", "x"), ("b", "b_at", "b_doc", "b_first", "y_distinct", "y"))
-    )
-    laid = pairs.join(mine, ["a", "at"]).join(theirs, ["b", "b_at"]).select(
-        *_LAID[:8],
-        F.expr("(b_at - b_first) - (at - first)").alias("shift"),
-        _of_both(least),
-        "x",
-        "y",
-    )
-    # in many tasks, since this takes time by rows rather than by bytes
-    files = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return _written(laid.repartition(files).mapInArrow(_verified(width, least), _ALIKE_TYPES), folder)
+        for batch in batches:
+            for token, *row in zip(*(batch.column(c).to_pylist() for c in _CROWD)):
+                if token != now and rows:
+                    yield done()
+                    rows = []
+                now = token
+                rows.append(tuple(row))
+        if rows:
+            yield done()
 
+    return run
 
-def _by_rounds(many: DataFrame, contexts: DataFrame, width: int, least: float, folder: str) -> DataFrame | None:
-    """Alike passages of large groups `many` (key, cid, at); `contexts` has cid, at, doc_id, first, distinct and tokens.
 
-    In each of ROUNDS rounds a window of a text that did not lead yet, the one that repeats itself most, then of the
-    smallest doc_id, leads its group and is compared with those left in it. Windows alike to a leader are settled, and so is
-    such a leader; those left in the end are compared with every one of the group they may be alike to.
-    """
-    names = ["key", "cid", "at"]
-    found, led = None, None
-    left = many = _written(many.join(contexts.select("cid", "at", "distinct", "doc_id"), ["cid", "at"]), f"{folder}/left")
-    for n in range(ROUNDS + 1):
-        if left.isEmpty():
-            break
-        if n < ROUNDS:
-            may_lead = many.join(left.select("key").distinct(), "key", "left_semi") if n else many
-            if led is not None:
-                may_lead = may_lead.join(led, ["key", "cid"], "left_anti")
-            lead = may_lead.groupBy("key").agg(F.min(F.struct("distinct", "doc_id", "cid", "at")).alias("f"))
-            lead = _written(lead.select("key", F.col("f.cid").alias("b"), F.col("f.at").alias("b_at")), f"{folder}/lead-{n}")
-            now = lead.select("key", F.col("b").alias("cid"))
-            led = now if led is None else led.union(now)
-            met = left.select("key", F.col("cid").alias("a"), "at").join(lead, "key").where("a <> b")
-            # windows meet in several groups, and are compared once
-            pairs = met.select("a", "at", "b", "b_at").distinct()
-        else:
-            pairs = _written(_may_be_alike(many, contexts, left.select(*names), least, folder), f"{folder}/may")
-        alike = _compared(pairs, contexts, width, least, f"{folder}/round-{n}")
-        found = alike if found is None else found.union(alike)
-        if n < ROUNDS:
-            about = met.join(alike.drop("a_doc", "b_doc"), ["a", "at", "b", "b_at"])
-            settled = about.where("first <= at AND at <= last").select("key", F.col("a").alias("cid"), "at")
-            settled = settled.union(about.where("b_first <= b_at AND b_at <= b_last").select("key", "b", "b_at"))
-            left = _written(left.join(settled.distinct(), names, "left_anti"), f"{folder}/left-{n}")
-    return found
+_CROWD = ["token", "cid", "at", "doc_id", "first", "distinct", "tokens", "keys"]
 
 
 def repeated_passages(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -682,7 +753,7 @@ def repeated_passages(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
         F.when(F.expr(e) != 0, F.array(F.xxhash64("key", F.lit(i), F.expr(e)))).otherwise(F.array().cast("array<long>"))
         for i, e in enumerate(_RUNS)
     ]
-    around = windows.select(F.explode(F.concat(*runs)).alias("key"), "cid", F.col("place").alias("at"))
+    around = windows.select(F.explode(F.concat(*runs)).alias("key"), "cid", F.col("place").alias("at"), F.col("key").alias("token"))
     counted = around.groupBy("key").agg(F.count("*").alias("n"), F.min("cid").alias("lo"), F.max("cid").alias("hi"))
     counted = _written(counted.where("lo <> hi").select("key", "n"), f"{folder}/groups")
     grouped = _written(around.join(counted, "key"), f"{folder}/grouped")
@@ -717,9 +788,8 @@ def repeated_passages(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
         ),
         f"{folder}/pairs",
     )
-    many = grouped.where(F.col("n") > GROUP).select(
-        "key", "cid", "at", F.expr(f"greatest(0, at - {reach})").alias("first"), F.expr(f"at + {reach}").alias("last")
-    )
+    many = grouped.where(F.col("n") > GROUP).groupBy("token", "cid", "at").agg(F.collect_list("key").alias("keys"))
+    many = many.withColumns({"first": F.expr(f"greatest(0, at - {reach})"), "last": F.expr(f"at + {reach}")})
     sides = pairs.select(F.col("a").alias("cid"), "first", "last").union(pairs.select("b", "b_first", "b_last"))
     sides = sides.union(many.select("cid", "first", "last")).distinct()
     asked = (
@@ -732,10 +802,12 @@ def repeated_passages(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
         sources.mapInArrow(_cut_out(width), "cid long, doc_id long, first long, last long, distinct long, tokens binary").dropDuplicates(["cid", "first", "last"]),
         f"{folder}/cut",
     )
-    members_of = many.select("cid", "at", "first", "last").distinct()
-    contexts = _written(members_of.join(cut, ["cid", "first", "last"]).select("cid", "at", "doc_id", "first", "distinct", "tokens"), f"{folder}/contexts")
-    many = _written(many.select("key", "cid", "at"), f"{folder}/many")
+    crowds = many.join(cut, ["cid", "first", "last"]).select(*_CROWD)
     files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rounds = _written(
+        crowds.repartition(files, "token").sortWithinPartitions("token").mapInArrow(_settled(width, percent / 100), _ALIKE_TYPES),
+        f"{folder}/rounds",
+    )
     mine = cut.select(F.col("cid").alias("a"), F.col("doc_id").alias("a_doc"), "first", "last", F.col("distinct").alias("x_distinct"), F.col("tokens").alias("x"))
     theirs = cut.select(
         F.col("cid").alias("b"),
@@ -761,8 +833,7 @@ def repeated_passages(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
     )
     for name in ("groups", "grouped", "pairs", "cut"):
         _remove(spark, f"{folder}/{name}")
-    rounds = _by_rounds(many, contexts, width, percent / 100, folder)
-    found = alike if rounds is None else alike.union(rounds)
+    found = alike.union(rounds)
     spans = found.select(F.col("a").alias("cid"), "first", "last", F.col("b_doc").alias("other"), "similarity").union(
         found.select("b", "b_first", "b_last", "a_doc", "similarity")
     )
