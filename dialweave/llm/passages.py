@@ -19,8 +19,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Iterator
-from functools import cached_property
-from itertools import accumulate
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -238,6 +237,148 @@ def _windows(words_least: int, width: int):
     return run
 
 
+#: Windows that a task holds before it sends them on; parts for each task that groups them.
+HELD, PARTS = 1 << 17, 4
+
+
+def _packs(rows: np.ndarray, by: np.ndarray, parts: int) -> list[pa.Array]:
+    """Numbers of parts, and the rows of each in one value; rows with the same number in `by` are in one part."""
+    part = (mixed(by.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    numbers, starts = np.unique(part[order], return_index=True)
+    packs = [rows[x].tobytes() for x in np.split(order, starts[1:])] if len(starts) else []
+    return [pa.array(numbers, pa.int64()), pa.array(packs, pa.binary())]
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[np.ndarray]:
+    """The rows of each part; those of one follow each other."""
+    now, pieces = None, []
+    for batch in batches:
+        for part, pack in zip(batch.column("part").to_pylist(), batch.column("packed").to_pylist()):
+            if part != now and pieces:
+                yield np.frombuffer(b"".join(pieces), np.int64).reshape(-1, columns)
+                pieces = []
+            now = part
+            pieces.append(pack)
+    if pieces:
+        yield np.frombuffer(b"".join(pieces), np.int64).reshape(-1, columns)
+
+
+def _packed(words_least: int, width: int, parts: int):
+    """Windows in a few rows (part, packed), those of one key in one part, and the lengths of a text in one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def sent() -> pa.RecordBatch:
+            rows = np.concatenate(held)
+            held.clear()
+            by = np.where(rows[:, 0] < 0, rows[:, 2], rows[:, 1])
+            return pa.RecordBatch.from_arrays(_packs(rows, by, parts), ["part", "packed"])
+
+        for batch in _windows(words_least, width)(batches):
+            held.append(np.stack([batch.column(c).to_numpy() for c in _WINDOW], axis=1))
+            if sum(map(len, held)) >= HELD:
+                yield sent()
+        if held:
+            yield sent()
+
+    return run
+
+
+def _segments(values: np.ndarray, cid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, end) of the stretches of equal sorted values that are of two texts at least; texts are sorted within."""
+    edges = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1], [True]])) if len(values) else np.zeros(1, np.int64)
+    first, end = edges[:-1], edges[1:]
+    two = cid[first] != cid[end - 1]
+    return first[two], end[two]
+
+
+def _spread(first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The places of all stretches."""
+    sizes = end - first
+    return np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
+def grouped_windows(rows: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What the windows of a part have in common.
+
+    That are texts and their numbers of words; pairs of windows (texts, diagonal, place in the first) of groups of
+    `most` at most; windows (token, text, place) of larger ones, and the group.
+    """
+    sizes = np.unique(rows[rows[:, 0] < 0][:, 2:4], axis=0)
+    rows = rows[rows[:, 0] == 0]
+    rows = rows[np.lexsort([rows[:, 3], rows[:, 2], rows[:, 1]])]
+    # equal texts have the same windows
+    rows = rows[np.concatenate([[True], (rows[1:, 1:4] != rows[:-1, 1:4]).any(axis=1)])] if len(rows) else rows
+    rows = rows[_spread(*_segments(rows[:, 1], rows[:, 2]))]
+    halves = rows[:, 4:].copy().view("<u4").astype(np.uint64)
+    window, place = np.nonzero(halves)
+    # a run holds the window's token, so with its key 32 bits of the run tell it
+    named = halves[window, place] << np.uint64(3) | place.astype(np.uint64)
+    group = mixed(mixed(named) + rows[window, 1].view(np.uint64)).view(np.int64)
+    order = np.lexsort([window, group])
+    window, group = window[order], group[order]
+    first, end = _segments(group, rows[window, 2])
+    large = end - first > most
+    found = _spread(first[large], end[large])
+    crowds = np.stack([*rows[window[found], 1:4].T, group[found]], axis=1)
+    pairs = [np.zeros((0, 2), np.int64)]
+    for n in range(2, most + 1 if not large.all() else 0):
+        if n > int((end - first)[~large].max(initial=0)):
+            break
+        members = window[first[end - first == n][:, None] + np.arange(n)]
+        one, two = np.triu_indices(n, 1)
+        pairs.append(np.stack([members[:, one].ravel(), members[:, two].ravel()], axis=1))
+    # a pair shares several runs; windows are in the order of their texts
+    a, b = np.unique(np.concatenate(pairs), axis=0).T
+    a, b = a[rows[a, 2] != rows[b, 2]], b[rows[a, 2] != rows[b, 2]]
+    return sizes, np.stack([rows[a, 2], rows[b, 2], rows[a, 3] - rows[b, 3], rows[a, 3]], axis=1), crowds
+
+
+#: `kind` -1 is a text and its length, 0 the packed pairs of a part, 1 a window of a large group and its token as part.
+_GROUPED = [*((c, pa.int64()) for c in ("kind", "cid", "part", "at", "key")), ("packed", pa.binary())]
+_GROUPED_TYPES = "kind long, cid long, part long, at long, key long, packed binary"
+
+
+def _grouped(most: int, parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _unpacked(batches, len(_WINDOW)):
+            sizes, pairs, crowds = grouped_windows(rows, most)
+            numbers, packs = _packs(pairs, pairs[:, 0] + mixed(pairs[:, 1].view(np.uint64)).view(np.int64), parts)
+            for kind, n, columns in (
+                (-1, len(sizes), {"cid": sizes[:, 0], "at": sizes[:, 1]}),
+                (0, len(numbers), {"part": numbers, "packed": packs}),
+                (1, len(crowds), dict(zip(("part", "cid", "at", "key"), crowds.T))),
+            ):
+                columns["kind"] = np.full(n, kind)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(columns[c]) if c in columns else pa.nulls(n, t) for c, t in _GROUPED], [c for c, _ in _GROUPED]
+                )
+
+    return run
+
+
+def _stretches(reach: int):
+    """Places on one diagonal whose surroundings overlap are one stretch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _unpacked(batches, 4):
+            a, b, diagonal, at = rows[np.lexsort(rows.T[::-1])].T
+            opens = np.ones(len(a), bool)
+            opens[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (diagonal[1:] != diagonal[:-1]) | (at[1:] - at[:-1] > 2 * reach)
+            starts = np.flatnonzero(opens)
+            begin, end = at[starts], at[np.concatenate([starts[1:], [len(a)]]) - 1]
+            a, b, diagonal = a[starts], b[starts], diagonal[starts]
+            ends = [np.maximum(0, begin - reach), end + reach, np.maximum(0, begin - diagonal - reach), end - diagonal + reach]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (a, b, diagonal, *ends)], _PAIR)
+
+    return run
+
+
+_PAIR = ["a", "b", "diagonal", "first", "last", "b_first", "b_last"]
+
+
 def _cut_out(width: int):
     """Tokens of stretches that reach `width` + GAP to either side of the places of windows."""
 
@@ -263,6 +404,15 @@ def _cut_out(width: int):
 _CUT = ["cid", "doc_id", "first", "last", "distinct", "tokens"]
 
 
+@lru_cache(4)
+def _needs(width: int, least: float) -> np.ndarray:
+    """Tokens of the other's that the run from each place to each place `width` or more behind has at least, if alike to one."""
+    places = np.arange(BLOCKED)
+    size = places[width:] - places[:-width, None]
+    need = np.maximum(least * size, least / (1 + least) * (size + width)) - SLACK
+    return np.where(size >= width, need, np.inf)
+
+
 class Stretches:
     """Two stretches, and how many tokens before each place of the one stand in the other, where it repeats none."""
 
@@ -271,13 +421,21 @@ class Stretches:
         self.one, self.two = set(self.x), set(self.y)
         self.common = len(self.one & self.two)
 
+    @cached_property
+    def x_inside(self) -> np.ndarray:
+        return np.fromiter(map(self.two.__contains__, self.x), bool, len(self.x))
+
+    @cached_property
+    def y_inside(self) -> np.ndarray:
+        return np.fromiter(map(self.one.__contains__, self.y), bool, len(self.y))
+
     @cached_property
     def x_held(self) -> list[int] | None:
-        return list(accumulate(map(self.two.__contains__, self.x), initial=0)) if len(self.one) == len(self.x) else None
+        return [0, *np.cumsum(self.x_inside).tolist()] if len(self.one) == len(self.x) else None
 
     @cached_property
     def y_held(self) -> list[int] | None:
-        return list(accumulate(map(self.one.__contains__, self.y), initial=0)) if len(self.two) == len(self.y) else None
+        return [0, *np.cumsum(self.y_inside).tolist()] if len(self.two) == len(self.y) else None
 
     def similarity(self, a: int, b: int, c: int, d: int) -> float:
         """Of the sets of x[a:b] and y[c:d]."""
@@ -296,19 +454,16 @@ class Stretches:
 
         That is `least` of its own, and of what both have together.
         """
-        both = least / (1 + least) if self.x_held is not None and self.y_held is not None else 0.0
+        both = self.x_held is not None and self.y_held is not None
         for held in (self.x_held, self.y_held):
             if held is None:
                 continue
-            at, places = np.array(held, float), np.arange(len(held))
-            over = at - least * places
+            at = np.array(held, float)
+            over = at - least * np.arange(len(held))
             if not (over[width:] >= np.minimum.accumulate(over[:-width]) - SLACK).any():
                 return False
-            if both and len(held) <= BLOCKED:
-                size = places[width:] - places[:-width, None]
-                need = np.maximum(least * size, both * (size + width)) - SLACK
-                if not ((at[width:] - at[:-width, None] >= need) & (size >= width)).any():
-                    return False
+            if both and len(held) <= BLOCKED and not (at[width:] - at[:-width, None] >= _needs(width, least)[: len(held) - width, : len(held) - width]).any():
+                return False
         return True
 
 
@@ -342,8 +497,8 @@ APART, RUN = 6, 3
 CHAIN = 400
 
 
-def _chains(x: np.ndarray, y: np.ndarray, shift: int) -> Iterator[list[tuple[int, int, int]]]:
-    """Runs of equal tokens (first, end, shift) in a row, on diagonals near `shift`, with GAP tokens at most between them."""
+def _chains(x: np.ndarray, y: np.ndarray, shift: int, common: float) -> Iterator[list[tuple[int, int, int]]]:
+    """Runs of equal tokens (first, end, shift) in a row, on diagonals near `shift`, with GAP tokens at most between them; none if all have less than `common` tokens."""
     low, high = max(0, -shift - APART), min(len(x), len(y) - shift + APART)
     if high - low < RUN:
         return
@@ -355,6 +510,8 @@ def _chains(x: np.ndarray, y: np.ndarray, shift: int) -> Iterator[list[tuple[int
     edges = np.flatnonzero(np.diff(equal.ravel()))
     begin, stop = edges[::2], edges[1::2]
     wide = stop - begin >= RUN
+    if (stop - begin)[wide].sum() < common:
+        return
     diagonal, first = np.divmod(begin[wide], width + 2)
     first += low
     runs = list(zip(first.tolist(), (first + stop[wide] - begin[wide]).tolist(), (diagonal + shift - APART).tolist()))
@@ -395,6 +552,8 @@ def _alike_runs(two: Stretches, chain: list[tuple[int, int, int]], width: int, l
     whole = (chain[0][0], max(j for _, j, _ in chain), chain[0][0] + chain[0][2], max(j + s for _, j, s in chain))
     if part := _widened(two, *whole, width, least):
         return [part]
+    if len(chain) == 1:
+        return []
     runs = np.array(chain)
     first, end = runs[:, 0], np.maximum.accumulate(runs[:, 1])
     b_first, b_end = (runs[:, 0] + runs[:, 2]), np.maximum.accumulate(runs[:, 1] + runs[:, 2])
@@ -424,9 +583,10 @@ def moved_parts(
     """(first, last, first, last, similarity) of alike passages whose equal tokens stand in the same order, about the diagonal `shift`."""
     found = []
     two = two or Stretches(x, y)
-    for chain in _chains(x, y, shift):
-        # alike passages have no less in common, but for runs shorter than RUN
-        if sum(j - i for i, j, _ in chain) + 2 * RUN < 2 * least / (1 + least) * width:
+    # alike passages have no less in common, but for runs shorter than RUN
+    common = 2 * least / (1 + least) * width - 2 * RUN
+    for chain in _chains(x, y, shift, common):
+        if sum(j - i for i, j, _ in chain) < common:
             continue
         for at in range(0, max(1, len(chain) - CHAIN // 2), CHAIN // 2):
             found += _alike_runs(two, chain[at : at + CHAIN], width, least)
@@ -436,13 +596,13 @@ def moved_parts(
 def loose_parts(x: np.ndarray, y: np.ndarray, width: int, least: float, two: Stretches) -> list[tuple[int, int, int, int, float]]:
     """As `moved_parts`, where the common tokens stand in any order or are repeated."""
 
-    def parts(of: np.ndarray, others: np.ndarray) -> list[np.ndarray]:
-        held = np.flatnonzero(np.isin(of, others))
+    def parts(inside: np.ndarray) -> list[np.ndarray]:
+        held = np.flatnonzero(inside)
         return np.split(held, np.flatnonzero(np.diff(held) > GAP + 1) + 1) if len(held) else []
 
     found = []
-    theirs = parts(y, x)
-    for mine in parts(x, y):
+    theirs = parts(two.y_inside)
+    for mine in parts(two.x_inside):
         for other in theirs:
             part = _widened(two, int(mine[0]), int(mine[-1]) + 1, int(other[0]), int(other[-1]) + 1, width, least)
             if part:
@@ -525,17 +685,8 @@ def _remove(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: The runs out of their pairs.
-_RUNS = [e.format(i) for i in range(PLACES // 2) for e in ("runs_{} & 4294967295", "shiftrightunsigned(runs_{}, 32)")]
-
-
-def _met(every: DataFrame, folder: str) -> DataFrame:
-    """Windows whose hash stands in two texts at least."""
-    windows = every.where("part = 0").drop("part")
-    # written, since Spark splits a hot key only in a join right behind two exchanges
-    ends = windows.groupBy("key").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"))
-    shared = _written(ends.where("lo <> hi").select("key"), f"{folder}-keys")
-    return _written(windows.join(shared, "key").distinct(), folder)
+def _by_part(packed: DataFrame, tasks: int) -> DataFrame:
+    return packed.repartition(tasks, "part").sortWithinPartitions("part")
 
 
 def _of_both(least: float) -> Column:
@@ -743,52 +894,17 @@ def repeated_passages(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
     # written, so that the shuffles of one step are gone before the next
     spark = docs.sparkSession
     folder = f"{shared_dir(spark)}/passages-{uuid.uuid4().hex}"
-    columns = ", ".join(f"{c} long" for c in _WINDOW)
-    every = _written(texts.select("cid", "text").mapInArrow(_windows(words, run), columns), f"{folder}/windows")
-    lengths = freeze(every.where("part = -1").select("cid", F.col("place").alias("size")).distinct())
-    windows = _met(every, f"{folder}/met")
-    _remove(spark, f"{folder}/windows")
-    # a run holds the window's token, so with its key 32 bits of the run tell it
-    runs = [
-        F.when(F.expr(e) != 0, F.array(F.xxhash64("key", F.lit(i), F.expr(e)))).otherwise(F.array().cast("array<long>"))
-        for i, e in enumerate(_RUNS)
-    ]
-    around = windows.select(F.explode(F.concat(*runs)).alias("key"), "cid", F.col("place").alias("at"), F.col("key").alias("token"))
-    counted = around.groupBy("key").agg(F.count("*").alias("n"), F.min("cid").alias("lo"), F.max("cid").alias("hi"))
-    counted = _written(counted.where("lo <> hi").select("key", "n"), f"{folder}/groups")
-    grouped = _written(around.join(counted, "key"), f"{folder}/grouped")
-    _remove(spark, f"{folder}/met")
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
     reach = width + GAP
-    few = grouped.where(F.col("n") <= GROUP)
-    laid = (
-        few.select("key", F.col("cid").alias("a"), "at")
-        .join(few.select("key", F.col("cid").alias("b"), F.col("at").alias("b_at")), "key")
-        .where("a < b")
-        .select("a", "b", (F.col("at") - F.col("b_at")).alias("diagonal"), "at")
-    )
-    # places on one diagonal whose surroundings overlap are one stretch
-    along = Window.partitionBy("a", "b", "diagonal").orderBy("at")
-    opens = F.when(F.col("at") - F.lag("at").over(along) <= 2 * reach, 0).otherwise(1)
-    joined = (
-        laid.distinct()
-        .withColumn("opens", opens)
-        .withColumn("part", F.sum("opens").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy("a", "b", "diagonal", "part")
-        .agg(F.min("at").alias("begin"), F.max("at").alias("end"))
-    )
+    packed = texts.select("cid", "text").mapInArrow(_packed(words, run, PARTS * files), "part long, packed binary")
+    grouped = _written(_by_part(packed, files).mapInArrow(_grouped(GROUP, PARTS * files), _GROUPED_TYPES), f"{folder}/grouped")
+    lengths = freeze(grouped.where("kind = -1").select("cid", F.col("at").alias("size")))
     pairs = _written(
-        joined.select(
-            "a",
-            "b",
-            "diagonal",
-            F.expr(f"greatest(0, begin - {reach})").alias("first"),
-            F.expr(f"end + {reach}").alias("last"),
-            F.expr(f"greatest(0, begin - diagonal - {reach})").alias("b_first"),
-            F.expr(f"end - diagonal + {reach}").alias("b_last"),
-        ),
+        _by_part(grouped.where("kind = 0").select("part", "packed"), files).mapInArrow(_stretches(reach), ", ".join(f"{c} long" for c in _PAIR)),
         f"{folder}/pairs",
     )
-    many = grouped.where(F.col("n") > GROUP).groupBy("token", "cid", "at").agg(F.collect_list("key").alias("keys"))
+    many = grouped.where("kind = 1").select(F.col("part").alias("token"), "cid", "at", "key")
+    many = many.groupBy("token", "cid", "at").agg(F.collect_list("key").alias("keys"))
     many = many.withColumns({"first": F.expr(f"greatest(0, at - {reach})"), "last": F.expr(f"at + {reach}")})
     sides = pairs.select(F.col("a").alias("cid"), "first", "last").union(pairs.select("b", "b_first", "b_last"))
     sides = sides.union(many.select("cid", "first", "last")).distinct()
@@ -803,7 +919,6 @@ def repeated_passages(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
         f"{folder}/cut",
     )
     crowds = many.join(cut, ["cid", "first", "last"]).select(*_CROWD)
-    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rounds = _written(
         crowds.repartition(files, "token").sortWithinPartitions("token").mapInArrow(_settled(width, percent / 100), _ALIKE_TYPES),
         f"{folder}/rounds",
@@ -831,7 +946,7 @@ def repeated_passages(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
         .mapInArrow(_verified(width, percent / 100), _ALIKE_TYPES),
         f"{folder}/alike",
     )
-    for name in ("groups", "grouped", "pairs", "cut"):
+    for name in ("grouped", "pairs", "cut"):
         _remove(spark, f"{folder}/{name}")
     found = alike.union(rounds)
     spans = found.select(F.col("a").alias("cid"), "first", "last", F.col("b_doc").alias("other"), "similarity").union(
