@@ -23,6 +23,7 @@ from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import as_strided
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -473,7 +474,7 @@ SLACK, BLOCKED = 1e-6, 250
 
 def least_distinct(tokens: np.ndarray, width: int, begin: int = 0, end: int | None = None) -> int:
     """Distinct tokens of that run of `width`, of those that begin from `begin` to `end`, that has the fewest."""
-    if len(tokens) < width:
+    if len(tokens) < width or len(set(tokens.tolist())) == len(tokens):
         return width
     order = np.argsort(tokens, kind="stable")
     again = np.flatnonzero(tokens[order[1:]] == tokens[order[:-1]])
@@ -503,11 +504,14 @@ def _chains(x: np.ndarray, y: np.ndarray, shift: int, common: float) -> Iterator
     if high - low < RUN:
         return
     width = high - low
-    # y about each diagonal, and whether there is a y
-    at = np.arange(low, high) + shift + np.arange(-APART, APART + 1)[:, None]
-    equal = np.zeros((2 * APART + 1, width + 2), np.int8)
-    equal[:, 1:-1] = (y[np.clip(at, 0, len(y) - 1)] == x[low:high]) & (at >= 0) & (at < len(y))
-    edges = np.flatnonzero(np.diff(equal.ravel()))
+    # y about each diagonal, or what no token is
+    at = low + shift - APART
+    near = np.full(width + 2 * APART, -1, np.int64)
+    near[max(0, -at) : max(0, len(y) - at)] = y[max(0, at) : max(0, at + len(near))]
+    equal = np.zeros((2 * APART + 1, width + 2), bool)
+    np.equal(as_strided(near, (2 * APART + 1, width), 2 * near.strides), x[low:high], out=equal[:, 1:-1])
+    flat = equal.ravel()
+    edges = (flat[1:] != flat[:-1]).nonzero()[0]
     begin, stop = edges[::2], edges[1::2]
     wide = stop - begin >= RUN
     if (stop - begin)[wide].sum() < common:
@@ -596,15 +600,18 @@ def moved_parts(
 def loose_parts(x: np.ndarray, y: np.ndarray, width: int, least: float, two: Stretches) -> list[tuple[int, int, int, int, float]]:
     """As `moved_parts`, where the common tokens stand in any order or are repeated."""
 
-    def parts(inside: np.ndarray) -> list[np.ndarray]:
-        held = np.flatnonzero(inside)
-        return np.split(held, np.flatnonzero(np.diff(held) > GAP + 1) + 1) if len(held) else []
+    def parts(inside: np.ndarray) -> list[tuple[int, int]]:
+        held = inside.nonzero()[0]
+        if not len(held):
+            return []
+        cuts = (held[1:] - held[:-1] > GAP + 1).nonzero()[0]
+        return list(zip([int(held[0]), *held[cuts + 1].tolist()], [*(held[cuts] + 1).tolist(), int(held[-1]) + 1]))
 
     found = []
     theirs = parts(two.y_inside)
     for mine in parts(two.x_inside):
         for other in theirs:
-            part = _widened(two, int(mine[0]), int(mine[-1]) + 1, int(other[0]), int(other[-1]) + 1, width, least)
+            part = _widened(two, *mine, *other, width, least)
             if part:
                 found.append(part)
     return found
@@ -613,11 +620,11 @@ def loose_parts(x: np.ndarray, y: np.ndarray, width: int, least: float, two: Str
 def straight_parts(x: np.ndarray, y: np.ndarray, width: int, least: float, shift: int, two: Stretches) -> list[tuple[int, int, int, int, float]]:
     """As `moved_parts`, on the diagonal `shift` alone; none where tokens beside a part may belong to it as well."""
     low, high = max(0, -shift), min(len(x), len(y) - shift)
-    equal = np.flatnonzero(x[low:high] == y[low + shift : high + shift]) + low if high > low else np.zeros(0, np.int64)
+    equal = (x[low:high] == y[low + shift : high + shift]).nonzero()[0] + low if high > low else np.zeros(0, np.int64)
     if not len(equal):
         return []
     found, reach = [], 2 * GAP + SHINGLE
-    cuts = np.flatnonzero(np.diff(equal) > GAP + 1) + 1
+    cuts = (equal[1:] - equal[:-1] > GAP + 1).nonzero()[0] + 1
     for begin, stop in zip([0, *cuts.tolist()], [*cuts.tolist(), len(equal)]):
         i, j = int(equal[begin]), int(equal[stop - 1]) + 1
         if j - i < width and stop - begin + 2 * RUN < 2 * least / (1 + least) * width:
@@ -710,6 +717,9 @@ class Crowd:
         self.sets = [np.unique(t) for t in self.tokens]
         self.spans: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.known: dict[tuple[int, int], tuple[bool, bool]] = {}
+        contexts: dict[bytes, int] = {}
+        self.context = [contexts.setdefault(r[5], len(contexts)) for r in rows]
+        self.parts: dict[tuple, list[tuple[int, int, int, int, float]]] = {}
         self.found: list[tuple] = []
 
     def settle(self) -> list[tuple]:
@@ -753,7 +763,10 @@ class Crowd:
             distinct = max(self.distinct[a], self.distinct[b], (self.distinct[a] + self.distinct[b]) / (1 + self.least))
             first, b_first = int(self.first[a]), int(self.first[b])
             shift = int(self.at[b] - self.at[a]) - b_first + first
-            parts = alike_parts(self.tokens[a], self.tokens[b], self.width, self.least, shift, distinct)
+            # many copies have the same contexts
+            same = self.context[a], self.context[b], shift, distinct
+            if (parts := self.parts.get(same)) is None:
+                parts = self.parts[same] = alike_parts(self.tokens[a], self.tokens[b], self.width, self.least, shift, distinct)
             at, b_at = int(self.at[a]) - first, int(self.at[b]) - b_first
             held = any(k <= b_at <= l for _, _, k, l, _ in parts), any(i <= at <= j for i, j, *_ in parts)
             self.known[b, a], self.known[a, b] = held, held[::-1]
