@@ -715,7 +715,9 @@ class Crowd:
         self.cid, self.at, self.first, self.distinct = (np.array([r[i] for r in rows], np.int64) for i in (0, 1, 3, 4))
         self.tokens = [np.frombuffer(r[5], "<u4") for r in rows]
         self.sets = [np.unique(t) for t in self.tokens]
-        self.spans: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.spans: dict[int, Passages] = {}
+        self.spans_size = 0
+        self.apart: set[tuple[int, int]] = set()
         self.known: dict[tuple[int, int], tuple[bool, bool]] = {}
         contexts: dict[bytes, int] = {}
         self.context = [contexts.setdefault(r[5], len(contexts)) for r in rows]
@@ -750,7 +752,7 @@ class Crowd:
             for one in leads:
                 if n == ROUNDS and not left[one]:
                     continue
-                for other in _may_be_alike(group, one, left if n < ROUNDS else None).tolist():
+                for other in _may_be_alike(group, one, left if n < ROUNDS else None):
                     mine, theirs = self._compared(int(members[one]), int(members[other]))
                     left[one] &= not mine
                     left[other] &= not theirs
@@ -774,19 +776,90 @@ class Crowd:
             self.found += [(*one, *two, first + i, first + j, b_first + k, b_first + l, alike) for i, j, k, l, alike in parts]
         return self.known[b, a]
 
-    def passages(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Which of its distinct tokens are in each passage of a context, and how many; those in the same ones once."""
-        if i not in self.spans:
-            tokens = self.tokens[i]
-            edges = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1], [True]]))
-            at = np.searchsorted(self.sets[i], tokens[edges[:-1]])
-            before = np.zeros((len(edges), len(self.sets[i])), np.int16)
-            before[np.arange(1, len(edges)), at] = 1
-            before = np.cumsum(before, axis=0, dtype=np.int16)
-            one, two = np.nonzero(edges[None, 1:] - edges[:-1, None] >= self.width)
-            held = (before[two + 1] > before[one]).astype(np.float32)
-            self.spans[i] = held, held.sum(axis=1)
-        return self.spans[i]
+    def repeats(self, i: int) -> bool:
+        return len(self.sets[i]) < len(self.tokens[i])
+
+    def passages(self, i: int) -> Passages:
+        """Of a context that repeats itself."""
+        if (known := self.spans.get(self.context[i])) is None:
+            known = Passages(self.tokens[i], self.sets[i], self.width)
+            self.spans_size += known.held.nbytes
+            if self.spans_size > REMEMBERED:
+                self.spans.clear()
+                self.spans_size = known.held.nbytes
+            self.spans[self.context[i]] = known
+        return known
+
+    def best(self, i: int, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of distinct tokens of passages of a context, and most of them that such have of those `inside`; -1 for less than alike ones."""
+        if self.repeats(i):
+            passages = self.passages(i)
+            return passages.numbers, passages.best(inside[None], self.least)[0]
+        begin, end, starts, numbers = _runs(len(self.tokens[i]), self.width)
+        if not len(numbers):
+            return numbers, np.zeros(0)
+        before = np.zeros(len(self.tokens[i]) + 1)
+        np.cumsum(inside[np.searchsorted(self.sets[i], self.tokens[i])], out=before[1:])
+        best = np.maximum.reduceat(before[end] - before[begin], starts)
+        return numbers, np.where(best < self.least * numbers - SLACK, -1, best)
+
+    def may_share(self, i: int, mine: np.ndarray, j: int, theirs: np.ndarray) -> bool:
+        """Whether passages of two contexts may share enough, of which `mine` and `theirs` are the tokens that the other has."""
+        same = self.context[i], self.context[j]
+        if same in self.apart:
+            return False
+        both = self.least / (1 + self.least)
+        (one, best), (two, other) = self.best(i, mine), self.best(j, theirs)
+        if (np.minimum(best[:, None], other) >= both * (one[:, None] + two) - ROUNDED).any():
+            return True
+        if len(self.apart) >= KEPT:
+            self.apart.clear()
+        self.apart |= {same, same[::-1]}
+        return False
+
+
+@lru_cache(256)
+def _runs(n: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Begins and ends of all runs of `width` of n places or more, by their length; where each length begins, and the lengths."""
+    lengths = np.arange(width, n + 1)
+    counts = n + 1 - lengths
+    starts = np.cumsum(counts) - counts
+    length = np.repeat(lengths, counts)
+    begin = np.arange(len(length)) - np.repeat(starts, counts)
+    return begin, begin + length, starts, lengths
+
+
+#: Pairs of contexts remembered as not alike; it only saves looking at them again.
+KEPT = 500_000
+
+#: Bytes of passages that a crowd remembers; it only saves making them again.
+REMEMBERED = 1 << 26
+
+
+class Passages:
+    """Which of its distinct tokens are in each passage of a context, those with the same ones once, by their number."""
+
+    def __init__(self, tokens: np.ndarray, names: np.ndarray, width: int):
+        edges = np.concatenate([[True], tokens[1:] != tokens[:-1], [True]]).nonzero()[0]
+        at = np.searchsorted(names, tokens[edges[:-1]])
+        before = np.zeros((len(edges), len(names)), np.int16)
+        before[np.arange(1, len(edges)), at] = 1
+        before = np.cumsum(before, axis=0, dtype=np.int16)
+        one, two = np.nonzero(edges[None, 1:] - edges[:-1, None] >= width)
+        held = before[two + 1] > before[one]
+        sizes = held.sum(axis=1)
+        order = np.argsort(sizes, kind="stable")
+        self.held, self.sizes = held[order].astype(np.float32), sizes[order]
+        self.starts = np.concatenate([[True], self.sizes[1:] != self.sizes[:-1]]).nonzero()[0] if len(sizes) else np.zeros(0, np.int64)
+        self.numbers = self.sizes[self.starts]
+
+    def best(self, inside: np.ndarray, least: float) -> np.ndarray:
+        """Most tokens that passages of each number of tokens have of the rows of `inside`, if these may be alike; else -1."""
+        if not len(self.starts):
+            return np.full((len(inside), 0), -1.0)
+        met = inside @ self.held.T
+        met[met < least * self.sizes - SLACK] = -1
+        return np.maximum.reduceat(met, self.starts, axis=1)
 
 
 class Group:
@@ -801,14 +874,16 @@ class Group:
         owner = np.repeat(np.arange(len(sets)), np.diff(self.ends, prepend=0))
         self.holders = np.split(owner[np.argsort(self.number, kind="stable")], np.cumsum(counts)[:-1])
 
+    def numbers(self, one: int) -> np.ndarray:
+        return self.number[(self.ends[one - 1] if one else 0) : self.ends[one]]
+
     def shared(self, one: int) -> tuple[np.ndarray, np.ndarray]:
         """Windows that hold tokens of a window, and the place of the token in its set, for each both have."""
-        numbers = self.number[(self.ends[one - 1] if one else 0) : self.ends[one]].tolist()
-        lists = [self.holders[n] for n in numbers]
+        lists = [self.holders[n] for n in self.numbers(one).tolist()]
         return np.concatenate(lists), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
 
 
-def _may_be_alike(group: Group, one: int, among: np.ndarray | None) -> np.ndarray:
+def _may_be_alike(group: Group, one: int, among: np.ndarray | None) -> Iterator[int]:
     """Windows of other texts of a group that may be alike to a window: each passage of its context shares too little with others.
 
     Of two alike passages of c and d distinct tokens, at least `least` / (1 + `least`) of c + d are in both.
@@ -822,7 +897,8 @@ def _may_be_alike(group: Group, one: int, among: np.ndarray | None) -> np.ndarra
     found = np.flatnonzero(may if among is None else may & among)
     own = int(group.members[one])
     tokens, names = crowd.tokens[own], crowd.sets[own]
-    kept = []
+    mark = np.zeros(len(group.holders), np.float32)
+    mark[group.numbers(one)] = 1
     # in parts, since each takes a row for every passage
     for at in range(0, len(found), PART):
         some = found[at : at + PART]
@@ -831,19 +907,24 @@ def _may_be_alike(group: Group, one: int, among: np.ndarray | None) -> np.ndarra
         inside = row[other] >= 0
         held = np.zeros((len(some), len(names)), np.float32)
         held[row[other[inside]], place[inside]] = 1
-        least_of = both * theirs[some] - SLACK
-        if len(names) == len(tokens):
-            before = np.zeros((len(some), len(tokens) + 1), np.float32)
-            np.cumsum(held[:, np.searchsorted(names, tokens)], axis=1, out=before[:, 1:])
-            over = before - np.float32(both) * np.arange(len(tokens) + 1, dtype=np.float32)
-            best = (over[:, width:] - np.minimum.accumulate(over[:, :-width], axis=1)).max(axis=1, initial=-np.inf)
-            kept.append(some[best >= least_of - ROUNDED])
+        least_of = both * theirs[some] - ROUNDED
+        if crowd.repeats(own):
+            passages = crowd.passages(own)
+            enough = (passages.best(held, least) - both * passages.numbers >= least_of[:, None]).any(axis=1)
         else:
-            passages, sizes = crowd.passages(own)
-            met = held @ passages.T
-            enough = (met >= least * sizes - SLACK) & (met - both * sizes >= least_of[:, None] - ROUNDED)
-            kept.append(some[enough.any(axis=1)])
-    return np.concatenate([found[:0], *kept])
+            enough = _over(held[:, np.searchsorted(names, tokens)], width, both) >= least_of
+        for n in enough.nonzero()[0].tolist():
+            # most of those that meet a leader are alike
+            if among is not None or crowd.may_share(own, held[n], int(group.members[some[n]]), mark[group.numbers(int(some[n]))]):
+                yield int(some[n])
+
+
+def _over(inside: np.ndarray, width: int, both: float) -> np.ndarray:
+    """Most that a passage of `width` tokens or more has inside beyond `both` of its tokens, where none is repeated."""
+    before = np.zeros((len(inside), inside.shape[1] + 1), np.float32)
+    np.cumsum(inside, axis=1, out=before[:, 1:])
+    before -= np.float32(both) * np.arange(before.shape[1], dtype=np.float32)
+    return (before[:, width:] - np.minimum.accumulate(before[:, :-width], axis=1)).max(axis=1, initial=-np.inf)
 
 
 #: Windows that are held against all passages of one at a time; for counts of single precision.
