@@ -10,8 +10,9 @@ every wide enough run holds one, are what windows meet by.
 
 In a group of windows that meet, all pairs of different texts are compared. In a large
 one windows first meet a few of them in turn; those alike to one are settled, and each
-of the others is compared with all of the group that share rare enough tokens with it.
-So every passage alike to another is found, whatever stands first in its group.
+of the others is compared with all of the group that a passage about it may share enough
+with, until one settles it. So every passage alike to another is found, whatever stands
+first in its group.
 """
 
 from __future__ import annotations
@@ -966,8 +967,8 @@ def repeated_passages(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
     sets, percent at least. Passages of one document that touch are one row. Every
     passage of `words` words or more is found that is alike to one of another document
     and told apart from it by words replaced, put in or taken out, or by parts moved. Where
-    more than GROUP places have the same run of words, other_doc_id and similarity
-    are those of the documents compared, which every alike one is settled by.
+    more than GROUP places have the same run of words, the ends, other_doc_id and
+    similarity are those of the documents compared, which every alike one is settled by.
 
     Words are those between white space, lower-cased A-Z. Null, empty and short texts
     have no passage. Documents with the same text of `words` words or more repeat each
