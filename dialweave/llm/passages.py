@@ -11,7 +11,7 @@ every wide enough run holds one, are what windows meet by.
 In a group of windows that meet, all pairs of different texts are compared. In a large
 one windows first meet a few of them in turn; those alike to one are settled, and each
 of the others is compared with all of the group that a passage about it may share enough
-with, until one settles it. So every passage alike to another is found, whatever stands
+with, also where one settles it but another may reach beyond. So every passage alike to another is found, whatever stands
 first in its group.
 """
 
@@ -719,7 +719,8 @@ class Crowd:
         self.spans: dict[int, Passages] = {}
         self.spans_size = 0
         self.apart: set[tuple[int, int]] = set()
-        self.known: dict[tuple[int, int], tuple[bool, bool]] = {}
+        self.known: dict[tuple[int, int], tuple] = {}
+        self.covered: tuple[int, int] | None = None
         contexts: dict[bytes, int] = {}
         self.context = [contexts.setdefault(r[5], len(contexts)) for r in rows]
         self.parts: dict[tuple, list[tuple[int, int, int, int, float]]] = {}
@@ -737,10 +738,12 @@ class Crowd:
     def _settle(self, members: np.ndarray) -> None:
         """In each of ROUNDS rounds a window of a text that did not lead yet, the one that repeats itself most, then of the
         smallest doc_id, leads the group and is compared with those left in it. Windows alike to a leader are settled, and so
-        is such a leader; each of those left in the end is compared with all of the group until it is settled.
+        is such a leader; each of those left in the end is compared with all of the group, once it is settled with those
+        that have tokens of its context beyond the passages found.
         """
         group = Group(self, members)
         left, may_lead = np.ones(len(members), bool), np.ones(len(members), bool)
+        reached: dict[int, tuple[int, int]] = {}
         for n in range(ROUNDS + 1):
             if not left.any():
                 return
@@ -751,17 +754,19 @@ class Crowd:
                 leads = [int(free[np.argmin(group.distinct[free])])] if len(free) else []
                 may_lead &= group.cid != group.cid[leads[0]] if leads else True
             for one in leads:
-                if n == ROUNDS and not left[one]:
-                    continue
+                self.covered = reached.get(one)
                 for other in _may_be_alike(group, one, left if n < ROUNDS else None):
                     mine, theirs = self._compared(int(members[one]), int(members[other]))
-                    left[one] &= not mine
-                    left[other] &= not theirs
-                    if n == ROUNDS and mine:
-                        break
-
-    def _compared(self, b: int, a: int) -> tuple[bool, bool]:
-        """Whether alike passages hold the places of two windows; the passages are kept."""
+                    left[one] &= mine is None
+                    left[other] &= theirs is None
+                    for window, span in ((one, mine), (other, theirs)) if n == ROUNDS else ():
+                        if span:
+                            known = reached.get(window, span)
+                            reached[window] = min(span[0], known[0]), max(span[1], known[1])
+                    self.covered = reached.get(one)
+
+    def _compared(self, b: int, a: int) -> tuple[tuple[int, int] | None, tuple[int, int] | None]:
+        """First and last token of the alike passages that hold the places of two windows, if any; the passages are kept."""
         if (b, a) not in self.known:
             distinct = max(self.distinct[a], self.distinct[b], (self.distinct[a] + self.distinct[b]) / (1 + self.least))
             first, b_first = int(self.first[a]), int(self.first[b])
@@ -771,7 +776,8 @@ class Crowd:
             if (parts := self.parts.get(same)) is None:
                 parts = self.parts[same] = alike_parts(self.tokens[a], self.tokens[b], self.width, self.least, shift, distinct)
             at, b_at = int(self.at[a]) - first, int(self.at[b]) - b_first
-            held = any(k <= b_at <= l for _, _, k, l, _ in parts), any(i <= at <= j for i, j, *_ in parts)
+            theirs, mine = [(k, l) for _, _, k, l, _ in parts if k <= b_at <= l], [(i, j) for i, j, *_ in parts if i <= at <= j]
+            held = tuple((min(x)[0], max(y for _, y in x)) if x else None for x in (theirs, mine))
             self.known[b, a], self.known[a, b] = held, held[::-1]
             one, two = self.rows[a][:3], self.rows[b][:3]
             self.found += [(*one, *two, first + i, first + j, b_first + k, b_first + l, alike) for i, j, k, l, alike in parts]
@@ -914,7 +920,10 @@ def _may_be_alike(group: Group, one: int, among: np.ndarray | None) -> Iterator[
             enough = (passages.best(held, least) - both * passages.numbers >= least_of[:, None]).any(axis=1)
         else:
             enough = _over(held[:, np.searchsorted(names, tokens)], width, both) >= least_of
+        order = np.searchsorted(names, tokens)
         for n in enough.nonzero()[0].tolist():
+            if crowd.covered and not (held[n, order[: crowd.covered[0]]].any() or held[n, order[crowd.covered[1] + 1 :]].any()):
+                continue
             # most of those that meet a leader are alike
             if among is not None or crowd.may_share(own, held[n], int(group.members[some[n]]), mark[group.numbers(int(some[n]))]):
                 yield int(some[n])
